@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, reports  # noqa: F401
+from . import core, monitoring, reports  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

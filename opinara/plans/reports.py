@@ -356,8 +356,8 @@ def _(spark, sf):
     return rounded(ana.duplicate_ratio(fx.table(spark, sf, "documents").select("text", "lang")))
 
 
-@query("join_ground_truth", B.REVIEWS + "select review_id, rating, parent_asin, to_json({'quality': "
-       "quality, 'toxic': toxic}) as \"aspects_json_GT\" from reviews left join labels on review_id = "
+@query("join_ground_truth", B.REVIEWS + "select review_id, rating, parent_asin, case when doc_id is not null then "
+       "cast(to_json({'quality': quality, 'toxic': toxic}) as varchar) end as \"aspects_json_GT\" from reviews left join labels on review_id = "
        "cast(doc_id as varchar)")
 def _(spark, sf):
     truth = fx.table(spark, sf, "labels").select(
