@@ -252,8 +252,9 @@ def l2_norm(a: Column | str) -> Column:
 
 def l2_normalize(a: Column | str) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    norm = F.when(l2_norm(a) == 0, F.lit(1.0)).otherwise(l2_norm(a))
-    return F.transform(_col(a), lambda x: x.cast("double") / norm)
+    a = _col(a)
+    norm = F.coalesce(F.nullif(l2_norm(a), F.lit(0.0)), F.lit(1.0))
+    return let(norm, lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

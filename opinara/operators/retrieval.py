@@ -1,4 +1,197 @@
-def label_centroids(e):
-    from pyspark.sql import functions as F
-    m = e.select("label", F.posexplode("embedding").alias("i","x")).groupBy("label","i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return m.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i","x"))), lambda s: s["x"]).alias("centroid"))
+"""Similarity retrieval and reranking for a table of questions."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from .similarity import block_join, matrix
+from .text import term_counts, tfidf
+
+MAX_QUESTIONS = 4096   # bound of the question matrix that is broadcast
+CELL_ROWS = 65536
+
+
+def label_centroids(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """Mean vector per label."""
+    means = (df.select(label, F.posexplode(vector).alias("i", "x"))
+             .groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("x")))
+    return means.groupBy(label).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+        .alias("centroid"))
+
+
+def build_corpus(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Corpus rows with unit vectors."""
+    return df.withColumn(vector, C.l2_normalize(vector).cast("array<float>"))
+
+
+def product_corpus(corpus: DataFrame, asin: str) -> DataFrame:
+    return corpus.where(F.col("parent_asin") == asin)
+
+
+def _rank(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "review_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+SCHEMA = "question_id bigint, review_id string, score double"
+
+
+def _best(qids, scores, ids, k):
+    """The top ``k`` columns of a score matrix per row; ties by id."""
+    order = np.argsort(ids, kind="stable")
+    s = scores[:, order]
+    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(s, top, axis=1), ids[order][top]
+
+
+def retrieve_top_k(corpus: DataFrame, questions: DataFrame, k: int = 8,
+                   same_product: bool = False) -> DataFrame:
+    """Exact cosine top-k of every question: ``(question_id, review_id, score, rank)``.
+
+    Global search scores each Arrow batch of the corpus against the question matrix and
+    keeps a running top-k per task, so a task returns ``k`` rows per question whatever
+    its share of the corpus.  The matrix is broadcast only when the questions are few;
+    more of them are joined block by block.  With ``same_product`` only reviews of the
+    question's product compete, found by an equi-join in bounded chunks.
+    """
+    q = questions.select("question_id", C.l2_normalize("embedding").alias("v"),
+                         *(["parent_asin"] if same_product else []))
+    c = corpus.select("review_id", C.l2_normalize("embedding").alias("v"),
+                      *(["parent_asin"] if same_product else []))
+
+    def block(points, visitors):
+        scores = (matrix(visitors["v"]) @ matrix(points["v"]).T).round(9)
+        best, ids = _best(None, scores, points["id"].to_numpy(dtype=str), k)
+        return pd.DataFrame({
+            "question_id": np.repeat(visitors["id"].to_numpy(), best.shape[1]),
+            "review_id": ids.ravel(), "score": best.ravel()})
+
+    if same_product:
+        return _rank(block_join(
+            c.select(F.col("review_id").alias("id"), "v", F.col("parent_asin").alias("cell")),
+            q.select(F.col("question_id").alias("id"), "v", F.col("parent_asin").alias("cell")),
+            block, SCHEMA), k)
+
+    few = q.limit(MAX_QUESTIONS + 1).collect()
+    if len(few) > MAX_QUESTIONS:
+        cells = max(1, math.ceil(c.count() / CELL_ROWS))
+        return _rank(block_join(
+            c.select(F.col("review_id").alias("id"), "v",
+                     F.pmod(F.xxhash64("review_id"), F.lit(cells)).cast("int").alias("cell")),
+            q.select(F.col("question_id").alias("id"), "v",
+                     F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")),
+            block, SCHEMA), k)
+
+    shared = corpus.sparkSession.sparkContext.broadcast((
+        np.array([r["question_id"] for r in few], dtype=np.int64),
+        np.array([r["v"] for r in few], dtype=np.float64)))
+
+    def scan(batches):
+        qids, m = shared.value
+        scores, ids = np.empty((len(qids), 0)), np.empty((len(qids), 0), dtype=str)
+        for pdf in batches:
+            if not len(pdf) or not len(qids):
+                continue
+            s, i = _best(qids, (m @ matrix(pdf["v"]).T).round(9),
+                         pdf["review_id"].to_numpy(dtype=str), k)
+            s, i = np.concatenate([scores, s], axis=1), np.concatenate([ids, i], axis=1)
+            top = np.lexsort((i, -s), axis=-1)[:, :k]
+            scores, ids = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        yield pd.DataFrame({"question_id": np.repeat(qids, scores.shape[1]),
+                            "review_id": ids.ravel(), "score": scores.ravel()})
+
+    return _rank(c.mapInPandas(scan, SCHEMA), k)
+
+
+def post_filter_product(candidates: DataFrame, corpus: DataFrame, questions: DataFrame,
+                        k: int = 8) -> DataFrame:
+    """Keep candidates of the question's own product; may leave nothing."""
+    owner = corpus.select("review_id", "parent_asin")
+    kept = (candidates.drop("rank").join(owner, "review_id")
+            .join(questions.select("question_id", "parent_asin"), ["question_id", "parent_asin"],
+                  "left_semi"))
+    return _rank(kept.drop("parent_asin"), k)
+
+
+def snippets(candidates: DataFrame, texts: DataFrame, chars: int = 1000) -> DataFrame:
+    """Candidates with their text and date; blank texts drop out."""
+    t = texts.select("review_id", F.substring("text", 1, chars).alias("text"), "date")
+    return candidates.join(t, "review_id").where(F.trim("text") != "")
+
+
+# ---------------------------------------------------------------- TF-IDF search
+
+def tfidf_search(questions: DataFrame, texts: DataFrame, k: int = 20, max_features: int = 5000) -> DataFrame:
+    """Top-k texts per question by TF-IDF cosine.
+
+    Only terms of the questions take part in the join, so the postings shrink before any
+    shuffle.  Pair scores are summed map-side before they move.
+    """
+    docs = tfidf(texts, "review_id", "text", max_features)
+    n = texts.agg(F.count("*")).scalar()
+    idf = docs.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+    qt = (term_counts(questions, "question_id", "question").join(idf, "term")
+          .withColumn("_w", F.col("tf") * F.col("idf")))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("question_id")))
+    qt = qt.select("question_id", "term", (F.col("_w") / norm).alias("qw"))
+    pairs = (docs.join(qt, "term").groupBy("question_id", "review_id")
+             .agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")))
+    return _rank(pairs, k)
+
+
+def tfidf_rerank(candidates: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:
+    """Rerank each question's candidates by TF-IDF fitted on the question and them.
+
+    ``candidates`` holds a bounded number of rows per question (the search's k).
+    """
+    cand = candidates.select("question_id", "review_id", "text", "score", "date",
+                             F.struct("question_id", "review_id").alias("doc"))
+    ask = questions.select("question_id", F.col("question").alias("text"),
+                           F.struct("question_id", F.lit(None).cast("string").alias("review_id"))
+                           .alias("doc"))
+    both = cand.select("doc", "text").unionByName(ask.select("doc", "text"))
+    tf = term_counts(both, "doc").select(
+        F.col("doc.question_id").alias("question_id"), F.col("doc.review_id").alias("review_id"),
+        "term", "tf")
+    size = both.groupBy(F.col("doc.question_id").alias("question_id")).agg(F.count("*").alias("n"))
+    per_term = Window.partitionBy("question_id", "term")
+    w = tf.join(size, "question_id").withColumn(
+        "w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.count("*").over(per_term))) + 1))
+    w = w.withColumn("qw", F.max(F.when(F.col("review_id").isNull(), F.col("w"))).over(per_term))
+    dots = w.groupBy("question_id", "review_id").agg(
+        F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"),
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    qn = dots.where("review_id is null").select("question_id", F.col("norm").alias("qnorm"))
+    scored = (dots.where("review_id is not null").join(qn, "question_id", "left")
+              .select("question_id", "review_id",
+                      F.round(F.coalesce(F.try_divide("dot", F.col("norm") * F.col("qnorm")),
+                                         F.lit(0.0)), 9).alias("rerank_score")))
+    out = cand.drop("doc").join(scored, ["question_id", "review_id"], "left").na.fill(
+        0.0, ["rerank_score"])
+    order = Window.partitionBy("question_id").orderBy(F.desc("rerank_score"), F.desc("score"), "review_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rerank_topk(candidates: DataFrame, questions: DataFrame,
+                scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
+                k: int = 8) -> DataFrame:
+    """Rerank by a pair scorer applied in Arrow batches; without one the order stays."""
+    if scorer is None:
+        return candidates.where(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
+
+    @F.pandas_udf("double")
+    def score(question: pd.Series, text: pd.Series) -> pd.Series:
+        return scorer(question, text)
+
+    scored = candidates.join(questions.select("question_id", "question"), "question_id").withColumn(
+        "rerank_score", score("question", "text")).drop("rank", "question")
+    order = Window.partitionBy("question_id").orderBy(F.desc("rerank_score"), F.desc("score"), "review_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
