@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, forecasting, language, monitoring, reports, search  # noqa: F401
+from . import core, forecasting, language, models, monitoring, reports, search  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
