@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schemas import STRUCTURED_ANSWER
+from ..session import materialize
 
 # Texts of the extractive answers.
 NO_CONTEXT = "No relevant reviews found for this product."
@@ -197,7 +198,7 @@ def qa_batch(questions: DataFrame, texts: DataFrame, cache: DataFrame, now: int,
     looked = answer_cache_lookup(questions, cache, now)
     asked = questions.join(looked.where("event_type = 'miss'"), "question_id", "left_semi")
     found = snippets(tfidf_search(asked, texts, search_k), texts)
-    best = tfidf_rerank(found, asked, k)
+    best = materialize(tfidf_rerank(materialize(found, "found"), asked, k), "best")
     made = extractive_answer(asked, best).join(
         prompt_pack(best, asked, allowed_tokens).select("question_id", "max_snippets", "snippet_chars"),
         "question_id", "left")

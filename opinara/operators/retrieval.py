@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 from .similarity import block_join, matrix
 from .text import term_counts, tfidf
 
@@ -133,9 +134,10 @@ def tfidf_search(questions: DataFrame, texts: DataFrame, k: int = 20, max_featur
     """Top-k texts per question by TF-IDF cosine.
 
     Only terms of the questions take part in the join, so the postings shrink before any
-    shuffle.  Pair scores are summed map-side before they move.
+    shuffle.  Pair scores are summed map-side before they move.  The weighted postings are
+    written once, as the inverted index of the search.
     """
-    docs = tfidf(texts, "review_id", "text", max_features)
+    docs = materialize(tfidf(texts, "review_id", "text", max_features), "postings")
     n = texts.agg(F.count("*")).scalar()
     idf = docs.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     qt = (term_counts(questions, "question_id", "question").join(idf, "term")

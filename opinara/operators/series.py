@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 
 ASPECT = "aspect_term_normalized"
 MAX_GAP_DAYS = {"D": 7, "W": 28, "M": 60}
@@ -318,8 +319,8 @@ def forecast_report(df: DataFrame, periods: int = 90, freq: str = "D", min_sampl
     wide = period_means(df, freq)
     volume = wide.groupBy("series_id").agg(
         C.count_if(F.col("n") >= min_samples).alias("usable_periods"))
-    series = prepare_series(df, freq, min_samples)
-    forecast = fit_forecast(series, periods, freq, **(params or {}))
+    series = materialize(prepare_series(df, freq, min_samples), "series")
+    forecast = materialize(fit_forecast(series, periods, freq, **(params or {})), "forecast")
     points = series.groupBy("series_id").agg(F.count("*").alias("data_points"))
     breaks = changepoints(series).groupBy("series_id").agg(F.count("*").alias("changepoint_count"))
     odd = forecast_anomalies(series, forecast).groupBy("series_id").agg(

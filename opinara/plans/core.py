@@ -284,7 +284,7 @@ def _(spark, sf):
        "end as short, case when length(text) > 300 then substring(text, 1, 300) || '...' "
        "else text end as snippet, substring(text, 1, 500) as stored from documents")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf).select(
         "doc_id", C.ellipsize("text", 50).alias("short"), C.cut("text", 300).alias("snippet"),
         F.substring("text", 1, 500).alias("stored"))
 
@@ -294,7 +294,7 @@ def _(spark, sf):
        "'[REDACTED_EMAIL]', 'g'), '\\+?[0-9][0-9\\s-]{6,}[0-9]', '[REDACTED_PHONE]', 'g') as text "
        "from documents")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", C.scrub_pii("text").alias("text"))
+    return fx.documents(spark, sf).select("doc_id", C.scrub_pii("text").alias("text"))
 
 
 BASIC = ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), "
@@ -315,13 +315,13 @@ def _(spark, sf):
 
 @query("clean_text_full", "select doc_id, " + FULL_CLEAN.format("text") + " as clean from documents")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", C.clean_text_full("text").alias("clean"))
+    return fx.documents(spark, sf).select("doc_id", C.clean_text_full("text").alias("clean"))
 
 
 @query("topic_tokens", "select doc_id, array_to_string(" + TOKENS.format("text") +
        ", ' ') as tokens from documents")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf).select(
         "doc_id", F.array_join(C.topic_tokens("text"), " ").alias("tokens"))
 
 
@@ -329,7 +329,7 @@ def _(spark, sf):
        "select doc_id, length(text) as n_chars, len(list_filter(regexp_split_to_array(trim("
        "regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) as n_words from documents")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf).select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"),
         F.size(C.words(F.trim(F.regexp_replace("text", r"\s+", " ")))).cast("bigint").alias("n_words"))
 
@@ -344,7 +344,7 @@ def _(spark, sf):
        "select d.doc_id, r.doc_id is not null as repetition_flag "
        "from documents d left join r using (doc_id)")
 def _(spark, sf):
-    return fx.table(spark, sf, "documents").select(
+    return fx.documents(spark, sf).select(
         "doc_id", C.repeats_ngram("text").alias("repetition_flag"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from ..operators import arima, series as ts
+from ..session import materialize
 from . import base_sql as B
-from .registry import clean, query, rounded
+from .registry import clean, query, rounded, table
 
 A = "aspect_term_normalized"
 Z95 = NormalDist().inv_cdf(0.975)
@@ -209,7 +210,7 @@ def _(spark, sf):
        "ser.y > yhat_upper as is_anomaly, round(abs(ser.y - yhat) / (yhat_upper - yhat_lower + 1e-6), "
        "6) as anomaly_score from ser left join fc using (series_id, ds)")
 def _(spark, sf):
-    s = _monthly(spark, sf)
+    s = materialize(_monthly(spark, sf), "series")
     out = rounded(ts.forecast_anomalies(s, ts.fit_forecast(s, 12, "M")).drop("y"), 6)
     return out.join(s.select("series_id", "ds", "y"), ["series_id", "ds"])
 
@@ -220,12 +221,12 @@ def _(spark, sf):
        "select series_id as aspect, current_sentiment as current, trend_direction as trend, slope, "
        "predicted_30 as forecast_30, predicted_90 as forecast_90, alert_count as alerts from ta")
 def _(spark, sf):
-    return rounded(ts.batch_forecast(clean(spark, sf), 5, 24, "M"), 6)
+    return rounded(ts.batch_forecast(table(clean(spark, sf)), 5, 24, "M"), 6)
 
 
 @query("forecast_report")
 def _(spark, sf):
-    return ts.forecast_report(clean(spark, sf), 12, "M", 5)
+    return ts.forecast_report(table(clean(spark, sf)), 12, "M", 5)
 
 
 @query("forecast_backtest")
@@ -241,5 +242,5 @@ def _(spark, sf):
 
 @query("arima_trend")
 def _(spark, sf):
-    s = ts.prepare_series(clean(spark, sf), "M", 5, method="arima")
+    s = materialize(ts.prepare_series(clean(spark, sf), "M", 5, method="arima"), "series")
     return arima.arima_trend(arima.fit_arima(s, (1, 1, 1), periods=12, freq="M"), s)

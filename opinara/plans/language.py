@@ -220,7 +220,7 @@ def _(spark, sf):
 @query("word_frequency", "with w as (select unnest(" + TOKENS.format("text") + ") as word from "
        "documents) select word, count(*) as n from w group by 1 order by n desc, 1 limit 20")
 def _(spark, sf):
-    return tx.word_frequency(fx.table(spark, sf, "documents"))
+    return tx.word_frequency(fx.documents(spark, sf))
 
 
 @query("vocabulary", "with t as (select doc_id, " + TOKENS.format("text") + " as w from documents), "
@@ -228,7 +228,7 @@ def _(spark, sf):
        "select term, count(*) as df from u group by 1 having df >= 2 and df <= 0.5 * (select count(*) "
        "from d)")
 def _(spark, sf):
-    return tx.vocabulary(fx.table(spark, sf, "documents"))
+    return tx.vocabulary(fx.documents(spark, sf))
 
 
 def tfidf_sql(table, key, features, bigrams=False):
@@ -246,14 +246,14 @@ def tfidf_sql(table, key, features, bigrams=False):
 @query("tfidf_terms", "with " + tfidf_sql("documents", "doc_id", 500, True) +
        "select doc_id, term, tf, round(weight, 6) as weight from tfidf")
 def _(spark, sf):
-    return rounded(tx.tfidf(fx.table(spark, sf, "documents"), "doc_id", max_features=500,
+    return rounded(tx.tfidf(fx.documents(spark, sf), "doc_id", max_features=500,
                             ngram=(1, 2)), 6)
 
 
 @query("nfkc_clean", "select doc_id, " + FULL_CLEAN.format("nfc_normalize(text)") +
        " as clean from documents")
 def _(spark, sf):
-    return tx.nfkc(fx.table(spark, sf, "documents").select("doc_id", "text")).select(
+    return tx.nfkc(fx.documents(spark, sf).select("doc_id", "text")).select(
         "doc_id", C.clean_text_full("text").alias("clean"))
 
 

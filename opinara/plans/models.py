@@ -36,7 +36,7 @@ def _vectors(spark, sf):
 @query("seeded_sample", "select doc_id, lang from documents order by md5(cast(doc_id as varchar) || ':42'),"
        " doc_id limit 100")
 def _(spark, sf):
-    return mining.seeded_sample(fx.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 100)
+    return mining.seeded_sample(fx.documents(spark, sf).select("doc_id", "lang"), "doc_id", 100)
 
 
 @query("embed_texts")

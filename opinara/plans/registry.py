@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import materialize, prepare
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.preprocess import preprocess
 
     return preprocess(fx.mentions(spark, sf_dir), fx.products(spark, sf_dir))
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write mentions once for a query that reads them several times."""
+    return materialize(df, "mentions")

@@ -9,7 +9,7 @@ from ..operators import analytics as ana
 from ..operators import preprocess as pre
 from ..sources import fixtures as fx
 from . import base_sql as B
-from .registry import clean, full, query, rounded
+from .registry import clean, full, query, rounded, table
 
 A = "aspect_term_normalized"
 POL = ("count(*) filter (where sentiment = 'Positive') as positive, "
@@ -50,7 +50,7 @@ def _(spark, sf):
 @query("topn_semi_join", B.CLEAN_MORE + f"t as (select {A} from clean group by 1 order by count(*) "
        f"desc, 1 limit 5) select review_id, {A}, sentiment_score from clean semi join t using ({A})")
 def _(spark, sf):
-    return ana.restrict_to_top(clean(spark, sf), A, 5).select("review_id", A, "sentiment_score")
+    return ana.restrict_to_top(table(clean(spark, sf)), A, 5).select("review_id", A, "sentiment_score")
 
 
 @query("aspect_summary", B.CLEAN + f"select {A}, {POL}, round((count(*) filter (where sentiment = "
@@ -81,7 +81,7 @@ def _(spark, sf):
        f"avg_sentiment from clean semi join ta using ({A}) semi join tp using (parent_asin) "
        "group by 1, 2")
 def _(spark, sf):
-    return rounded(ana.aspect_product_matrix(clean(spark, sf)))
+    return rounded(ana.aspect_product_matrix(table(clean(spark, sf))))
 
 
 @query("product_comparison", B.CLEAN + "select parent_asin, max(title) as title, count(*) as "
@@ -132,7 +132,7 @@ def _(spark, sf):
        "as tn from p group by 1) select ch.*, coalesce(tp, '') as top_positive, coalesce(tn, '') as "
        "top_negative from ch left join l using (parent_asin)")
 def _(spark, sf):
-    return rounded(ana.product_explorer(full(spark, sf), 10, (1.5, 4.5), "BOLT"))
+    return rounded(ana.product_explorer(table(full(spark, sf)), 10, (1.5, 4.5), "BOLT"))
 
 
 @query("product_index", B.CLEAN + "select parent_asin, count(*) as mention_count, max(title) as title "
@@ -157,7 +157,7 @@ def _(spark, sf):
        f"desc, 1 limit 5) select week + 6 as period, {A}, count(*) as n from clean semi join t "
        f"using ({A}) group by 1, 2")
 def _(spark, sf):
-    return ana.aspect_evolution(clean(spark, sf))
+    return ana.aspect_evolution(table(clean(spark, sf)))
 
 
 @query("product_aspect_daily", B.CLEAN + f"select parent_asin, date, {A}, "
@@ -219,7 +219,7 @@ def _(spark, sf):
        "round(median(sentiment_score), 3) as median, round(stddev_samp(sentiment_score), 3) as std, "
        "round(min(sentiment_score), 3) as min, round(max(sentiment_score), 3) as max from ra group by 1")
 def _(spark, sf):
-    return ana.stats_by_rating(_ra(spark, sf))
+    return ana.stats_by_rating(table(_ra(spark, sf)))
 
 
 @query("box_stats", RAR + ", q as (select rating, count(*) as n, quantile_cont(sentiment_score, 0.25) "
@@ -229,7 +229,7 @@ def _(spark, sf):
        "6) as upper_fence, (select count(*) from ra where ra.rating = q.rating and (sentiment_score < "
        "q1 - 1.5 * (q3 - q1) or sentiment_score > q3 + 1.5 * (q3 - q1))) as outliers from q")
 def _(spark, sf):
-    return rounded(ana.box_stats(_ra(spark, sf), "rating", "sentiment_score"), 6)
+    return rounded(ana.box_stats(table(_ra(spark, sf)), "rating", "sentiment_score"), 6)
 
 
 @query("hist2d", RAR + "select cast(least(floor((rating - 1) * 10 / 4), 9) as integer) as x_bin, "
@@ -245,7 +245,7 @@ def _(spark, sf):
        "49) as integer) as bin, count(*) as n, cast(min(n_chars) as double) as min_value, "
        "cast(max(n_chars) as double) as max_value from c, e group by 1")
 def _(spark, sf):
-    d = fx.table(spark, sf, "documents").select(F.length("text").alias("n_chars"))
+    d = fx.documents(spark, sf).select(F.length("text").alias("n_chars"))
     return ana.hist1d(d, "n_chars")
 
 
@@ -298,7 +298,7 @@ def _(spark, sf):
        f"union all select 'top_aspects', {A}, k from t union all select 'variants', {A}, k from v "
        f"union all select 'unmapped', {A}, k from u")
 def _(spark, sf):
-    return rounded(pre.normalization_report(fx.mentions(spark, sf), clean(spark, sf)))
+    return rounded(pre.normalization_report(fx.mentions(spark, sf), table(clean(spark, sf))))
 
 
 @query("aspect_variants", B.CLEAN_MORE + f"p as (select {A}, aspect_term, row_number() over (partition "
@@ -346,14 +346,14 @@ def _(spark, sf):
        f"select {A}, count(*) as categories, min(main_category) as first_category, "
        "count(*) >= max(total) * 0.7 as universal, count(*) = 1 as specific from k, n group by 1")
 def _(spark, sf):
-    return ana.universal_concerns(full(spark, sf))
+    return ana.universal_concerns(table(full(spark, sf)))
 
 
 @query("duplicate_ratio", "select count(*) as row_count, (select count(*) from (select distinct text, "
        "lang from documents)) as distinct_rows, round(1 - (select count(*) from (select distinct text, "
        "lang from documents)) / count(*), 9) as duplicate_ratio from documents")
 def _(spark, sf):
-    return rounded(ana.duplicate_ratio(fx.table(spark, sf, "documents").select("text", "lang")))
+    return rounded(ana.duplicate_ratio(fx.documents(spark, sf).select("text", "lang")))
 
 
 @query("join_ground_truth", B.REVIEWS + "select review_id, rating, parent_asin, case when doc_id is not null then "

@@ -9,7 +9,7 @@ from ..operators import answers as ans
 from ..operators import preprocess as pre
 from ..operators import retrieval as ret
 from ..operators import similarity as sim
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
 from . import base_sql as B
@@ -47,7 +47,7 @@ def _label_questions(spark, sf):
        "doc_id = vec_id")
 def _(spark, sf):
     path = scratch_path(spark, "embeddings")
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("vec_id"), "text")
     e = fx.table(spark, sf, "embeddings").join(docs, "vec_id", "left").select(
         F.col("vec_id").alias("review_id"), F.col("label").alias("parent_asin"), "text", "embedding",
         F.date_add(F.lit("2020-01-01").cast("date"), (F.col("vec_id") % 366).cast("int")).alias("date"))
@@ -146,7 +146,7 @@ RERANK = (
 
 def _snips(spark, sf):
     t = _texts(spark, sf)
-    return ret.snippets(ret.tfidf_search(_questions(spark, sf), t, 20), t)
+    return materialize(ret.snippets(ret.tfidf_search(_questions(spark, sf), t, 20), t), "found")
 
 
 def _best(spark, sf):
@@ -380,7 +380,7 @@ def _(spark, sf):
        "left join ext on ext.question_id = item_id left join pack on pack.question_id = item_id")
 def _(spark, sf):
     q = _questions(spark, sf).withColumn("asin", F.lit("all"))
-    cache = fx.table(spark, sf, "documents").select(
+    cache = fx.documents(spark, sf).select(
         F.lit("all").alias("asin"), F.col("text").alias("question"), F.lit("cached").alias("answer"),
         F.lit(EPOCH).cast("bigint").alias("created_at"))
     return ans.qa_batch(q, _texts(spark, sf), cache, EPOCH + DAY, allowed_tokens=230)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from .readers import spread
 
 # Raw aspect spellings handed out by part key; with case and space variants, synonyms,
 # generic words and words the dictionary does not know.
@@ -24,13 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.sql(
         "select * from values "
         + ", ".join(f"({i}, {L.quote(t)})" for i, t in enumerate(TERMS))
         + " as t(ix, term)"
     )
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rating = (F.col("l_orderkey") % 5 + 1).cast("double")
     late = (F.col("term") == "pump") & (F.col("l_shipdate").cast("date") >= F.lit(LATE_FROM).cast("date"))
@@ -72,7 +77,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reviews, with gaps in every nullable column."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         d.cast("string").alias("review_id"),
         F.when(d % 11 != 0, (d % 5 + 1).cast("double")).alias("rating"),
         F.when(d % 10 != 0, F.concat(F.lit("Notes from "), F.col("source"))).alias("title"),

@@ -31,6 +31,16 @@ def read_scored_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("escape", '"').csv(path))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distribute a scan that has fewer tasks than the cluster has cores.
+
+    A table of many files is left alone; one that sits in a few row groups would keep
+    most cores idle in every step before the first shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
