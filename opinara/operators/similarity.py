@@ -109,12 +109,13 @@ def visits(queries: DataFrame, index: CellIndex) -> DataFrame:
 
 def block_join(points: DataFrame, visitors: DataFrame,
                kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-               chunk: int = CHUNK) -> DataFrame:
+               chunk: int | None = None) -> DataFrame:
     """Apply ``kernel`` to every (chunk of points, chunk of visitors) of every cell.
 
     Both sides carry ``id`` and ``cell``.  Chunk counts follow from the cell sizes, so a
     cell with a third of all rows becomes many groups of about ``chunk`` rows.
     """
+    chunk = chunk or CHUNK
     visitors = visitors.toDF(*visitors.columns)  # both sides may stem from one table
     sizes = points.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_pc")).join(
         visitors.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_vc")), "cell")
