@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 from .preprocess import top_per_group
 from .windows import daily_scores, latest_and_previous, previous_by_days
 
@@ -46,23 +47,21 @@ def sentiment_drops(df: DataFrame, threshold: float = 0.2, days: int = 7,
     """Drop alerts with severity, mentions of the period and its three most frequent
     negative aspects.
 
-    One aggregate per (product, day, aspect) feeds the rolling values, the period count
-    and the aspect ranking.
+    One numeric aggregate per (product, day, aspect) is written once and feeds the
+    rolling values, the period count and the aspect ranking.  Titles are looked up for
+    the alerted products only.
     """
-    cells = df.groupBy(PRODUCT, "date", ASPECT).agg(
+    cells = materialize(df.groupBy(PRODUCT, "date", ASPECT).agg(
         F.sum("sentiment_score").alias("s"), F.count("*").alias("n"),
-        C.count_if(F.col("sentiment") == C.NEGATIVE).alias("neg"),
-        F.max("title").alias("title"), F.max("main_category").alias("main_category"),
-    )
-    daily = cells.groupBy(PRODUCT, "date").agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("title").alias("title"),
-        F.max("main_category").alias("main_category"))
-    alerts = (
-        latest_and_previous(daily, days, days, keep=("title", "main_category"))
+        C.count_if(F.col("sentiment") == C.NEGATIVE).alias("neg")), "cells")
+    daily = cells.groupBy(PRODUCT, "date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    alerts = materialize(
+        latest_and_previous(daily, days, days)
         .where(F.col("mention_count") >= max(min_mentions, 2))
         .withColumn("sentiment_change", _change())
-        .where(F.col("sentiment_change") < -threshold)
-    )
+        .where(F.col("sentiment_change") < -threshold), "alerts")
+    info = df.join(alerts.select(PRODUCT), PRODUCT, "left_semi").groupBy(PRODUCT).agg(
+        F.max("title").alias("title"), F.max("main_category").alias("main_category"))
     period = (
         cells.join(alerts.select(PRODUCT, "last_date"), PRODUCT)
         .where(F.col("date") >= F.date_sub("last_date", days))
@@ -74,7 +73,7 @@ def sentiment_drops(df: DataFrame, threshold: float = 0.2, days: int = 7,
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", ASPECT))),
                                  lambda s: s[ASPECT]), ", ").alias("top_negative_aspects"))
     return (
-        alerts.join(counts, PRODUCT).join(names, PRODUCT, "left")
+        alerts.join(counts, PRODUCT).join(info, PRODUCT).join(names, PRODUCT, "left")
         .select(
             F.lit("Sentiment Drop").alias("alert_type"),
             F.when(F.col("sentiment_change") < -0.5, "High").otherwise("Medium").alias("severity"),
@@ -140,9 +139,9 @@ def emerging_aspects(df: DataFrame, lookback_days: int = 30, min_mentions: int =
             F.sum(F.when(F.col("_recent"), F.col("sentiment_score"))).alias("s"),
             C.count_if(F.col("_recent") & (F.col("sentiment") == C.NEGATIVE)).alias("neg"),
             F.min(F.when(F.col("_recent"), F.col("date"))).alias("first"),
-            F.max("title").alias("title"),
         )
     )
+    cells = materialize(cells, "cells")
     fresh = (
         cells.groupBy(ASPECT)
         .agg(
@@ -155,7 +154,9 @@ def emerging_aspects(df: DataFrame, lookback_days: int = 30, min_mentions: int =
     ranked = top_per_group(
         cells.join(fresh.select(ASPECT), ASPECT, "left_semi").where("n > 0"),
         [ASPECT], [F.desc("n"), PRODUCT], 3)
-    names = ranked.groupBy(ASPECT).agg(
+    titles = df.join(ranked.select(PRODUCT).distinct(), PRODUCT, "left_semi").groupBy(PRODUCT).agg(
+        F.max("title").alias("title"))
+    names = ranked.join(titles, PRODUCT, "left").groupBy(ASPECT).agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", F.coalesce("title", PRODUCT).alias("t")))),
             lambda s: s["t"]), ", ").alias("top_products"))

@@ -7,8 +7,6 @@ only, and a key has no more days than the calendar.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +15,10 @@ from ..functions import columns as C
 PRODUCT = "parent_asin"
 
 
-def daily_scores(df: DataFrame, key: str = PRODUCT, extra: Sequence = ()) -> DataFrame:
+def daily_scores(df: DataFrame, key: str = PRODUCT) -> DataFrame:
     """Score sum and mention count per key and day."""
     return df.groupBy(key, "date").agg(
-        F.sum("sentiment_score").alias("s"), F.count("*").alias("n"), *extra
-    )
+        F.sum("sentiment_score").alias("s"), F.count("*").alias("n"))
 
 
 def _days_back(key: str, days: int):
@@ -43,7 +40,7 @@ def rolling_sentiment(df: DataFrame, days: int = 7, key: str = PRODUCT) -> DataF
 
 
 def latest_and_previous(daily: DataFrame, days: int = 7, rows_back: int = 7,
-                        key: str = PRODUCT, keep: Sequence[str] = ()) -> DataFrame:
+                        key: str = PRODUCT) -> DataFrame:
     """The newest rolling value of every key and the one ``rows_back`` mentions earlier.
 
     Which day holds the earlier mention follows from the running count, newest first.
@@ -60,7 +57,6 @@ def latest_and_previous(daily: DataFrame, days: int = 7, rows_back: int = 7,
         F.max_by("rolling", "date").alias("recent"),
         F.coalesce(F.max(F.when(here, F.col("rolling"))),
                    F.min_by("rolling", "date")).alias("previous"),
-        *[F.max(c).alias(c) for c in keep],
     )
 
 
