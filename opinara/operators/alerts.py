@@ -178,10 +178,15 @@ def emerging_set(df: DataFrame, lookback_days: int = 30) -> DataFrame:
 
 def rating_divergence(df: DataFrame, threshold: float = 1.5, min_mentions: int = 10) -> DataFrame:
     """Products whose star rating and rescaled sentiment differ by ``threshold`` or more."""
-    g = df.groupBy(F.col(PRODUCT).alias("product_asin")).agg(
+    info = ["title", "main_category", "average_rating"]
+    cells = df.groupBy(PRODUCT, *info).agg(
+        F.sum(C.to_star_scale()).alias("s"), F.count("sentiment_score").alias("sn"),
+        F.count("*").alias("n"))
+    g = cells.groupBy(F.col(PRODUCT).alias("product_asin")).agg(
         F.max("title").alias("product_title"), F.max("main_category").alias("category"),
         F.max("average_rating").alias("product_rating"),
-        F.avg(C.to_star_scale()).alias("sentiment_rating"), F.count("*").alias("mention_count"))
+        F.try_divide(F.sum("s"), F.sum("sn")).alias("sentiment_rating"),
+        F.sum("n").alias("mention_count"))
     gap = F.abs(F.col("product_rating") - F.col("sentiment_rating"))
     return (
         g.where(F.col("mention_count") >= min_mentions)

@@ -28,16 +28,41 @@ def _pct(sentiment: str):
     return C.percent(C.count_if(_is(sentiment)), F.count(N))
 
 
+INFO = ("title", "main_category", "average_rating")
+
+
+def cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Additive sums per key combination, the first level of a two-level aggregate.
+
+    Distinct counts become plain counts of these cells, so no row is expanded per distinct
+    column, and metadata travels as grouping key, which keeps the aggregate hash-based.
+    """
+    return df.groupBy(*keys).agg(
+        F.count(N).alias("n"), F.sum("sentiment_score").alias("s"),
+        F.count("sentiment_score").alias("sn"), F.sum("confidence").alias("c"),
+        F.count("confidence").alias("cn"),
+        C.count_if(_is(C.POSITIVE)).alias("pos"), C.count_if(_is(C.NEGATIVE)).alias("neg"),
+        C.count_if(_is(C.NEUTRAL)).alias("neu"))
+
+
+def _mean(total: str, count: str):
+    return F.try_divide(F.sum(total), F.sum(count))
+
+
+def _share(part: str):
+    return C.percent(F.sum(part), F.sum("n"))
+
+
 def kpis(df: DataFrame) -> DataFrame:
     """Headline numbers in one row."""
-    return df.agg(
-        F.count(N).alias("mention_count"),
+    return cells(df, [PRODUCT, ASPECT]).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("mention_count"),
         F.count_distinct(PRODUCT).alias("product_count"),
         F.count_distinct(ASPECT).alias("aspect_count"),
-        F.avg("confidence").alias("avg_confidence"),
-        _pct(C.POSITIVE).alias("pct_positive"),
-        _pct(C.NEGATIVE).alias("pct_negative"),
-        _pct(C.NEUTRAL).alias("pct_neutral"),
+        _mean("c", "cn").alias("avg_confidence"),
+        _share("pos").alias("pct_positive"),
+        _share("neg").alias("pct_negative"),
+        _share("neu").alias("pct_neutral"),
     )
 
 
@@ -132,17 +157,17 @@ def product_comparison(df: DataFrame, asins: Sequence[str] | None = None) -> Dat
 
 def category_stats(df: DataFrame) -> DataFrame:
     return (
-        df.where(F.col("main_category").isNotNull())
+        cells(df.where(F.col("main_category").isNotNull()), ["main_category", PRODUCT])
         .groupBy(F.col("main_category").alias("category"))
         .agg(
-            F.count(N).alias("mention_count"),
-            F.count_distinct(PRODUCT).alias("product_count"),
-            F.avg("sentiment_score").alias("avg_sentiment"),
-            F.sum("is_positive").alias("positive_count"),
-            F.sum("is_negative").alias("negative_count"),
-            F.avg("confidence").alias("avg_confidence"),
-            _pct(C.POSITIVE).alias("pct_positive"),
-            _pct(C.NEGATIVE).alias("pct_negative"),
+            F.sum("n").alias("mention_count"),
+            F.count(PRODUCT).alias("product_count"),
+            _mean("s", "sn").alias("avg_sentiment"),
+            F.sum("pos").alias("positive_count"),
+            F.sum("neg").alias("negative_count"),
+            _mean("c", "cn").alias("avg_confidence"),
+            _share("pos").alias("pct_positive"),
+            _share("neg").alias("pct_negative"),
         )
         .orderBy(F.desc("mention_count"), "category")
     )
@@ -150,29 +175,28 @@ def category_stats(df: DataFrame) -> DataFrame:
 
 def product_cards(df: DataFrame) -> DataFrame:
     """The figures of a product's detail page, for every product."""
-    return df.groupBy(PRODUCT).agg(
-        F.max("title").alias("title"),
-        F.max("main_category").alias("main_category"),
-        F.max("average_rating").alias("average_rating"),
-        F.count(N).alias("mention_count"),
-        F.avg("sentiment_score").alias("avg_sentiment"),
-        _pct(C.POSITIVE).alias("pct_positive"),
-        _pct(C.NEGATIVE).alias("pct_negative"),
-        F.count_distinct(ASPECT).alias("unique_aspects"),
+    per_aspect = cells(df, [PRODUCT, ASPECT, *INFO]).groupBy(PRODUCT, ASPECT).agg(
+        *[F.sum(c).alias(c) for c in ("n", "s", "sn", "pos", "neg")],
+        *[F.max(c).alias(c) for c in INFO])
+    return per_aspect.groupBy(PRODUCT).agg(
+        *[F.max(c).alias(c) for c in INFO],
+        F.sum("n").alias("mention_count"),
+        _mean("s", "sn").alias("avg_sentiment"),
+        _share("pos").alias("pct_positive"),
+        _share("neg").alias("pct_negative"),
+        F.count(ASPECT).alias("unique_aspects"),
     )
 
 
 def product_stats(df: DataFrame) -> DataFrame:
-    """Per-product counts with the product's metadata, in one aggregate."""
-    return df.groupBy(PRODUCT).agg(
-        F.count(N).alias("mention_count"),
-        F.avg("sentiment_score").alias("avg_sentiment_score"),
-        F.sum("is_positive").alias("positive_count"),
-        F.sum("is_negative").alias("negative_count"),
-        F.sum("is_neutral").alias("neutral_count"),
-        F.max("title").alias("title"),
-        F.max("main_category").alias("main_category"),
-        F.max("average_rating").alias("average_rating"),
+    """Per-product counts with the product's metadata, without a join back."""
+    return cells(df, [PRODUCT, *INFO]).groupBy(PRODUCT).agg(
+        F.sum("n").alias("mention_count"),
+        _mean("s", "sn").alias("avg_sentiment_score"),
+        F.sum("pos").alias("positive_count"),
+        F.sum("neg").alias("negative_count"),
+        F.sum("neu").alias("neutral_count"),
+        *[F.max(c).alias(c) for c in INFO],
     )
 
 
@@ -207,7 +231,8 @@ def product_explorer(df: DataFrame, min_mentions: int = 10, rating_range=(1.0, 5
 
 def product_index(df: DataFrame) -> DataFrame:
     """Products by mention count with their titles."""
-    return (df.groupBy(PRODUCT).agg(F.count(N).alias("mention_count"), F.max("title").alias("title"))
+    return (df.groupBy(PRODUCT, "title").agg(F.count(N).alias("n"))
+            .groupBy(PRODUCT).agg(F.sum("n").alias("mention_count"), F.max("title").alias("title"))
             .orderBy(F.desc("mention_count"), PRODUCT))
 
 
@@ -346,12 +371,17 @@ def hist1d(df: DataFrame, value: str, bins: int = 50, cap: float = 0.95) -> Data
 
 # ---------------------------------------------------------------- profiling
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """Nulls, distinct values and numeric summary per column, from one aggregate."""
+def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Nulls, distinct values and numeric summary per column, from one aggregate.
+
+    Exact distinct counts expand every row once per column; ``approximate`` uses sketches
+    and suits wide tables.
+    """
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     numeric = {c for c, t in df.dtypes if t in ("double", "float", "int", "bigint")}
     aggs = [F.count(N).alias("_rows")]
     for c in df.columns:
-        aggs += [F.count(c).alias(f"{c}|k"), F.count_distinct(c).alias(f"{c}|u")]
+        aggs += [F.count(c).alias(f"{c}|k"), distinct(c).alias(f"{c}|u")]
         if c in numeric:
             aggs += [F.avg(c).alias(f"{c}|a"), F.min(c).cast("double").alias(f"{c}|lo"),
                      F.max(c).cast("double").alias(f"{c}|hi")]

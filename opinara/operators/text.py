@@ -227,24 +227,23 @@ def score_with_model(reviews: DataFrame, make_scorer: Callable[[], Scorer], batc
     return reviews.select(key, col).mapInPandas(score, schema)
 
 
-def text_polarity(df: DataFrame, key: str = "review_id", col: str = "text",
+def text_polarity(df: DataFrame, col: str = "text",
                   opinions: dict[str, float] | None = None,
                   negations: Sequence[str] | None = None) -> DataFrame:
     """Mean weight of the opinion words, sign flipped after a negation; 0 without any.
 
-    A deterministic stand-in for a rule-based polarity library.
+    A deterministic stand-in for a rule-based polarity library.  The lexicon is small and
+    fixed, so everything happens inside the row: no token and no text is shuffled.
     """
-    spark = df.sparkSession
-    polar = L.weight_table(spark, opinions or L.OPINION_WORDS)
+    weights = dict(opinions or L.OPINION_WORDS)
     flips = list(negations or L.NEGATIONS)
-    pairs = C.let(tokens(col), lambda t: F.zip_with(
-        t, F.concat(F.array(F.lit("")), t), lambda w, p: F.struct(w.alias("word"), p.alias("prev"))))
-    hits = (
-        df.select(key, F.explode(F.filter(pairs, lambda s: s["word"].isNotNull())).alias("s"))
-        .select(key, "s.word", "s.prev")
-        .join(F.broadcast(polar), "word")
-        .groupBy(key)
-        .agg(F.avg(F.when(F.col("prev").isin(flips), -F.col("weight")).otherwise(F.col("weight")))
-             .alias("polarity"))
-    )
-    return df.join(hits, key, "left").na.fill(0.0, ["polarity"])
+    lexicon = F.create_map(*[F.lit(x) for item in weights.items() for x in item])
+    pairs = C.let(tokens(col), lambda t: F.filter(
+        F.zip_with(t, F.concat(F.array(F.lit("")), t),
+                   lambda w, p: F.struct(w.alias("word"), p.alias("prev"))),
+        lambda s: s["word"].isin(list(weights))))
+    signed = F.transform(pairs, lambda s: F.when(
+        s["prev"].isin(flips), -lexicon[s["word"]]).otherwise(lexicon[s["word"]]))
+    mean = C.let(signed, lambda a: F.try_divide(
+        F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x), F.size(a)))
+    return df.withColumn("polarity", F.coalesce(mean, F.lit(0.0)))

@@ -87,16 +87,20 @@ def _(spark, sf):
     return rounded(ts.series_quality(ts.period_means(clean(spark, sf), "W"), "W", 5), 6)
 
 
-@query("changepoints", B.CLEAN.replace("with ", "with recursive ", 1).rstrip() + ", " +
-       prep_cte("W", 3) + ", zs as materialized (select series_id, ds, round((y - avg(y) over w) / "
-       "stddev_pop(y) over w, 9) as z, row_number() over (partition by series_id order by ds) as i "
-       "from ser window w as (partition by series_id) qualify count(*) over (partition by series_id) "
-       ">= 10 and stddev_pop(y) over (partition by series_id) > 0), "
-       "cs as (select series_id, i, 0.0::double as up, 0.0::double as down, false as hit from zs where "
-       "i = 1 union all select n.series_id, n.i, case when h then 0 else u end, case when h then 0 else "
-       "d end, h from (select zs.series_id, zs.i, greatest(0, up + z - 0.5) as u, greatest(0, down - z "
-       "- 0.5) as d, greatest(0, up + z - 0.5) > 3 or greatest(0, down - z - 0.5) > 3 as h from cs join "
-       "zs on zs.series_id = cs.series_id and zs.i = cs.i + 1) n) "
+CUSUM = (
+    ", zs as materialized (select series_id, ds, round((y - avg(y) over w) / "
+    "stddev_pop(y) over w, 9) as z, row_number() over (partition by series_id order by ds) as i "
+    "from ser window w as (partition by series_id) qualify count(*) over (partition by series_id) "
+    ">= 10 and stddev_pop(y) over (partition by series_id) > 0), "
+    "cs as (select series_id, i, 0.0::double as up, 0.0::double as down, false as hit from zs where "
+    "i = 1 union all select n.series_id, n.i, case when h then 0 else u end, case when h then 0 else "
+    "d end, h from (select zs.series_id, zs.i, greatest(0, up + z - 0.5) as u, greatest(0, down - z "
+    "- 0.5) as d, greatest(0, up + z - 0.5) > 3 or greatest(0, down - z - 0.5) > 3 as h from cs join "
+    "zs on zs.series_id = cs.series_id and zs.i = cs.i + 1) n) ")
+CLEAN_RECURSIVE = B.CLEAN_MORE.replace("with ", "with recursive ", 1)
+
+
+@query("changepoints", CLEAN_RECURSIVE + prep_cte("W", 3) + CUSUM +
        "select series_id, ds from cs join zs using (series_id, i) where hit")
 def _(spark, sf):
     return ts.changepoints(_weekly(spark, sf))
@@ -224,14 +228,30 @@ def _(spark, sf):
     return rounded(ts.batch_forecast(table(clean(spark, sf)), 5, 24, "M"), 6)
 
 
-@query("forecast_report")
+@query("forecast_report", CLEAN_RECURSIVE + prep_cte("M", 5) + CUSUM + forecast_cte(12) + TREND +
+       ", vo as (select series_id, count(*) filter (where n >= 5) as usable_periods from pm group by 1), "
+       "dp as (select series_id, count(*) as data_points from ser group by 1), cp as (select series_id, "
+       "count(*) as k from cs where hit group by 1), ac as (select series_id, count(*) filter (where "
+       "ser.y < yhat_lower or ser.y > yhat_upper) as k from ser join fc using (series_id, ds) group by 1) "
+       "select series_id, usable_periods, coalesce(data_points, 0) as data_points, coalesce(cp.k, 0) as "
+       "changepoint_count, coalesce(ac.k, 0) as anomaly_count, ta.* exclude (series_id), ta.slope is not "
+       "null as success, case when ta.slope is not null then null when usable_periods < 10 then "
+       "'Insufficient data after volume filtering: only ' || usable_periods || ' periods with >=5 reviews' "
+       "else 'No continuous time segment found with sufficient data' end as error from vo left join dp "
+       "using (series_id) left join cp using (series_id) left join ac using (series_id) left join ta using "
+       "(series_id)")
 def _(spark, sf):
-    return ts.forecast_report(table(clean(spark, sf)), 12, "M", 5)
+    return rounded(ts.forecast_report(table(clean(spark, sf)), 12, "M", 5), 6)
 
 
-@query("forecast_backtest")
+@query("forecast_backtest", B.CLEAN_MORE + prep_cte("M", 5) + ", bk as (select *, row_number() over "
+       "(partition by series_id order by ds desc) as back from ser), trn as (select series_id, ds, y from "
+       "bk where back > 6)" + forecast_cte(24, "trn") + "select bk.series_id, count(*) as points, "
+       "round(avg(abs(bk.y - yhat)), 6) as mae, round(sqrt(avg((bk.y - yhat) * (bk.y - yhat))), 6) as rmse "
+       "from bk join fc on fc.series_id = bk.series_id and fc.ds = bk.ds and is_future where back <= 6 "
+       "group by 1")
 def _(spark, sf):
-    return ts.forecast_backtest(_monthly(spark, sf), 6, "M")
+    return rounded(ts.forecast_backtest(_monthly(spark, sf), 6, "M"), 6)
 
 
 @query("forecast_arima")
