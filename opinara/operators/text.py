@@ -211,6 +211,8 @@ def score_with_model(reviews: DataFrame, make_scorer: Callable[[], Scorer], batc
         scorer = make_scorer()
         for pdf in batches:
             pdf = pdf[pdf[col].fillna("").str.strip() != ""]
+            if pdf.empty:
+                continue
             aspects, errors = [], []
             for start in range(0, len(pdf), batch_size):
                 texts = pdf[col].iloc[start:start + batch_size].tolist()
@@ -220,7 +222,8 @@ def score_with_model(reviews: DataFrame, make_scorer: Callable[[], Scorer], batc
                 except Exception as exc:  # the batch is kept and reported
                     aspects += [[] for _ in texts]
                     errors += [str(exc)] * len(texts)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "aspects": aspects, "error": errors})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "aspects": pd.Series(aspects, dtype=object),
+                                "error": pd.Series(errors, dtype=object)})
 
     schema = (f"{key} string, aspects array<struct<term:string,sentiment:string,"
               "confidence:double>>, error string")
