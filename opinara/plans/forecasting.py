@@ -225,7 +225,7 @@ def _(spark, sf):
        "select series_id as aspect, current_sentiment as current, trend_direction as trend, slope, "
        "predicted_30 as forecast_30, predicted_90 as forecast_90, alert_count as alerts from ta")
 def _(spark, sf):
-    return rounded(ts.batch_forecast(table(clean(spark, sf)), 5, 24, "M"), 6)
+    return rounded(ts.batch_forecast(table(clean(spark, sf), A, "date", "sentiment_score"), 5, 24, "M"), 6)
 
 
 @query("forecast_report", CLEAN_RECURSIVE + prep_cte("M", 5) + CUSUM + forecast_cte(12) + TREND +
@@ -241,7 +241,7 @@ def _(spark, sf):
        "using (series_id) left join cp using (series_id) left join ac using (series_id) left join ta using "
        "(series_id)")
 def _(spark, sf):
-    return rounded(ts.forecast_report(table(clean(spark, sf)), 12, "M", 5), 6)
+    return rounded(ts.forecast_report(table(clean(spark, sf), A, "date", "sentiment_score"), 12, "M", 5), 6)
 
 
 @query("forecast_backtest", B.CLEAN_MORE + prep_cte("M", 5) + ", bk as (select *, row_number() over "

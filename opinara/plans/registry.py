@@ -51,6 +51,10 @@ def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess(fx.mentions(spark, sf_dir), fx.products(spark, sf_dir))
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Write mentions once for a query that reads them several times."""
-    return materialize(df, "mentions")
+ANALYSED = ("parent_asin", "aspect_term_normalized", "date", "sentiment", "sentiment_score",
+            "confidence", "title", "main_category", "average_rating")
+
+
+def table(df: DataFrame, *cols: str) -> DataFrame:
+    """Write the columns a query needs once, when it reads them several times."""
+    return materialize(df.select(*cols) if cols else df, "mentions")

@@ -9,7 +9,7 @@ from ..operators import analytics as ana
 from ..operators import preprocess as pre
 from ..sources import fixtures as fx
 from . import base_sql as B
-from .registry import clean, full, query, rounded, table
+from .registry import ANALYSED, clean, full, query, rounded, table
 
 A = "aspect_term_normalized"
 POL = ("count(*) filter (where sentiment = 'Positive') as positive, "
@@ -50,7 +50,7 @@ def _(spark, sf):
 @query("topn_semi_join", B.CLEAN_MORE + f"t as (select {A} from clean group by 1 order by count(*) "
        f"desc, 1 limit 5) select review_id, {A}, sentiment_score from clean semi join t using ({A})")
 def _(spark, sf):
-    return ana.restrict_to_top(table(clean(spark, sf)), A, 5).select("review_id", A, "sentiment_score")
+    return ana.restrict_to_top(table(clean(spark, sf), "review_id", A, "sentiment_score"), A, 5).select("review_id", A, "sentiment_score")
 
 
 @query("aspect_summary", B.CLEAN + f"select {A}, {POL}, round((count(*) filter (where sentiment = "
@@ -81,7 +81,8 @@ def _(spark, sf):
        f"avg_sentiment from clean semi join ta using ({A}) semi join tp using (parent_asin) "
        "group by 1, 2")
 def _(spark, sf):
-    return rounded(ana.aspect_product_matrix(table(clean(spark, sf))))
+    return rounded(ana.aspect_product_matrix(
+        table(clean(spark, sf), A, "parent_asin", "sentiment_score")))
 
 
 @query("product_comparison", B.CLEAN + "select parent_asin, max(title) as title, count(*) as "
@@ -132,7 +133,7 @@ def _(spark, sf):
        "as tn from p group by 1) select ch.*, coalesce(tp, '') as top_positive, coalesce(tn, '') as "
        "top_negative from ch left join l using (parent_asin)")
 def _(spark, sf):
-    return rounded(ana.product_explorer(table(full(spark, sf)), 10, (1.5, 4.5), "BOLT"))
+    return rounded(ana.product_explorer(table(full(spark, sf), *ANALYSED), 10, (1.5, 4.5), "BOLT"))
 
 
 @query("product_index", B.CLEAN + "select parent_asin, count(*) as mention_count, max(title) as title "
@@ -157,7 +158,7 @@ def _(spark, sf):
        f"desc, 1 limit 5) select week + 6 as period, {A}, count(*) as n from clean semi join t "
        f"using ({A}) group by 1, 2")
 def _(spark, sf):
-    return ana.aspect_evolution(table(clean(spark, sf)))
+    return ana.aspect_evolution(table(clean(spark, sf), A, "date"))
 
 
 @query("product_aspect_daily", B.CLEAN + f"select parent_asin, date, {A}, "
@@ -298,7 +299,8 @@ def _(spark, sf):
        f"union all select 'top_aspects', {A}, k from t union all select 'variants', {A}, k from v "
        f"union all select 'unmapped', {A}, k from u")
 def _(spark, sf):
-    return rounded(pre.normalization_report(fx.mentions(spark, sf), table(clean(spark, sf))))
+    return rounded(pre.normalization_report(
+        fx.mentions(spark, sf), table(clean(spark, sf), A, "aspect_term")))
 
 
 @query("aspect_variants", B.CLEAN_MORE + f"p as (select {A}, aspect_term, row_number() over (partition "
@@ -346,7 +348,7 @@ def _(spark, sf):
        f"select {A}, count(*) as categories, min(main_category) as first_category, "
        "count(*) >= max(total) * 0.7 as universal, count(*) = 1 as specific from k, n group by 1")
 def _(spark, sf):
-    return ana.universal_concerns(table(full(spark, sf)))
+    return ana.universal_concerns(table(full(spark, sf), *ANALYSED))
 
 
 @query("duplicate_ratio", "select count(*) as row_count, (select count(*) from (select distinct text, "
