@@ -45,7 +45,7 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
 SCHEMA = "question_id bigint, review_id string, score double"
 
 
-def _best(qids, scores, ids, k):
+def _best(scores, ids, k):
     """The top ``k`` columns of a score matrix per row; ties by id."""
     order = np.argsort(ids, kind="stable")
     s = scores[:, order]
@@ -70,7 +70,7 @@ def retrieve_top_k(corpus: DataFrame, questions: DataFrame, k: int = 8,
 
     def block(points, visitors):
         scores = (matrix(visitors["v"]) @ matrix(points["v"]).T).round(9)
-        best, ids = _best(None, scores, points["id"].to_numpy(dtype=str), k)
+        best, ids = _best(scores, points["id"].to_numpy(dtype=str), k)
         return pd.DataFrame({
             "question_id": np.repeat(visitors["id"].to_numpy(), best.shape[1]),
             "review_id": ids.ravel(), "score": best.ravel()})
@@ -101,7 +101,7 @@ def retrieve_top_k(corpus: DataFrame, questions: DataFrame, k: int = 8,
         for pdf in batches:
             if not len(pdf) or not len(qids):
                 continue
-            s, i = _best(qids, (m @ matrix(pdf["v"]).T).round(9),
+            s, i = _best((m @ matrix(pdf["v"]).T).round(9),
                          pdf["review_id"].to_numpy(dtype=str), k)
             s, i = np.concatenate([scores, s], axis=1), np.concatenate([ids, i], axis=1)
             top = np.lexsort((i, -s), axis=-1)[:, :k]
