@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
-from . import exactdedup, langid, ngramjoin, packing, tokenids
+from . import decontam, exactdedup, langid, ngramjoin, packing, tokenids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,11 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.read(spark, path)
 
 
+@_query("op6_decontamination", decontam.sql())
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query("op7_ngram_join", ngramjoin.sql())
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
