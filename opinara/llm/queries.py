@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
-from . import decontam, exactdedup, langid, ngramjoin, packing, tokenids
+from . import decontam, exactdedup, langid, ngramjoin, packing, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +67,15 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cross_entropy", "rejected")
 
 
+@_query("op9_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(langid.bucket("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", (langid.bucket("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits", "n_quoted")
+
+
 @_query("op10_exact_dedup", exactdedup.sql())
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.group_copies(_table(spark, sf_dir, "documents"))
