@@ -210,6 +210,7 @@ class Model:
             text_start, text_end = int(bounds[d]), int(bounds[d + 1])
             held = 0
             values = np.empty(len(own))
+            again: Counter = Counter()
             places = words[own] - first_word[d]
             for j, k in enumerate(own.tolist()):
                 at = int(starts[words[k]]) - d
@@ -220,8 +221,10 @@ class Model:
                 told = (n_marks % 2 == 1 and closes > 0) or not _REPORT.isdisjoint(w.strip(".,:;!?\"'") for w in before)
                 addressed = not _ADDRESS.isdisjoint(w.strip(".,:;!?\"'") for w in before[-3:] + after)
                 edits = int(self.automaton.edits[states[k]])
-                weight = self.automaton.terms[self.automaton.term[states[k]]].weight
-                value = weight * (1.0, 0.6, 0.4)[min(edits, 2)] * (0.25 if told else 1.0) * (1.5 if addressed else 1.0)
+                term = int(self.automaton.term[states[k]])
+                again[term, edits] += 1  # a repeated line is no new evidence: the n-th time counts 1 / n
+                weight = self.automaton.terms[term].weight / again[term, edits]
+                value = weight * (1.0, 0.5, 0.3)[min(edits, 2)] * (0.25 if told else 1.0) * (1.5 if addressed else 1.0)
                 values[j] = value
                 held += told
             sums = np.concatenate([[0.0], np.cumsum(values)])
