@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
-from . import decontam, exactdedup, langid, licenses, ngramjoin, packing, tokenids, toxicity
+from . import decontam, exactdedup, langid, licenses, ngramjoin, packing, sharding, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +53,11 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.read(spark, path)
 
 
+@_query("op5_sharding", sharding.sql())
+def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 @_query("op6_decontamination", decontam.sql())
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
