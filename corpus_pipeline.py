@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import exactdedup, langid
+from opinara.llm import decontam, exactdedup, langid, ngramjoin, packing, queries
 from opinara.session import materialize, prepare
 
 
@@ -22,9 +22,27 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exactdedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return ngramjoin.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids, one row per piece."""
+    return packing.pack_documents(docs, queries.vocabulary(), end_id=1)
+
+
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
 #: None: model scores and packing are no SQL; tests hold each stage against brute force.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
-from . import decontam, exactdedup, langid, licenses, ngramjoin, packing, sharding, tokenids, toxicity
+from . import chat, decontam, exactdedup, langid, licenses, ngramjoin, packing, sharding, tokenids, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query("op1_chat_format")
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 @_query("op2_license_scan", licenses.sql())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
