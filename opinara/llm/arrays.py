@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+RUN = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -93,13 +94,26 @@ class Words:
         closes[cuts] = inside[cuts]
         self.starts = np.flatnonzero(opens)
         self.ends = np.flatnonzero(closes) + 1
-        up, down = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(low * up[:n], dtype=np.uint64, out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self.hashes = mix(self._sums(low))
         self.bounds = np.searchsorted(self.starts, ends)  # bounds[i]: first word of document i
         self.counts = np.diff(self.bounds)
 
+    def _sums(self, low: np.ndarray) -> np.ndarray:
+        """Polynomial of each word's bytes, from running sums over runs of words of at most RUN bytes."""
+        out = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(out):
+            begin = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, begin + RUN, "right")))
+            n = int(self.ends[j - 1] - begin)
+            up, down = _power_tables(n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(low[begin: begin + n] * up[:n], dtype=np.uint64, out=sums[1:])
+            opens, closes = self.starts[i:j] - begin, self.ends[i:j] - begin
+            out[i:j] = (sums[closes] - sums[opens]) * down[opens]
+            i = j
+        return out
+
     def __len__(self) -> int:
         return len(self.hashes)
 

@@ -211,8 +211,8 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
             names = pa.array(shared.value.ids)
             for batch in batches:
                 for first, words in _blocks(batch.column("_text")):
-                    document, item, start, n, similarity = (
-                        list(x) for x in zip(*shared.value.matches(words), strict=True)) or [[]] * 5
+                    found_here = shared.value.matches(words)
+                    document, item, start, n, similarity = zip(*found_here, strict=True) if found_here else [()] * 5
                     yield pa.RecordBatch.from_arrays([
                         batch.column("_id").slice(first).take(pa.array(document, pa.int64())),
                         names.take(pa.array(item, pa.int64())), pa.array(start, pa.int64()), pa.array(n, pa.int64()),

@@ -27,6 +27,14 @@ _STEP = "100000000000000000000"    # 10^20: one more character outweighs any id
 _TOP = "10000000000000000000"      # 10^19: beyond any id
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken or f"{name}_kept" in taken:
+        name = f"_{name}"
+    return name
+
+
 def blank_free(text: str) -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), BLANKS, "")
 
@@ -64,13 +72,14 @@ def group_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
+    id_, sha, nth = (unused(docs, name) for name in ("keep_id", "sha", "nth"))
     kept = group_copies(docs, key, text).where("kept").select(
-        F.col(key).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
-    rows = docs.withColumn("_row_sha", F.sha2(blank_free(text), 256))
-    stay = rows.join(kept, rows[key].eqNullSafe(kept["_keep_id"]) & (rows["_row_sha"] == kept["_keep_sha"]), "left_semi")
+        F.col(key).alias(id_), F.col("text_sha256").alias(sha + "_kept")).distinct()
+    rows = docs.withColumn(sha, F.sha2(blank_free(text), 256))
+    stay = rows.join(kept, rows[key].eqNullSafe(kept[id_]) & (rows[sha] == kept[sha + "_kept"]), "left_semi")
     # the join has already brought equal (id, text) rows together: no further shuffle
-    first = Window.partitionBy(key, "_row_sha").orderBy(F.length(text).desc_nulls_last(), text)
-    return stay.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_row_sha")
+    first = Window.partitionBy(key, sha).orderBy(F.length(text).desc_nulls_last(), text)
+    return stay.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth, sha)
 
 
 def sql(table: str = "documents") -> str:

@@ -23,6 +23,7 @@ with the same text count as one; an empty table gives an empty result; extra col
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -67,8 +68,11 @@ def least_agreement(threshold: float = THRESHOLD, target: float = TARGET) -> int
 
 
 def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """MinHash values, one row per set; `starts` are the places where non-empty sets begin."""
-    out = np.empty((len(starts), TREES * LENGTH), np.uint32)
+    """Low 16 bits of MinHash values, one row per set; `starts` are the places where non-empty sets begin.
+
+    Different values rarely share these bits; where they do, one candidate more is verified.
+    """
+    out = np.empty((len(starts), TREES * LENGTH), np.uint16)
     for k in range(TREES * LENGTH):
         out[:, k] = np.minimum.reduceat((hashes * _FACTORS[k] + _SHIFTS[k]) >> np.uint64(32), starts)
     return out
@@ -118,32 +122,64 @@ def _forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def _chunk_pairs(members: DataFrame, by: list[str], size: int) -> DataFrame:
-    """Rows of `members` (with `by` and id) for each pair of chunks of their group; `side` is 0 or 1.
+    """Rows of `members` (with `by` and id) for each pair of chunks (x, y) of their group; `side` is 0 or 1.
 
-    A group of g rows has ceil(g / size) chunks, told apart by a hash of the id; a row meets each of them once.
+    A group of g > 1 rows has ceil(g / size) chunks, told apart by a hash of the id; a row meets each of them once.
     """
-    sizes = members.groupBy(*by).agg(F.count("*").alias("_g")).where("_g > 1").withColumn(
-        "_chunks", F.ceil(F.col("_g") / size).cast("int")).drop("_g")
-    rows = members.join(sizes, by).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_chunks").cast("bigint")).cast("int"))
+    sizes = members.groupBy(*by).agg(F.count("*").alias("_g")).where("_g > 1")
+    rows = members.join(sizes, by).withColumn("_chunks", F.ceil(F.col("_g") / size).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_chunks").cast("bigint")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
     return rows.select("*", other).select(
         "*", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"),
-        (F.col("_own") > F.col("_other")).cast("int").alias("side")).drop("_chunks", "_own", "_other")
+        (F.col("_own") > F.col("_other")).cast("int").alias("side")).drop("_g", "_chunks", "_own", "_other")
 
 
-def _matrix(column: pd.Series, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1)
+def _per_group(rows: DataFrame, by: list[str], function, schema: str) -> DataFrame:
+    """`function` on each group of rows, streamed from sorted partitions: groups are small and many."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        key = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[by].to_numpy(np.int64)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            out = []
+            for i, j in itertools.pairwise(cuts):
+                own = tuple(keys[i])
+                if held and own != key:
+                    out.append(function(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                key = own
+                held.append(pdf.iloc[i:j])
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield function(pd.concat(held) if len(held) > 1 else held[0])
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[bool, pd.DataFrame, pd.DataFrame]:
+    """Whether a chunk meets itself, and the rows of either side."""
+    if pdf["x"].iat[0] == pdf["y"].iat[0]:
+        return True, pdf, pdf
+    side = pdf["side"].to_numpy() == 0
+    return False, pdf[side], pdf[~side]
 
 
 def _candidates(least: int):
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf["x"].iloc[0] == pdf["y"].iloc[0]
-        pa_, pb = (pdf, pdf) if one else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-        a, b = _matrix(pa_["signature"], np.uint32), _matrix(pb["signature"], np.uint32)
+        _, one, two = _sides(pdf)
+        ids_a, ids_b = one["id"].to_numpy(np.int64), two["id"].to_numpy(np.int64)
+        if not len(ids_a) or not len(ids_b):
+            return pd.DataFrame({"a": ids_a[:0], "b": ids_b[:0]})
+        a, b = (np.frombuffer(b"".join(x["signature"]), np.uint16).reshape(len(x), -1) for x in (one, two))
         near = np.zeros((len(b), len(a)), bool)
         for i in range(len(b)):
             near[i] = (a == b[i]).sum(axis=1) >= least
-        left, right = _forest(near, pa_["id"].to_numpy(np.int64), pb["id"].to_numpy(np.int64))
+        left, right = _forest(near, ids_a, ids_b)
         return pd.DataFrame({"a": left, "b": right})
 
     return connect
@@ -168,19 +204,18 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _verify(threshold: float):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf["x"].iloc[0] == pdf["y"].iloc[0]
-        pa_, pb = (pdf, pdf) if one else (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])
-        ids_a, ids_b = pa_["id"].to_numpy(np.int64), pb["id"].to_numpy(np.int64)
+        one, left_rows, right_rows = _sides(pdf)
+        ids_a, ids_b = left_rows["id"].to_numpy(np.int64), right_rows["id"].to_numpy(np.int64)
         out = []
         if len(ids_a) and len(ids_b):
-            a = [np.frombuffer(x, np.uint64) for x in pa_["grams"]]
-            b = [np.frombuffer(x, np.uint64) for x in pb["grams"]]
+            a = [np.frombuffer(x, np.uint64) for x in left_rows["grams"]]
+            b = [np.frombuffer(x, np.uint64) for x in right_rows["grams"]]
             common = _shared(a, b)
             sizes = np.array([len(x) for x in b])[:, None] + np.array([len(x) for x in a])[None, :] - common
             near = common >= threshold * sizes - 1e-9
             if one:
                 np.fill_diagonal(near, False)
-            wa, wb = pa_["weight"].to_numpy(np.int64), pb["weight"].to_numpy(np.int64)
+            wa, wb = left_rows["weight"].to_numpy(np.int64), right_rows["weight"].to_numpy(np.int64)
             out.append(pd.DataFrame({"id": ids_b, "links": near @ wa, "b": ids_b}))
             if not one:
                 out.append(pd.DataFrame({"id": ids_a, "links": near.T @ wb, "b": ids_a}))
@@ -218,13 +253,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # trie nodes at the shortest prefix, as (tree, hash of the prefix)
     length = prefix_length(threshold, target)
     nodes = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(
-        F.lit(t), F.substring("signature", 4 * LENGTH * t + 1, 4 * length)).alias("prefix")) for t in range(TREES)])
+        F.lit(t), F.substring("signature", 2 * LENGTH * t + 1, 2 * length)).alias("prefix")) for t in range(TREES)])
     leaves = reps.select(F.col("name").alias("id"), F.explode(nodes).alias("node")).select("id", "node.*")
-    crowded = leaves.groupBy("tree", "prefix").agg(F.count("*").alias("_g")).where("_g > 1").select("tree", "prefix")
-    placed = reps.select(F.col("name").alias("id"), "signature", F.explode(nodes).alias("node")).select(
-        "id", "signature", "node.*").join(crowded, ["tree", "prefix"])
-    edges = _chunk_pairs(placed, ["tree", "prefix"], CHUNK).groupBy("tree", "prefix", "x", "y").applyInPandas(
-        _candidates(least_agreement(threshold, target)), "a bigint, b bigint")
+    # chunk pairs are made of ids alone; signatures join the few that share a node
+    pairs = _chunk_pairs(leaves, ["tree", "prefix"], CHUNK).join(
+        reps.select(F.col("name").alias("id"), "signature"), "id")
+    edges = _per_group(pairs, ["tree", "prefix", "x", "y"], _candidates(least_agreement(threshold, target)), "a bigint, b bigint")
     clusters = connected_components(edges)  # (id, root) of representatives with a candidate
 
     # exact comparison inside clusters
@@ -234,8 +268,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
              .mapInArrow(_grams, "id bigint, n bigint, d0 bigint, d1 bigint, grams binary"))
     full = materialize(again.join(chosen, ["id", "n", "d0", "d1"]).dropDuplicates(["name"])
                        .select(F.col("name").alias("id"), "root", "weight", "grams"), "grams")
-    found = materialize(_chunk_pairs(full, ["root"], CHUNK // 2).groupBy("root", "x", "y").applyInPandas(
-        _verify(threshold), "id bigint, links bigint, b bigint"), "links")
+    found = materialize(_per_group(_chunk_pairs(full, ["root"], CHUNK // 2), ["root", "x", "y"], _verify(threshold),
+                                   "id bigint, links bigint, b bigint"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     # a component is named by the smallest document id in it
     parts = connected_components(found.where("id <> b").select(F.col("id").alias("a"), "b"))
