@@ -100,7 +100,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int = WIND
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tokens.slices(batches):
             rows = []
             for i, ids in enumerate(tokens.encode_column(batch.column("_text"), vocabulary)):
                 ids += end

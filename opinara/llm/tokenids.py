@@ -38,8 +38,8 @@ DICTIONARY_ROWS = 1000
 DICTIONARY_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
 PART_ROWS = 20_000          # documents of a range of ids, about
-SEGMENT_BYTES = 4 << 20
-LEVEL = 3
+SEGMENT_BYTES = 1 << 20
+LEVEL = 1
 
 _MAGIC = b"TIDS"
 _VERSION = 1
@@ -123,7 +123,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, key: str
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cuts = shared.value
         press = zstandard.ZstdCompressor(level=LEVEL, **_options(known))
-        for batch in batches:
+        for batch in tokens.slices(batches):
             ids = [x + end for x in tokens.encode_column(batch.column("_text"), vocabulary)]
             own = batch.column("_id")
             part = np.searchsorted(cuts, own.fill_null(-(1 << 63)).to_numpy(), "right")
@@ -144,7 +144,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, key: str
                 "documents": pa.array([len(rows)], pa.int64()), "tokens": pa.array([sum(r[1] for r in rows)], pa.int64()),
                 "body": pa.array([_pack(rows, width, digest)], pa.binary())})
 
-        for batch in batches:
+        for batch in tokens.slices(batches):
             for p, own, n, frame in zip(*(batch.column(c).to_pylist() for c in ("part", "_id", "n", "frame")), strict=True):
                 if rows and (p != part or held + len(frame) > SEGMENT_BYTES):
                     yield close()

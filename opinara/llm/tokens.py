@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
+SLICE = 500  # documents whose ids are held at once
 KEPT_LENGTH = 32
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -105,6 +107,13 @@ def encoder(path: str) -> Encoder:
     return _workers[path]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE rows: ids take more room than text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def encode_column(column: pa.Array, path: str) -> list[bytes]:
     """Ids of each text of a string column; a null text has none."""
     encode = encoder(path).encode
