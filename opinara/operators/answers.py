@@ -190,22 +190,32 @@ def qa_batch(questions: DataFrame, texts: DataFrame, cache: DataFrame, now: int,
              k: int = 8, allowed_tokens: int = 512) -> DataFrame:
     """Answer a table of questions: cache, search, rerank, pack, answer.
 
-    ``questions`` has ``question_id, asin, question``.  A cached answer wins; the other
-    questions get an extractive answer from their reranked snippets.
+    ``questions`` has ``question_id, asin, question``; ``texts`` has ``review_id, parent_asin, text, date``.  A cached
+    answer wins; the other questions get an extractive answer from the reranked, scrubbed snippets of their own
+    product.  ``sources`` lists the snippets behind an answer as JSON, ``review_ids`` their keys by rank.
     """
     from .retrieval import snippets, tfidf_rerank, tfidf_search
 
-    looked = answer_cache_lookup(questions, cache, now)
-    asked = questions.join(looked.where("event_type = 'miss'"), "question_id", "left_semi")
+    looked = materialize(answer_cache_lookup(questions, cache, now), "looked")
+    asked = questions.join(looked.where("event_type = 'miss'"), "question_id", "left_semi").withColumn(
+        "parent_asin", F.col("asin"))
     found = snippets(tfidf_search(asked, texts, search_k), texts)
     best = materialize(tfidf_rerank(materialize(found, "found"), asked, k), "best")
+    keys = best.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("rank", "review_id"))), lambda x: x["review_id"]), ",").alias("review_ids"))
     made = extractive_answer(asked, best).join(
         prompt_pack(best, asked, allowed_tokens).select("question_id", "max_snippets", "snippet_chars"),
-        "question_id", "left")
+        "question_id", "left").join(keys, "question_id", "left").join(
+        snippets_json(best).withColumnRenamed("snippets_json", "sources"), "question_id", "left")
     return looked.select("question_id", "event_type", F.col("answer").alias("_cached")).join(
         made, "question_id", "left").select(
         "question_id", F.coalesce("_cached", "answer").alias("answer"),
         F.when(F.col("event_type") == "hit", "cached").otherwise(F.col("method")).alias("method"),
-        "max_snippets", "snippet_chars")
+        "max_snippets", "snippet_chars", "review_ids", "sources")
 
 
+def cache_rows(questions: DataFrame, answered: DataFrame, now: int) -> DataFrame:
+    """New answers as rows of the cache: asin, question, answer, created_at; cached ones are not written again."""
+    fresh = answered.where("method <> 'cached'").select("question_id", "answer")
+    return questions.join(fresh, "question_id").select(
+        "asin", C.normalize_question("question").alias("question"), "answer", F.lit(now).cast("bigint").alias("created_at"))

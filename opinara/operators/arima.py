@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-SCHEMA = "series_id string, last_ds date, step int, yhat double, yhat_lower double, yhat_upper double"
+SCHEMA = ("series_id string, last_ds date, step int, yhat double, yhat_lower double, yhat_upper double, "
+          "error string")
 
 
-def _lags(x: np.ndarray, k: int, start: int) -> list[np.ndarray]:
-    return [x[start - j: len(x) - j] for j in range(1, k + 1)]
+def _lags(x: np.ndarray, lags: list[int], start: int) -> list[np.ndarray]:
+    return [x[start - j: len(x) - j] for j in lags]
+
+
+def _lag_set(short: int, seasonal: int, s: int) -> list[int]:
+    """Lags of a product of a short and a seasonal polynomial."""
+    return sorted({i + j * s for i in range(short + 1) for j in range(seasonal + 1)} - {0})
 
 
 def _difference(y: np.ndarray, d: int, seasonal_d: int, s: int):
     """Differenced series and what is needed to undo it, innermost last."""
     undo = []
+    if len(y) <= seasonal_d * s + d + 2:
+        raise ValueError(f"{len(y)} points are too few for differences of season {s}")
     for _ in range(seasonal_d):
         undo.append((s, y[-s:].copy()))
         y = y[s:] - y[:-s]
@@ -30,30 +38,34 @@ def _difference(y: np.ndarray, d: int, seasonal_d: int, s: int):
     return y, undo
 
 
-def _arma(w: np.ndarray, p: int, q: int):
+def _arma(w: np.ndarray, p: list[int], q: list[int]):
     """Two-stage least squares: a long autoregression yields the shocks, then the series
-    is regressed on its own and the shocks' lags."""
+    is regressed on its own lags ``p`` and the shocks' lags ``q``."""
     n = len(w)
-    long = min(max(p + q, 1) + 2, max(n // 3, 1))
-    design = np.column_stack([np.ones(n - long), *_lags(w, long, long)])
+    long = min(max(len(p) + len(q), 1) + 2, max(n // 3, 1))
+    design = np.column_stack([np.ones(n - long), *_lags(w, list(range(1, long + 1)), long)])
     coef = np.linalg.lstsq(design, w[long:], rcond=None)[0]
     shocks = np.concatenate([np.zeros(long), w[long:] - design @ coef])
-    start = max(p, q, long if q else p)
+    start = max([*p, *q, long if q else 0])
+    if n - start < len(p) + len(q) + 2:
+        raise ValueError(f"{n} differenced points are too few for lags up to {start}")
     cols = [np.ones(n - start), *_lags(w, p, start), *_lags(shocks, q, start)]
     design = np.column_stack(cols)
     coef = np.linalg.lstsq(design, w[start:], rcond=None)[0]
     resid = w[start:] - design @ coef
     shocks = np.concatenate([np.zeros(start), resid])
-    return coef[0], coef[1: 1 + p], coef[1 + p:], shocks, float(np.std(resid))
+    return coef[0], coef[1: 1 + len(p)], coef[1 + len(p):], shocks, float(np.std(resid))
 
 
 def forecast_values(y: np.ndarray, order=(1, 1, 1), seasonal=(0, 0, 0, 0), periods: int = 90,
                     width: float = 0.95):
     """Mean path and interval of one series."""
-    (p, d, q), (sp, sd, _, s) = order, seasonal
+    (p, d, q), (sp, sd, sq, s) = order, seasonal
     w, undo = _difference(np.asarray(y, dtype=float), d, sd if s else 0, s)
-    p = max(p, sp * s)
-    c, ar, ma, shocks, sigma = _arma(w, p, q)
+    own, past = _lag_set(p, sp if s else 0, s), _lag_set(q, sq if s else 0, s)
+    c, ar_at, ma_at, shocks, sigma = _arma(w, own, past)
+    ar, ma = np.zeros(max(own, default=0)), np.zeros(max(past, default=0))
+    ar[np.array(own, int) - 1], ma[np.array(past, int) - 1] = ar_at, ma_at
     path, e = list(w), list(shocks)
     for _ in range(periods):
         nxt = c + sum(a * path[-j] for j, a in enumerate(ar, 1))
@@ -82,31 +94,37 @@ def fit_arima(series: DataFrame, order=(1, 1, 1), seasonal=(0, 0, 0, 0), periods
     """ARIMA means and intervals for every series; dates follow ``freq``.
 
     A group is one series of period means, so its size is bounded by the calendar.
-    Coefficients come from least squares, not from a likelihood solver.
+    Coefficients come from least squares, not from a likelihood solver.  A series that cannot be fitted is one row
+    with its ``error`` and no step.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
-        if len(pdf) < min_points:
-            return pd.DataFrame(columns=["series_id", "last_ds", "step", "yhat", "yhat_lower",
-                                         "yhat_upper"])
-        mean, low, high = forecast_values(pdf["y"].to_numpy(), order, seasonal, periods, width)
+        try:
+            if len(pdf) < min_points:
+                raise ValueError(f"{len(pdf)} points, at least {min_points} are needed")
+            mean, low, high = forecast_values(pdf["y"].to_numpy(), order, seasonal, periods, width)
+        except (ValueError, np.linalg.LinAlgError) as why:
+            return pd.DataFrame({
+                "series_id": pdf["series_id"].iloc[:1], "last_ds": pdf["ds"].iloc[-1], "step": pd.array([None], "Int32"),
+                "yhat": np.nan, "yhat_lower": np.nan, "yhat_upper": np.nan, "error": str(why)}).replace({np.nan: None})
         return pd.DataFrame({
             "series_id": pdf["series_id"].iloc[0], "last_ds": pdf["ds"].iloc[-1],
             "step": np.arange(1, periods + 1, dtype="int32"), "yhat": mean, "yhat_lower": low,
-            "yhat_upper": high})
+            "yhat_upper": high, "error": None})
 
     raw = series.select("series_id", "ds", "y").groupBy("series_id").applyInPandas(fit, SCHEMA)
     return raw.select(
         "series_id", C.next_period_end(F.col("last_ds"), F.col("step"), freq).alias("ds"), "step",
-        "yhat", "yhat_lower", "yhat_upper")
+        "yhat", "yhat_lower", "yhat_upper", "error")
 
 
 def arima_trend(forecast: DataFrame, series: DataFrame) -> DataFrame:
     """Trend summary: mean change per step, 30th and 90th values, alerts."""
     current = series.groupBy("series_id").agg(F.max_by("y", "ds").alias("current_sentiment"))
     last = F.max("step")
-    g = forecast.groupBy("series_id").agg(
+    failed = forecast.where("error is not null").select("series_id", "error")
+    g = forecast.where("error is null").groupBy("series_id").agg(
         last.alias("steps"), F.max_by("yhat", "step").alias("_end"),
         F.min_by("yhat", "step").alias("_start"), F.stddev_samp("yhat").alias("volatility"),
         F.map_from_entries(F.collect_list(F.struct("step", "yhat"))).alias("_path"))
@@ -115,10 +133,10 @@ def arima_trend(forecast: DataFrame, series: DataFrame) -> DataFrame:
     def at(k):
         return F.element_at("_path", F.least(F.lit(k), F.col("steps")))
 
-    return g.join(current, "series_id").select(
+    return g.join(failed, "series_id", "full").join(current, "series_id").select(
         "series_id",
-        F.when(F.col("slope") > 0.01, "Improving").when(F.col("slope") < -0.01, "Declining")
+        F.when(F.col("slope").isNull(), None).when(F.col("slope") > 0.01, "Improving").when(F.col("slope") < -0.01, "Declining")
         .otherwise("Stable").alias("trend_direction"),
         "slope", "current_sentiment", "volatility", at(30).alias("predicted_30"),
         at(90).alias("predicted_90"), (F.col("_end") < 0).alias("turns_negative"),
-        (F.col("slope") < -0.02).alias("rapid_decline"))
+        (F.col("slope") < -0.02).alias("rapid_decline"), "error")

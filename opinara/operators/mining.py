@@ -44,12 +44,13 @@ def _tokens(df: DataFrame, key: str, col: str) -> DataFrame:
 def embed_texts(df: DataFrame, key: str = "review_id", col: str = "text",
                 encoder: Callable[[pd.Series], pd.Series] | None = None, max_features: int = 1024,
                 dims: int = 384) -> DataFrame:
-    """Unit vectors ``(key, embedding)``: a given encoder in Arrow batches, else TF-IDF
-    reduced to at most ``dims`` principal components."""
+    """Unit vectors ``(key, embedding)``, one per row: a given encoder in Arrow batches, else TF-IDF
+    reduced to at most ``dims`` principal components.  A text without topic words is the zero vector."""
     if encoder is not None:
         run = F.pandas_udf(encoder, "array<float>")
         return df.select(key, C.l2_normalize(run(F.col(col))).cast("array<float>").alias("embedding"))
-    toks = materialize(_tokens(df, key, col), "tokens")
+    toks = materialize(df.select(key, F.coalesce(C.topic_tokens(col), F.array().cast("array<string>")).alias("tokens")),
+                       "tokens")
     counts = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max_features).fit(toks)
     k = min(dims, len(counts.vocabulary))
     stages = Pipeline(stages=[counts, IDF(inputCol="tf", outputCol="tfidf"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..session import materialize
 from .similarity import block_join, matrix
-from .text import term_counts, tfidf
+from .text import term_counts
 
 MAX_QUESTIONS = 4096   # bound of the question matrix that is broadcast
 CELL_ROWS = 65536
@@ -33,8 +33,10 @@ def build_corpus(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn(vector, C.l2_normalize(vector).cast("array<float>"))
 
 
-def product_corpus(corpus: DataFrame, asin: str) -> DataFrame:
-    return corpus.where(F.col("parent_asin") == asin)
+def product_corpus(corpus: DataFrame, asin: str, text: str = "text") -> DataFrame:
+    """The reviews of one product, their texts scrubbed."""
+    own = corpus.where(F.col("parent_asin") == asin)
+    return own.withColumn(text, C.scrub_pii(text)) if text in own.columns else own
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -123,30 +125,41 @@ def post_filter_product(candidates: DataFrame, corpus: DataFrame, questions: Dat
 
 
 def snippets(candidates: DataFrame, texts: DataFrame, chars: int = 1000) -> DataFrame:
-    """Candidates with their text and date; blank texts drop out."""
-    t = texts.select("review_id", F.substring("text", 1, chars).alias("text"), "date")
+    """Candidates with their scrubbed text and date; blank texts drop out.
+
+    Texts are scrubbed before they are cut, so that no half of an address survives, and cut before they move.
+    """
+    t = texts.select("review_id", F.substring(C.scrub_pii("text"), 1, chars).alias("text"), "date")
     return candidates.join(t, "review_id").where(F.trim("text") != "")
 
 
 # ---------------------------------------------------------------- TF-IDF search
 
-def tfidf_search(questions: DataFrame, texts: DataFrame, k: int = 20, max_features: int = 5000) -> DataFrame:
-    """Top-k texts per question by TF-IDF cosine.
+def tfidf_search(questions: DataFrame, texts: DataFrame, k: int = 20, product: str = "parent_asin") -> DataFrame:
+    """Top-k texts of the question's product by TF-IDF cosine: ``(question_id, review_id, score, rank)``.
 
-    Only terms of the questions take part in the join, so the postings shrink before any
-    shuffle.  Pair scores are summed map-side before they move.  The weighted postings are
-    written once, as the inverted index of the search.
+    Texts are scrubbed and counted inside their row; only ``(review, term, count)`` moves.  Document
+    frequencies cover the whole corpus and every term counts, however rare.  A question meets the reviews of
+    its own product that share a term with it, and pair scores are summed map-side.
     """
-    docs = materialize(tfidf(texts, "review_id", "text", max_features), "postings")
+    clean = texts.select("review_id", F.col(product).alias("_p"), C.scrub_pii("text").alias("text"))
+    tf = (clean.select("review_id", "_p", F.explode(C.topic_tokens("text")).alias("term"))
+          .groupBy("review_id", "_p", "term").agg(F.count("*").alias("tf")))
+    tf = materialize(tf, "postings")
     n = texts.agg(F.count("*")).scalar()
-    idf = docs.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
-    qt = (term_counts(questions, "question_id", "question").join(idf, "term")
-          .withColumn("_w", F.col("tf") * F.col("idf")))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("question_id")))
-    qt = qt.select("question_id", "term", (F.col("_w") / norm).alias("qw"))
-    pairs = (docs.join(qt, "term").groupBy("question_id", "review_id")
-             .agg(F.round(F.sum(F.col("qw") * F.col("weight")), 9).alias("score")))
-    return _rank(pairs, k)
+    idf = tf.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+    weighted = materialize(tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).drop("tf"), "weights")
+
+    asked = (questions.select("question_id", F.col(product).alias("_p"), F.explode(C.topic_tokens("question")).alias("term"))
+             .groupBy("question_id", "_p", "term").agg(F.count("*").alias("tf")))
+    qt = asked.join(idf, "term").withColumn("qw", F.col("tf") * F.col("idf")).select("question_id", "_p", "term", "qw")
+    dots = (weighted.where(F.col("_p").isNotNull()).join(qt, ["_p", "term"]).groupBy("question_id", "review_id")
+            .agg(F.sum(F.col("qw") * F.col("w")).alias("dot")))
+    norms = weighted.groupBy("review_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    qnorms = qt.groupBy("question_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    scored = dots.join(norms, "review_id").join(qnorms, "question_id").select(
+        "question_id", "review_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 9).alias("score"))
+    return _rank(scored, k)
 
 
 def tfidf_rerank(candidates: DataFrame, questions: DataFrame, k: int = 8) -> DataFrame:

@@ -338,16 +338,27 @@ def forecast_report(df: DataFrame, periods: int = 90, freq: str = "D", min_sampl
     }).na.fill(0, ["data_points", "changepoint_count", "anomaly_count"])
 
 
+PERIOD_DAYS = {"D": 1, "W": 7, "M": 28}
+
+
 def forecast_backtest(series: DataFrame, holdout: int = 6, freq: str = "D", **params) -> DataFrame:
-    """MAE and RMSE on the last ``holdout`` periods of each series."""
+    """MAE and RMSE on the last ``holdout`` periods of each series.
+
+    The horizon follows from the dates, so held-out points behind a gap are scored too.  ``held_out`` counts the
+    points kept back, ``points`` those a forecast covers: 0 for a series whose rest is too short to fit.
+    """
     back = F.row_number().over(_sid().orderBy(F.desc("ds")))
-    split = series.withColumn("_back", back)
+    split = materialize(series.withColumn("_back", back), "split")
     train = split.where(F.col("_back") > holdout).drop("_back")
     test = split.where(F.col("_back") <= holdout).select("series_id", "ds", "y")
-    steps = holdout * 4
-    pred = fit_forecast(train, steps, freq, **params).where("is_future").select(
+    reach = split.groupBy("series_id").agg(F.datediff(
+        F.max("ds"), F.max(F.when(F.col("_back") > holdout, F.col("ds")))).alias("days"))
+    days = reach.agg(F.max("days")).scalar()
+    steps = F.ceil(F.coalesce(days, F.lit(0)) / PERIOD_DAYS[freq])
+    horizon = max(holdout, split.sparkSession.range(1).select(steps).first()[0])
+    pred = fit_forecast(train, horizon, freq, **params).where("is_future").select(
         "series_id", "ds", "yhat")
     err = F.col("y") - F.col("yhat")
-    return test.join(pred, ["series_id", "ds"]).groupBy("series_id").agg(
-        F.count("*").alias("points"), F.avg(F.abs(err)).alias("mae"),
+    return test.join(pred, ["series_id", "ds"], "left").groupBy("series_id").agg(
+        F.count("*").alias("held_out"), F.count("yhat").alias("points"), F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"))

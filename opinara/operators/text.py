@@ -117,15 +117,14 @@ def term_counts(df: DataFrame, key: str, col: str = "text", ngram: tuple[int, in
                 stop_words: list[str] | None = None) -> DataFrame:
     """``(key, term, tf)``.
 
-    Texts move once, by key.  The counts per (key, term) and any window per key need no
-    further shuffle, and several uses of the counts share that one exchange.
+    Texts stay where they are: only (key, term) rows move, counted before they do.
     """
     low, high = ngram
     grams = C.let(
         C.topic_tokens(col, stop_words),
         lambda t: F.concat(*[t if n == 1 else C.ngrams(t, n) for n in range(low, high + 1)]),
     )
-    return (df.select(key, col).repartition(key).select(key, F.explode(grams).alias("term"))
+    return (df.select(key, F.explode(grams).alias("term"))
             .groupBy(key, "term").agg(F.count("*").alias("tf")))
 
 

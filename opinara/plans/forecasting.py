@@ -246,9 +246,10 @@ def _(spark, sf):
 
 @query("forecast_backtest", B.CLEAN_MORE + prep_cte("M", 5) + ", bk as (select *, row_number() over "
        "(partition by series_id order by ds desc) as back from ser), trn as (select series_id, ds, y from "
-       "bk where back > 6)" + forecast_cte(24, "trn") + "select bk.series_id, count(*) as points, "
+       "bk where back > 6)" + forecast_cte(48, "trn") + "select bk.series_id, count(*) as held_out, "
+       "count(yhat) as points, "
        "round(avg(abs(bk.y - yhat)), 6) as mae, round(sqrt(avg((bk.y - yhat) * (bk.y - yhat))), 6) as rmse "
-       "from bk join fc on fc.series_id = bk.series_id and fc.ds = bk.ds and is_future where back <= 6 "
+       "from bk left join fc on fc.series_id = bk.series_id and fc.ds = bk.ds and is_future where back <= 6 "
        "group by 1")
 def _(spark, sf):
     return rounded(ts.forecast_backtest(_monthly(spark, sf), 6, "M"), 6)
@@ -264,3 +265,24 @@ def _(spark, sf):
 def _(spark, sf):
     s = materialize(ts.prepare_series(clean(spark, sf), "M", 5, method="arima"), "series")
     return arima.arima_trend(arima.fit_arima(s, (1, 1, 1), periods=12, freq="M"), s)
+
+
+ARIMA_110 = (
+    CLEAN_RECURSIVE + prep_cte("M", 5, "arima") + ", d as (select series_id, ds, y, y - lag(y) over w as d from ser "
+    "window w as (partition by series_id order by ds)), l as (select *, lag(d) over (partition by series_id order by ds) "
+    "as p from d), f as (select series_id, regr_slope(d, p) as a, regr_intercept(d, p) as c, max(ds) as last, "
+    "arg_max(y, ds) as y0, arg_max(d, ds) as d0, count(*) as n from l group by 1 having count(*) >= 10), "
+    "e as (select series_id, stddev_pop(d - c - a * p) as sd from l join f using (series_id) where p is not null group "
+    "by 1), r as (select series_id, 0 as step, y0 as y, d0 as d, 0.0::double as cum, 1.0::double as pw, 0.0::double as v, a, c, last from f union "
+    "all select series_id, step + 1, y + c + a * d, c + a * d, cum + pw, pw * a, v + (cum + pw) * (cum + pw), a, c, last "
+    "from r where step < 12) ")
+
+
+@query("forecast_arima_110", ARIMA_110 + "select r.series_id, last_day(cast(date_trunc('month', last) as date) + "
+       "to_months(cast(step as integer))) as ds, cast(step as integer) as step, round(y, 6) as yhat, "
+       f"round(y - {Z95!r} * sd * sqrt(v), 6) as yhat_lower, round(y + {Z95!r} * sd * sqrt(v), 6) as yhat_upper from r "
+       "join e using (series_id) where step > 0")
+def _(spark, sf):
+    s = ts.prepare_series(clean(spark, sf), "M", 5, method="arima")
+    out = arima.fit_arima(s, (1, 1, 0), periods=12, freq="M")
+    return rounded(out.where("error is null").drop("error"), 6)

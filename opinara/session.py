@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,24 @@ RUNTIME_CONF = {
 }
 
 
+_own: list[tempfile.TemporaryDirectory] = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster on which it is not installed."""
+    top = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(top)))
+    path = os.path.join(tempfile.mkdtemp(prefix="opinara-"), "opinara.zip")
+    with open(path, "wb") as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator assumes (all are session-level)."""
     for key, value in RUNTIME_CONF.items():
@@ -35,9 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="opinara-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _own:  # for tests and trials on one machine; removed when Python ends
+        _own.append(tempfile.TemporaryDirectory(prefix="opinara-"))
+    spark.conf.set("spark.checkpoint.dir", _own[0].name)
+    return _own[0].name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

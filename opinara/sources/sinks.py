@@ -6,33 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import scrub_pii
+from ..operators.preprocess import top_per_group
+from ..session import materialize
 from .readers import path_exists
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "csv", ts: str = "timestamp") -> None:
-    """Scored rows in one folder per year and month."""
+    """Scored rows in one folder per year and month; months that ``df`` does not hold stay as they are."""
     writer = df.withColumns({"year": F.year(ts), "month": F.month(ts)}).write.mode("overwrite")
+    writer = writer.option("partitionOverwriteMode", "dynamic")
     writer = writer.partitionBy("year", "month").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
 
 
-def unseen(df: DataFrame, existing: DataFrame | None, key: str = "review_id") -> DataFrame:
+def unseen(df: DataFrame, existing: DataFrame | None, key: str | list[str] = "review_id") -> DataFrame:
     """Rows whose key the existing output lacks."""
-    return df if existing is None else df.join(existing.select(key), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    return df if existing is None else df.join(existing.select(*keys), keys, "left_anti")
 
 
 def append_incremental(df: DataFrame, path: str, ts: str = "timestamp",
                        key: str = "review_id") -> None:
     """Append the rows that are not in the output yet, one folder per month.
 
-    Running it again adds nothing, so an interrupted run can simply be repeated.
+    Of rows that share a key in one batch the earliest stays.  Only the months of the batch are read from the
+    output.  Running it again adds nothing, so an interrupted run can simply be repeated.
     """
     spark = df.sparkSession
-    month = df.withColumn("year_month", F.date_format(ts, "yyyy-MM"))
-    old = spark.read.parquet(path) if path_exists(spark, path) else None
-    unseen(month, old, key).write.mode("append").partitionBy("year_month").parquet(path)
+    batch = top_per_group(df, [key], [ts], 1).drop("rank")
+    month = batch.withColumn("year_month", F.date_format(ts, "yyyy-MM"))
+    old = None
+    if path_exists(spark, path):
+        # as many rows as the batch has months: the calendar bounds it, and partitions are pruned by it
+        months = month.select("year_month").distinct()
+        old = spark.read.parquet(path)
+        old = old.withColumn("year_month", F.date_format(ts, "yyyy-MM")).select(key, "year_month") if (
+            "year_month" not in old.columns) else old.select(key, F.col("year_month").cast("string"))
+        old = old.join(F.broadcast(months), "year_month", "left_semi")
+    unseen(month, old, [key, "year_month"]).write.mode("append").partitionBy("year_month").parquet(path)
 
 
 def save_preprocessed(df: DataFrame, path: str) -> None:
@@ -48,9 +61,13 @@ def save_preprocessed(df: DataFrame, path: str) -> None:
 
 
 def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "json") -> list[str]:
-    """One folder per named table; empty tables are left out.  Returns the names written."""
+    """One folder per named table; empty tables are left out.  Returns the names written.
+
+    A table is computed once, into the scratch folder, before it is looked at.
+    """
     written = []
     for name, table in tables.items():
+        table = materialize(table, "report")
         if table.isEmpty():
             continue
         writer = table.write.mode("overwrite").format(fmt)

@@ -98,10 +98,13 @@ def test_retrieval_both_ways(spark, monkeypatch, limit):
 
 def test_three_battery_reviews(spark):
     t = spark.createDataFrame(
-        [("1", "battery life is great and the battery lasts", dt.date(2020, 1, 1)),
-         ("2", "the battery died quickly", dt.date(2020, 1, 2)), ("3", "battery charging fast", dt.date(2020, 1, 3))],
-        "review_id string, text string, date date")
-    q = spark.createDataFrame([(1, "how is the battery", "p")], "question_id bigint, question string, asin string")
+        [("1", "p", "battery life is great and the battery lasts", dt.date(2020, 1, 1)),
+         ("2", "p", "the battery died quickly, ask joe.doe@mail.example.com", dt.date(2020, 1, 2)),
+         ("3", "p", "battery charging fast", dt.date(2020, 1, 3)),
+         ("4", "other", "battery battery battery", dt.date(2020, 1, 3)), ("5", None, "battery", None)],
+        "review_id string, parent_asin string, text string, date date")
+    q = spark.createDataFrame([(1, "how is the battery", "p", "p")],
+                              "question_id bigint, question string, asin string, parent_asin string")
     found = retrieval.snippets(retrieval.tfidf_search(q, t, 3), t)
     assert found.count() == 3
     best = retrieval.tfidf_rerank(found, q, 2)
@@ -114,6 +117,15 @@ def test_three_battery_reviews(spark):
     assert (hit["method"], hit["answer"]) == ("cached", "fine")
     miss = answers.qa_batch(q, t, cache, now=10**9).first()
     assert miss["method"] == "extractive_fallback" and "Top 3" in miss["answer"]
+    assert sorted(miss["review_ids"].split(",")) == ["1", "2", "3"]  # its own product only
+    for shown in (miss["answer"], miss["sources"]):
+        assert "joe.doe" not in shown and "[REDACTED_EMAIL]" in shown
+    rows = answers.cache_rows(q, answers.qa_batch(q, t, cache, now=10**9), 10**9)
+    again = answers.qa_batch(q, t, rows, now=10**9 + 5).first()
+    assert (again["method"], again["answer"]) == ("cached", miss["answer"])
+    assert answers.cache_rows(q, answers.qa_batch(q, t, rows, now=10**9 + 5), 1).count() == 0
+    plan = retrieval.tfidf_search(q, t, 3)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "text" in line]
 
 
 def test_prompt_pack_steps(spark):
@@ -230,3 +242,62 @@ def test_random_block_join_covers_all_pairs(spark):
     out = similarity.block_join(left, right, count, "id bigint, n bigint", chunk=7)
     assert {(r["id"], r["s"]) for r in out.groupBy("id").agg(F.sum("n").alias("s")).collect()} == {
         (i, 25) for i in range(30)}
+
+
+def test_sinks_keep_other_months(spark):
+    from opinara.session import scratch_path
+    from opinara.sources import sinks
+
+    def month(m, ids):
+        return spark.createDataFrame([(i, dt.datetime(2024, m, 3)) for i in ids], "review_id string, timestamp timestamp")
+
+    path = scratch_path(spark, "months")
+    sinks.write_results(month(1, "ab"), path, "parquet")
+    sinks.write_results(month(2, "cd"), path, "parquet")
+    sinks.write_results(month(2, "e"), path, "parquet")
+    assert sorted(r["review_id"] for r in spark.read.parquet(path).collect()) == ["a", "b", "e"]
+    path = scratch_path(spark, "increments")
+    sinks.append_incremental(month(1, "aab"), path)
+    sinks.append_incremental(month(1, "bcc").union(month(2, "d")), path)
+    sinks.append_incremental(month(1, "bcc").union(month(2, "d")), path)
+    assert sorted(r["review_id"] for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "d"]
+
+
+def test_backtest_scores_points_behind_gaps(spark):
+    from opinara.operators import series
+
+    days = [*range(0, 60), 67, 74, 81, 88, 95, 102]
+    rows = [("gappy", dt.date(2024, 1, 1) + dt.timedelta(d), 0.1 * d, 9) for d in days]
+    rows += [("short", dt.date(2024, 1, 1) + dt.timedelta(d), 1.0, 9) for d in range(8)]
+    s = spark.createDataFrame(rows, "series_id string, ds date, y double, n bigint")
+    got = {r["series_id"]: (r["held_out"], r["points"]) for r in series.forecast_backtest(s, 6, "D").collect()}
+    assert got == {"gappy": (6, 6), "short": (6, 0)}
+
+
+def test_arima_reports_series_it_cannot_fit(spark):
+    import numpy as np
+
+    from opinara.operators import arima
+
+    wave = [float(np.sin(i * np.pi / 6) + 0.01 * i) for i in range(72)]
+    rows = [("good", dt.date(2018, 1, 1) + dt.timedelta(30 * i), y) for i, y in enumerate(wave)]
+    rows += [("short", dt.date(2018, 1, 1) + dt.timedelta(30 * i), 1.0) for i in range(5)]
+    rows += [("season", dt.date(2018, 1, 1) + dt.timedelta(30 * i), float(i % 5)) for i in range(12)]
+    s = spark.createDataFrame(rows, "series_id string, ds date, y double")
+    out = arima.fit_arima(s, (1, 0, 1), (1, 1, 1, 12), 12, "M").collect()
+    failed = {r["series_id"] for r in out if r["error"]}
+    assert failed == {"short", "season"} and sum(r["series_id"] == "good" for r in out) == 12
+    trend = {r["series_id"]: r for r in arima.arima_trend(arima.fit_arima(s, (1, 0, 1), (1, 1, 1, 12), 12, "M"), s).collect()}
+    assert trend["short"]["error"] and trend["short"]["trend_direction"] is None and trend["good"]["error"] is None
+    with_ma, without = (arima.forecast_values(np.array(wave) + np.random.default_rng(0).normal(0, .1, 72), (1, 0, 0), (0, 1, q, 12), 6)[0]
+                        for q in (1, 0))
+    assert not np.allclose(with_ma, without)
+    assert arima._lag_set(1, 2, 12) == [1, 12, 13, 24, 25]
+
+
+def test_every_text_has_a_vector(spark):
+    from opinara.operators import mining
+
+    t = spark.createDataFrame([("a", "great battery life"), ("b", ""), ("c", None), ("d", "poor battery")], "review_id string, text string")
+    got = {r["review_id"]: r["embedding"] for r in mining.embed_texts(t, dims=2).collect()}
+    assert set(got) == set("abcd") and set(got["b"]) == set(got["c"]) == {0.0}
