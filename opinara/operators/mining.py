@@ -118,7 +118,7 @@ def kmeans_profile(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, k:
 
 def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: str | None = "Negative",
                category: str | None = None, min_reviews: int = 20, max_iter: int = 20,
-               vocab_size: int = 20_000, weight: float = 0.3, seed: int = 42) -> DataFrame | None:
+               vocab_size: int | None = None, weight: float = 0.3, seed: int = 42) -> DataFrame | None:
     """Topics of the matching reviews: words with weights, documents above ``weight`` and
     their most frequent aspects, joined by review id.  None with too few reviews."""
     m = _filtered(mentions, sentiment, category)
@@ -126,6 +126,8 @@ def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: st
     docs = materialize(_tokens(texts.join(ids, "review_id", "left_semi"), "review_id", "text"), "docs")
     if docs.count() < min_reviews:
         return None
+    if vocab_size is None:  # all words that the document-frequency bounds leave
+        vocab_size = max(1, docs.select(F.explode("tokens").alias("w")).select("w").distinct().count())
     counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=2.0, maxDF=0.5,
                              vocabSize=vocab_size).fit(docs)
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -19,26 +19,33 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def _range_of(v: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts are at most v, by binary search."""
+    steps = F.array(*[F.lit(BUCKETS >> i) for i in range(1, BUCKETS.bit_length())])
+
+    def take(at: Column, step: Column) -> Column:
+        return F.when((at + step < BUCKETS) & (F.get(cuts, at + step - 1) <= v), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), take)
+
+
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                     probs: dict[str, float]) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``probs``, plus ``n``.
 
-    Equal values collapse first.  The distinct values of a group are split into ranges;
-    range totals tell which range holds a wanted rank, and only those ranges are ranked
-    in detail.  A group with a third of all rows is therefore spread over many tasks.
+    Equal values collapse first.  The distinct values of a group are split into ranges that hold
+    about equally many of them, wherever they lie: the bounds come from a sketch.  Range totals
+    tell which range holds a wanted rank, and only those ranges are ranked in detail, so the result is exact.
+    A group with a third of all rows, or one far outlier, is therefore spread over many tasks.
     """
     groups = list(groups)
     counts = value_counts(df, groups, value)
     if not groups:
         counts = counts.withColumn("_g", F.lit(0))
     g = groups or ["_g"]
-    stats = counts.groupBy(*g).agg(
-        F.sum("c").alias("n"), F.min("v").alias("_lo"), F.max("v").alias("_hi")
-    )
-    span = F.col("_hi") - F.col("_lo")
-    bucket = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("_lo")) / span * BUCKETS),
-                                      F.lit(BUCKETS - 1))).otherwise(0).cast("int")
-    placed = counts.join(stats, g).withColumn("_b", bucket)
+    cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    stats = counts.groupBy(*g).agg(F.sum("c").alias("n"), F.percentile_approx("v", cuts, 10 * BUCKETS).alias("_cuts"))
+    placed = counts.join(stats, g).withColumn("_b", _range_of(F.col("v"), F.col("_cuts"))).drop("_cuts")
 
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor((F.col("n") - 1) * p), F.ceil((F.col("n") - 1) * p))

@@ -15,8 +15,7 @@ from ..session import materialize
 from .similarity import block_join, matrix
 from .text import term_counts
 
-MAX_QUESTIONS = 4096   # bound of the question matrix that is broadcast
-CELL_ROWS = 65536
+SLAB = 2048   # questions, about, whose matrix is broadcast at a time
 
 
 def label_centroids(df: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -59,10 +58,9 @@ def retrieve_top_k(corpus: DataFrame, questions: DataFrame, k: int = 8,
                    same_product: bool = False) -> DataFrame:
     """Exact cosine top-k of every question: ``(question_id, review_id, score, rank)``.
 
-    Global search scores each Arrow batch of the corpus against the question matrix and
-    keeps a running top-k per task, so a task returns ``k`` rows per question whatever
-    its share of the corpus.  The matrix is broadcast only when the questions are few;
-    more of them are joined block by block.  With ``same_product`` only reviews of the
+    Global search takes the questions in slabs of about ``SLAB``, by hash of the id.  A slab's
+    matrix is broadcast; each Arrow batch of the corpus is scored against it with a running top-k
+    per task, so a task returns ``k`` rows per question whatever its share of the corpus.  With ``same_product`` only reviews of the
     question's product compete, found by an equi-join in bounded chunks.
     """
     q = questions.select("question_id", C.l2_normalize("embedding").alias("v"),
@@ -83,19 +81,21 @@ def retrieve_top_k(corpus: DataFrame, questions: DataFrame, k: int = 8,
             q.select(F.col("question_id").alias("id"), "v", F.col("parent_asin").alias("cell")),
             block, SCHEMA), k)
 
-    few = q.limit(MAX_QUESTIONS + 1).collect()
-    if len(few) > MAX_QUESTIONS:
-        cells = max(1, math.ceil(c.count() / CELL_ROWS))
-        return _rank(block_join(
-            c.select(F.col("review_id").alias("id"), "v",
-                     F.pmod(F.xxhash64("review_id"), F.lit(cells)).cast("int").alias("cell")),
-            q.select(F.col("question_id").alias("id"), "v",
-                     F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")),
-            block, SCHEMA), k)
+    slabs = math.ceil(q.count() / SLAB)
+    found = None
+    for slab in range(slabs):
+        rows = q.where(F.pmod(F.xxhash64("question_id"), F.lit(slabs)) == slab).collect()
+        if rows:
+            best = _scan(c, rows, k)
+            found = best if found is None else found.unionByName(best)
+    return _rank(corpus.sparkSession.createDataFrame([], SCHEMA) if found is None else found, k)
+
 
+def _scan(corpus: DataFrame, questions: list, k: int) -> DataFrame:
+    """The best ``k`` of each task for a slab of questions."""
     shared = corpus.sparkSession.sparkContext.broadcast((
-        np.array([r["question_id"] for r in few], dtype=np.int64),
-        np.array([r["v"] for r in few], dtype=np.float64)))
+        np.array([r["question_id"] for r in questions], dtype=np.int64),
+        np.array([r["v"] for r in questions], dtype=np.float64)))
 
     def scan(batches):
         qids, m = shared.value
@@ -111,7 +111,7 @@ def retrieve_top_k(corpus: DataFrame, questions: DataFrame, k: int = 8,
         yield pd.DataFrame({"question_id": np.repeat(qids, scores.shape[1]),
                             "review_id": ids.ravel(), "score": scores.ravel()})
 
-    return _rank(c.mapInPandas(scan, SCHEMA), k)
+    return corpus.mapInPandas(scan, SCHEMA)
 
 
 def post_filter_product(candidates: DataFrame, corpus: DataFrame, questions: DataFrame,

@@ -30,7 +30,7 @@ def _mentions(spark, sf):
 
 
 def _vectors(spark, sf):
-    return mining.embed_texts(_texts(spark, sf), max_features=256, dims=32)
+    return mining.embed_texts(_texts(spark, sf))
 
 
 @query("seeded_sample", "select doc_id, lang from documents order by md5(cast(doc_id as varchar) || ':42'),"
@@ -62,14 +62,12 @@ def _(spark, sf):
 
 @query("lda_topics")
 def _(spark, sf):
-    return mining.lda_topics(_mentions(spark, sf), _texts(spark, sf), 10, max_iter=10,
-                             vocab_size=5000)
+    return mining.lda_topics(_mentions(spark, sf), _texts(spark, sf), 10)
 
 
 @query("category_topics")
 def _(spark, sf):
-    return mining.category_topics(_mentions(spark, sf), _texts(spark, sf), 3, max_iter=5,
-                                  vocab_size=2000)
+    return mining.category_topics(_mentions(spark, sf), _texts(spark, sf), 5)
 
 
 @query("classify_reviews")
@@ -78,14 +76,13 @@ def _(spark, sf):
         F.col("doc_id").cast("string").alias("review_id"),
         F.when(F.col("toxic") == 1, 1.0).when(F.col("quality") == 1, 5.0).otherwise(3.0).alias("rating"))
     data = _texts(spark, sf).join(labels, "review_id")
-    return rounded(mining.classification_scores(data, max_features=1000, max_iter=30), 6)
+    return rounded(mining.classification_scores(data), 6)
 
 
 @query("topic_report")
 def _(spark, sf):
     path = scratch_path(spark, "topic-report")
-    tables = mining.topic_report(_mentions(spark, sf), _texts(spark, sf), _vectors(spark, sf), 5, 5, 2,
-                                 max_iter=5, vocab_size=2000)
+    tables = mining.topic_report(_mentions(spark, sf), _texts(spark, sf), _vectors(spark, sf))
     out = None
     for name in sinks.write_report(tables, path):
         part = spark.read.json(f"{path}/{name}").agg(F.count("*").alias("rows")).select(
