@@ -38,7 +38,7 @@ DICTIONARY_ROWS = 1000
 DICTIONARY_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
 PART_ROWS = 20_000          # documents of a range of ids, about
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 256 << 10
 LEVEL = 1
 
 _MAGIC = b"TIDS"
@@ -51,6 +51,15 @@ def _hash(dictionary: bytes) -> int:
     return int(arrays.mix(np.array([zlib.crc32(dictionary) << 32 | zlib.adler32(dictionary)], np.uint64))[0])
 
 
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """A compressor that has digested the dictionary once, not for every document."""
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=LEVEL)
+    known = zstandard.ZstdCompressionDict(dictionary)
+    known.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
+
+
 def _options(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
@@ -122,7 +131,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, key: str
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cuts = shared.value
-        press = zstandard.ZstdCompressor(level=LEVEL, **_options(known))
+        press = _compressor(known)
         for batch in tokens.slices(batches):
             ids = [x + end for x in tokens.encode_column(batch.column("_text"), vocabulary)]
             own = batch.column("_id")
