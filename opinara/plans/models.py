@@ -150,13 +150,29 @@ def _(spark, sf):
     return rounded(jobs.run_to_table(s, "means").withColumn("ds", F.col("ds").cast("timestamp_ntz")))
 
 
-@query("stream_cusum")
+CUSUM_WALK = (
+    SCORED_EV.replace("with ", "with recursive ", 1) + ", mn as (select main_category as series_id, time_bucket(interval "
+    "6 hour, ts::timestamp, timestamp '1970-01-01') + interval 6 hour as ds, avg(sentiment_score) as y from sv, wm group "
+    "by 1, 2, wm having ds <= wm), nu as (select *, row_number() over (partition by series_id order by ds) as i from mn), "
+    "wk as (select distinct series_id, null::timestamp as ds, 0::bigint as i, 0.0::double as mean, 0.0::double as m2, "
+    "0.0::double as up, 0.0::double as down, null::varchar as direction from nu union all "
+    "select series_id, ds, i, mean + (y - mean) / i, m2 + (y - mean) * (y - (mean + (y - mean) / i)), "
+    "case when greatest(u, d) > 2.0 and live then 0 else u end, case when greatest(u, d) > 2.0 and live then 0 else d end, "
+    "case when greatest(u, d) > 2.0 and live then case when u >= d then 'up' else 'down' end end from (select *, "
+    "case when live then greatest(0, up + z - 0.5) else up end as u, case when live then greatest(0, down - z - 0.5) else "
+    "down end as d from (select wk.series_id, nu.ds, nu.i, nu.y, mean, m2, up, down, wk.i >= 10 and m2 > 0 as live, "
+    "case when m2 > 0 then (nu.y - mean) / sqrt(m2 / wk.i) end as z from wk join nu on nu.series_id = wk.series_id and "
+    "nu.i = wk.i + 1))) ")
+
+
+@query("stream_cusum", CUSUM_WALK + "select series_id, ds, direction from wk where direction is not null")
 def _(spark, sf):
     path = scratch_path(spark, "closed-windows")
     means = jobs.window_means(_stream(spark, sf), "main_category", "6 hours")
     jobs.run_to_table(means, "means", path=path)
     closed = spark.readStream.schema(means.schema).parquet(path)
-    return jobs.run_to_table(jobs.cusum_stream(closed, threshold=2.0), "cusum")
+    hits = jobs.run_to_table(jobs.cusum_stream(closed, threshold=2.0), "cusum")
+    return hits.withColumn("ds", F.col("ds").cast("timestamp_ntz"))
 
 
 @query("session_batch", SCORED_EV + ", ss as (select user_id, ts, sum(cast(coalesce(ts - p > interval "

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as ans
-from ..operators import preprocess as pre
 from ..operators import retrieval as ret
 from ..operators import similarity as sim
 from ..session import materialize, scratch_path
@@ -255,36 +255,36 @@ def _(spark, sf):
 # ---------------------------------------------------------------- answers
 
 def _conversation_answers(spark, sf):
-    """The last assistant turn of every conversation in one of four answer forms, and the
-    first user turns as its snippets."""
+    """Every assistant turn in one of four answer forms, and the user turns of its
+    conversation as its snippets."""
     conv = fx.table(spark, sf, "conversations")
-    last = conv.where("role = 'assistant'").groupBy("conv_id").agg(
-        F.max_by("text", "turn").alias("text"))
+    every = conv.where("role = 'assistant'").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), "conv_id", "text")
     safe = F.regexp_replace("text", "[^a-zA-Z ]", "")
     js = F.concat(F.lit('{"summary": "'), safe, F.lit(
         '", "pros": ["soft"], "cons": [], "evidence": [{"index": 0, "excerpt": "x"}]}'))
-    form = F.col("conv_id") % 4
+    form = F.col("question_id") % 4
     answer = F.when(form == 0, js).when(form == 1, F.concat(F.lit("Sure: "), js, F.lit(" done"))).when(
         form == 2, F.concat(F.lit("Answer: "), F.col("text"),
                             F.lit(" [0] [1] [1] [9]\nEvidence: [0] quoted"))).otherwise("see [1]")
-    users = pre.top_per_group(conv.where("role = 'user'"), ["conv_id"], ["turn"], 6)
-    return (last.select(F.col("conv_id").alias("question_id"), answer.alias("answer")),
-            users.select(F.col("conv_id").alias("question_id"), "rank",
-                         F.col("turn").cast("string").alias("review_id"), "text",
-                         F.lit("2024-01-01").cast("date").alias("date"),
-                         (1 / (1 + F.col("turn"))).alias("score")))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    users = conv.where("role = 'user'").select(
+        "conv_id", F.row_number().over(order).alias("rank"), F.col("turn").cast("string").alias("review_id"), "text",
+        F.lit("2024-01-01").cast("date").alias("date"), (1 / (1 + F.col("turn"))).alias("score"))
+    return (every.select("question_id", answer.alias("answer")),
+            every.select("question_id", "conv_id").join(users, "conv_id").drop("conv_id"))
 
 
 ANSWERS = (
-    "with la as (select conv_id, arg_max(text, turn) as text from conversations where role = 'assistant' "
-    "group by 1), js as (select *, '{\"summary\": \"' || regexp_replace(text, '[^a-zA-Z ]', '', 'g') || "
+    "with la as (select conv_id * 100 + turn as question_id, conv_id, text from conversations where role = 'assistant'), "
+    "js as (select *, '{\"summary\": \"' || regexp_replace(text, '[^a-zA-Z ]', '', 'g') || "
     "'\", \"pros\": [\"soft\"], \"cons\": [], \"evidence\": [{\"index\": 0, \"excerpt\": \"x\"}]}' as j "
-    "from la), an as (select conv_id as question_id, case conv_id % 4 when 0 then j when 1 then 'Sure: ' "
+    "from la), an as (select question_id, case question_id % 4 when 0 then j when 1 then 'Sure: ' "
     "|| j || ' done' when 2 then 'Answer: ' || text || ' [0] [1] [1] [9]' || chr(10) || "
-    "'Evidence: [0] quoted' else 'see [1]' end as answer from js), us as (select conv_id as question_id, "
+    "'Evidence: [0] quoted' else 'see [1]' end as answer from js), ut as (select conv_id, "
     "cast(row_number() over (partition by conv_id order by turn) as integer) as rank, cast(turn as "
     "varchar) as review_id, text, date '2024-01-01' as date, 1 / (1 + turn) as score from conversations "
-    "where role = 'user' qualify rank <= 6) ")
+    "where role = 'user'), us as (select question_id, ut.* exclude (conv_id) from la join ut using (conv_id)) ")
 CITED = (", ci as (select distinct question_id, cast(unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) "
          "as integer) as index from an), cs as (select ci.question_id, index, " +
          entry_sql("rank - 1", 300) + " as snippet from ci join us on us.question_id = ci.question_id and "
@@ -331,14 +331,16 @@ def _(spark, sf):
     return ans.guard_answer(*_conversation_answers(spark, sf))
 
 
-@query("snippets_json", ANSWERS + "select question_id, count(*) as n, string_agg(review_id, ',' order by "
-       "rank) as ids from us group by 1")
+@query("snippets_json", ANSWERS + "select question_id, count(*) as n, string_agg(review_id || '|' || text || '|' || "
+       "strftime(date, '%Y-%m-%d') || '|' || cast(round(score * 1000) as integer), ';' order by "
+       "rank) as items from us group by 1")
 def _(spark, sf):
     _, s = _conversation_answers(spark, sf)
     back = F.from_json("snippets_json", "array<struct<review_id:string,text:string,date:string,score:double>>")
     return ans.snippets_json(s).select(
         "question_id", F.size(back).cast("bigint").alias("n"),
-        F.array_join(back["review_id"], ",").alias("ids"))
+        F.array_join(F.transform(back, lambda s: F.concat_ws("|", s["review_id"], s["text"], s["date"], F.round(
+            s["score"] * 1000).cast("int").cast("string"))), ";").alias("items"))
 
 
 EPOCH, DAY = 1_700_000_000, 86_400
