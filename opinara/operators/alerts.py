@@ -1,4 +1,9 @@
-"""Alerts over all products, categories and aspects at once."""
+"""Alerts over all products, categories and aspects at once.
+
+All alerts but the shifts are built from one small table of additive cells per product, day and aspect. They take
+mention rows, with or without metadata, or such cells; ``products`` supplies titles, categories and ratings, which are joined
+to aggregates only, never to mentions. Without it the rows' own metadata is used.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,27 @@ from .windows import daily_scores, latest_and_previous, previous_by_days
 PRODUCT, ASPECT = "parent_asin", "aspect_term_normalized"
 
 
+INFO = ("title", "main_category", "average_rating")
+
+
+def alert_cells(df: DataFrame) -> DataFrame:
+    """Sums per product, day and aspect, written once for all alerts that read them."""
+    return materialize(df.groupBy(PRODUCT, "date", ASPECT).agg(
+        F.count("*").alias("n"), F.sum("sentiment_score").alias("s"), F.count("sentiment_score").alias("sn"),
+        *[C.count_if(F.col("sentiment") == kind).alias(name) for name, kind in (
+            ("pos", C.POSITIVE), ("neg", C.NEGATIVE), ("neu", C.NEUTRAL))]), "cells")
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    return df if {"n", "s", "sn", "neg"} <= set(df.columns) else alert_cells(df)
+
+
+def product_info(df: DataFrame) -> DataFrame:
+    """One row of metadata per product, from a product table or from mentions that carry it."""
+    key = F.trim(F.col(PRODUCT).cast("string")).alias(PRODUCT)
+    return df.groupBy(key).agg(*[F.max(c).alias(c) for c in INFO if c in df.columns])
+
+
 def _latest_day(df: DataFrame):
     return df.agg(F.max("date")).scalar()
 
@@ -43,25 +69,21 @@ def sentiment_shifts(df: DataFrame, threshold: float = 0.2, days: int = 7, min_m
 
 
 def sentiment_drops(df: DataFrame, threshold: float = 0.2, days: int = 7,
-                    min_mentions: int = 5) -> DataFrame:
+                    min_mentions: int = 5, products: DataFrame | None = None) -> DataFrame:
     """Drop alerts with severity, mentions of the period and its three most frequent
     negative aspects.
 
-    One numeric aggregate per (product, day, aspect) is written once and feeds the
-    rolling values, the period count and the aspect ranking.  Titles are looked up for
-    the alerted products only.
+    The cells feed the rolling values, the period count and the aspect ranking.  Titles are
+    looked up for the alerted products only.
     """
-    cells = materialize(df.groupBy(PRODUCT, "date", ASPECT).agg(
-        F.sum("sentiment_score").alias("s"), F.count("*").alias("n"),
-        C.count_if(F.col("sentiment") == C.NEGATIVE).alias("neg")), "cells")
+    cells = _cells(df)
     daily = cells.groupBy(PRODUCT, "date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     alerts = materialize(
         latest_and_previous(daily, days, days)
         .where(F.col("mention_count") >= max(min_mentions, 2))
         .withColumn("sentiment_change", _change())
         .where(F.col("sentiment_change") < -threshold), "alerts")
-    info = df.join(alerts.select(PRODUCT), PRODUCT, "left_semi").groupBy(PRODUCT).agg(
-        F.max("title").alias("title"), F.max("main_category").alias("main_category"))
+    info = product_info((df if products is None else products).join(alerts.select(PRODUCT), PRODUCT, "left_semi"))
     period = (
         cells.join(alerts.select(PRODUCT, "last_date"), PRODUCT)
         .where(F.col("date") >= F.date_sub("last_date", days))
@@ -73,7 +95,7 @@ def sentiment_drops(df: DataFrame, threshold: float = 0.2, days: int = 7,
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", ASPECT))),
                                  lambda s: s[ASPECT]), ", ").alias("top_negative_aspects"))
     return (
-        alerts.join(counts, PRODUCT).join(info, PRODUCT).join(names, PRODUCT, "left")
+        alerts.join(counts, PRODUCT).join(info, PRODUCT, "left").join(names, PRODUCT, "left")
         .select(
             F.lit("Sentiment Drop").alias("alert_type"),
             F.when(F.col("sentiment_change") < -0.5, "High").otherwise("Medium").alias("severity"),
@@ -88,21 +110,27 @@ def sentiment_drops(df: DataFrame, threshold: float = 0.2, days: int = 7,
     )
 
 
-def category_trends(df: DataFrame, min_mentions: int = 50, days: int = 30) -> DataFrame:
-    """Last ``days`` days against everything before, per category, in one aggregate."""
-    recent = F.col("date") > F.date_sub(_latest_day(df), days)
-    score = F.col("sentiment_score")
+def category_trends(df: DataFrame, min_mentions: int = 50, days: int = 30,
+                    products: DataFrame | None = None) -> DataFrame:
+    """Last ``days`` days against everything before, per category.
+
+    Cells are summed per product before the category is joined.
+    """
+    cells = _cells(df)
+    recent = F.col("date") > F.date_sub(_latest_day(cells), days)
+    per_product = cells.withColumn("_recent", recent).groupBy(PRODUCT).agg(*[
+        F.sum(F.when(F.col("_recent") if new else ~F.col("_recent"), F.col(c))).alias(f"{c}_{name}")
+        for name, new in (("new", True), ("old", False)) for c in ("n", "s", "sn", "neg")])
+    info = product_info(df if products is None else products).select(PRODUCT, "main_category")
     g = (
-        df.where(F.col("main_category").isNotNull())
-        .withColumn("_recent", recent)
+        per_product.join(info, PRODUCT).where(F.col("main_category").isNotNull())
         .groupBy(F.col("main_category").alias("category"))
         .agg(
-            F.avg(F.when(F.col("_recent"), score)).alias("recent_sentiment"),
-            F.avg(F.when(~F.col("_recent"), score)).alias("historical_sentiment"),
-            C.count_if(F.col("_recent")).alias("recent_mention_count"),
-            C.count_if(~F.col("_recent")).alias("historical_mention_count"),
-            C.percent(C.count_if(F.col("_recent") & (F.col("sentiment") == C.NEGATIVE)),
-                      C.count_if(F.col("_recent"))).alias("recent_pct_negative"),
+            F.try_divide(F.sum("s_new"), F.sum("sn_new")).alias("recent_sentiment"),
+            F.try_divide(F.sum("s_old"), F.sum("sn_old")).alias("historical_sentiment"),
+            F.coalesce(F.sum("n_new"), F.lit(0)).alias("recent_mention_count"),
+            F.coalesce(F.sum("n_old"), F.lit(0)).alias("historical_mention_count"),
+            C.percent(F.sum("neg_new"), F.sum("n_new")).alias("recent_pct_negative"),
         )
         .where((F.col("recent_mention_count") >= min_mentions)
                & (F.col("historical_mention_count") >= min_mentions))
@@ -118,30 +146,32 @@ def category_trends(df: DataFrame, min_mentions: int = 50, days: int = 30) -> Da
 
 
 def emerging_aspects(df: DataFrame, lookback_days: int = 30, min_mentions: int = 5,
-                     against: str = "previous") -> DataFrame:
+                     against: str = "previous", products: DataFrame | None = None) -> DataFrame:
     """Aspects of the last ``lookback_days`` days that the reference period lacks.
 
     The reference period is the ``lookback_days`` days before (``against="previous"``)
     or all earlier data (``"all"``).  Both periods are counted in the same pass, so no
     second scan or anti-join is needed.
     """
-    cutoff = F.date_sub(_latest_day(df), lookback_days)
+    days = _cells(df)
+    cutoff = F.date_sub(_latest_day(days), lookback_days)
     recent = F.col("date") > cutoff
     older = F.col("date") <= cutoff
     if against == "previous":
         older = older & (F.col("date") > F.date_sub(cutoff, lookback_days))
+
+    def new(c):
+        return F.coalesce(F.sum(F.when(F.col("_recent"), F.col(c))), F.lit(0))
+
     cells = (
-        df.withColumns({"_recent": recent, "_older": older})
+        days.withColumns({"_recent": recent, "_older": older})
         .where("_recent or _older")
         .groupBy(ASPECT, PRODUCT)
-        .agg(
-            C.count_if(F.col("_recent")).alias("n"), C.count_if(F.col("_older")).alias("old"),
-            F.sum(F.when(F.col("_recent"), F.col("sentiment_score"))).alias("s"),
-            C.count_if(F.col("_recent") & (F.col("sentiment") == C.NEGATIVE)).alias("neg"),
-            F.min(F.when(F.col("_recent"), F.col("date"))).alias("first"),
-        )
+        .agg(new("n").alias("n"), F.coalesce(F.sum(F.when(F.col("_older"), F.col("n"))), F.lit(0)).alias("old"),
+             new("s").alias("s"), new("neg").alias("neg"),
+             F.min(F.when(F.col("_recent"), F.col("date"))).alias("first"))
     )
-    cells = materialize(cells, "cells")
+    cells = materialize(cells, "aspects")
     fresh = (
         cells.groupBy(ASPECT)
         .agg(
@@ -154,8 +184,8 @@ def emerging_aspects(df: DataFrame, lookback_days: int = 30, min_mentions: int =
     ranked = top_per_group(
         cells.join(fresh.select(ASPECT), ASPECT, "left_semi").where("n > 0"),
         [ASPECT], [F.desc("n"), PRODUCT], 3)
-    titles = df.join(ranked.select(PRODUCT).distinct(), PRODUCT, "left_semi").groupBy(PRODUCT).agg(
-        F.max("title").alias("title"))
+    titles = product_info((df if products is None else products).join(
+        ranked.select(PRODUCT).distinct(), PRODUCT, "left_semi")).select(PRODUCT, "title")
     names = ranked.join(titles, PRODUCT, "left").groupBy(ASPECT).agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", F.coalesce("title", PRODUCT).alias("t")))),
@@ -176,17 +206,14 @@ def emerging_set(df: DataFrame, lookback_days: int = 30) -> DataFrame:
             .where(F.col("first_seen") > cutoff))
 
 
-def rating_divergence(df: DataFrame, threshold: float = 1.5, min_mentions: int = 10) -> DataFrame:
+def rating_divergence(df: DataFrame, threshold: float = 1.5, min_mentions: int = 10,
+                      products: DataFrame | None = None) -> DataFrame:
     """Products whose star rating and rescaled sentiment differ by ``threshold`` or more."""
-    info = ["title", "main_category", "average_rating"]
-    cells = df.groupBy(PRODUCT, *info).agg(
-        F.sum(C.to_star_scale()).alias("s"), F.count("sentiment_score").alias("sn"),
-        F.count("*").alias("n"))
-    g = cells.groupBy(F.col(PRODUCT).alias("product_asin")).agg(
-        F.max("title").alias("product_title"), F.max("main_category").alias("category"),
-        F.max("average_rating").alias("product_rating"),
-        F.try_divide(F.sum("s"), F.sum("sn")).alias("sentiment_rating"),
-        F.sum("n").alias("mention_count"))
+    sums = _cells(df).groupBy(PRODUCT).agg(F.sum("s").alias("s"), F.sum("sn").alias("sn"), F.sum("n").alias("n"))
+    g = sums.join(product_info(df if products is None else products), PRODUCT, "left").select(
+        F.col(PRODUCT).alias("product_asin"), F.col("title").alias("product_title"),
+        F.col("main_category").alias("category"), F.col("average_rating").alias("product_rating"),
+        C.to_star_scale(F.try_divide("s", "sn")).alias("sentiment_rating"), F.col("n").alias("mention_count"))
     gap = F.abs(F.col("product_rating") - F.col("sentiment_rating"))
     return (
         g.where(F.col("mention_count") >= min_mentions)
@@ -199,11 +226,13 @@ def rating_divergence(df: DataFrame, threshold: float = 1.5, min_mentions: int =
     )
 
 
-def alert_report(df: DataFrame, **params) -> dict[str, DataFrame]:
-    """The four alert tables by name; ``params`` maps a table to its arguments."""
+def alert_report(df: DataFrame, products: DataFrame | None = None, **params) -> dict[str, DataFrame]:
+    """The four alert tables by name, from one table of cells; ``params`` maps a table to its arguments."""
     makers = {"sentiment_drops": sentiment_drops, "category_trends": category_trends,
               "emerging_aspects": emerging_aspects, "rating_divergence": rating_divergence}
-    return {name: fn(df, **params.get(name, {})) for name, fn in makers.items()}
+    info = materialize(product_info(df if products is None else products), "info")
+    cells = _cells(df)
+    return {name: fn(cells, products=info, **params.get(name, {})) for name, fn in makers.items()}
 
 
 def alert_summary(report: dict[str, DataFrame]) -> DataFrame:

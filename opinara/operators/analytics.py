@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 from .preprocess import top_per_group
 from .quantiles import exact_quantiles, value_counts as distinct_counts
 
@@ -201,22 +202,28 @@ def product_stats(df: DataFrame) -> DataFrame:
 
 
 def product_explorer(df: DataFrame, min_mentions: int = 10, rating_range=(1.0, 5.0),
-                     search: str | None = None, n: int = 20) -> DataFrame:
+                     search: str | None = None, n: int = 20, products: DataFrame | None = None) -> DataFrame:
     """The ``n`` most reviewed products that pass the filters, with their three most
-    frequent positive and negative aspects."""
-    stats = product_stats(df).where(
-        (F.col("mention_count") >= min_mentions)
-        & F.col("average_rating").between(*rating_range)
-    )
+    frequent positive and negative aspects.
+
+    One cell per (product, aspect) gives statistics and aspect lists; metadata is joined per product.
+    """
+    from .alerts import product_info
+
+    cell = materialize(cells(df, [PRODUCT, ASPECT]), "cells")
+    stats = cell.groupBy(PRODUCT).agg(
+        F.sum("n").alias("mention_count"), _mean("s", "sn").alias("avg_sentiment_score"),
+        F.sum("pos").alias("positive_count"), F.sum("neg").alias("negative_count"), F.sum("neu").alias("neutral_count"))
+    stats = stats.where(F.col("mention_count") >= min_mentions).join(
+        product_info(df if products is None else products), PRODUCT).where(F.col("average_rating").between(*rating_range))
     if search:
         stats = stats.where(F.lower("title").contains(search.lower()))
     chosen = stats.orderBy(F.desc("mention_count"), PRODUCT).limit(n)
-    polar = (
-        df.where(_is(C.POSITIVE) | _is(C.NEGATIVE))
-        .join(F.broadcast(chosen.select(PRODUCT)), PRODUCT, "left_semi")
-        .groupBy(PRODUCT, "sentiment", ASPECT)
-        .agg(F.count(N).alias("k"))
-    )
+    own = cell.join(F.broadcast(chosen.select(PRODUCT)), PRODUCT, "left_semi")
+    polar = own.select(PRODUCT, ASPECT, F.explode(F.array(
+        F.struct(F.lit(C.POSITIVE).alias("sentiment"), F.col("pos").alias("k")),
+        F.struct(F.lit(C.NEGATIVE).alias("sentiment"), F.col("neg").alias("k")))).alias("p")).select(
+        PRODUCT, ASPECT, "p.*").where("k > 0")
     ranked = top_per_group(polar, [PRODUCT, "sentiment"], [F.desc("k"), ASPECT], 3)
 
     def names(sentiment):

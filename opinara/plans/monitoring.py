@@ -84,7 +84,7 @@ DROPS = (offset_cte(7) + ", al as (select *, (recent - previous) / abs(previous)
 
 @query("sentiment_drops", B.CLEAN_MORE + DROPS + "select * from drops")
 def _(spark, sf):
-    return rounded(al.sentiment_drops(table(full(spark, sf), *ANALYSED)), 6)
+    return rounded(al.sentiment_drops(clean(spark, sf), products=fx.products(spark, sf)), 6)
 
 
 TRENDS = ("cut as (select max(date) - 30 as c from clean), ct as (select main_category as category, "
@@ -101,7 +101,8 @@ TRENDS = ("cut as (select max(date) - 30 as c from clean), ct as (select main_ca
 
 @query("category_trends", B.CLEAN_MORE + TRENDS + "select * from trends")
 def _(spark, sf):
-    return rounded(al.category_trends(table(full(spark, sf), *ANALYSED), min_mentions=20), 6)
+    return rounded(al.category_trends(
+        clean(spark, sf), min_mentions=20, products=fx.products(spark, sf)), 6)
 
 
 def emerging_cte(days: int, k: int, older: str) -> str:
@@ -123,13 +124,14 @@ def emerging_cte(days: int, k: int, older: str) -> str:
 @query("emerging_aspects", B.CLEAN_MORE + emerging_cte(4, 2, "and date > c - 4") +
        "select * from emerging")
 def _(spark, sf):
-    return rounded(al.emerging_aspects(table(full(spark, sf), *ANALYSED), 4, 2), 6)
+    return rounded(al.emerging_aspects(clean(spark, sf), 4, 2, products=fx.products(spark, sf)), 6)
 
 
 @query("emerging_aspects_all_history", B.CLEAN_MORE + emerging_cte(45, 1, "") +
        "select * from emerging")
 def _(spark, sf):
-    return rounded(al.emerging_aspects(table(full(spark, sf), *ANALYSED), 45, 1, against="all"), 6)
+    return rounded(al.emerging_aspects(
+        clean(spark, sf), 45, 1, against="all", products=fx.products(spark, sf)), 6)
 
 
 @query("emerging_set", B.CLEAN_MORE + f"c as (select max(date) - 45 as c from clean) select {A}, "
@@ -149,7 +151,7 @@ DIVERGE = ("dv as (select parent_asin as product_asin, max(title) as product_tit
 
 @query("rating_divergence", B.CLEAN_MORE + DIVERGE + "select * from diverge")
 def _(spark, sf):
-    return rounded(al.rating_divergence(full(spark, sf)), 6)
+    return rounded(al.rating_divergence(clean(spark, sf), products=fx.products(spark, sf)), 6)
 
 
 @query("alert_summary", B.CLEAN_MORE + DROPS + ", " + TRENDS + ", " +
@@ -160,7 +162,7 @@ def _(spark, sf):
        "select 'rating_divergence', count(*) from diverge")
 def _(spark, sf):
     return al.alert_summary(al.alert_report(
-        table(full(spark, sf), *ANALYSED), category_trends={"min_mentions": 20},
+        clean(spark, sf), fx.products(spark, sf), category_trends={"min_mentions": 20},
         emerging_aspects={"lookback_days": 45, "min_mentions": 1}))
 
 

@@ -133,7 +133,8 @@ def _(spark, sf):
        "as tn from p group by 1) select ch.*, coalesce(tp, '') as top_positive, coalesce(tn, '') as "
        "top_negative from ch left join l using (parent_asin)")
 def _(spark, sf):
-    return rounded(ana.product_explorer(table(full(spark, sf), *ANALYSED), 10, (1.5, 4.5), "BOLT"))
+    return rounded(ana.product_explorer(
+        clean(spark, sf), 10, (1.5, 4.5), "BOLT", products=fx.products(spark, sf)))
 
 
 @query("product_index", B.CLEAN + "select parent_asin, count(*) as mention_count, max(title) as title "
