@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import analytics as ana
 from ..operators import filters as flt
-from ..operators import fraud
+from ..operators import fraud, pipelines
 from ..operators import preprocess as pre
 from ..operators import text as tx
 from ..session import scratch_path
@@ -96,10 +96,8 @@ def _(spark, sf):
        "= 1) select review_id, aspect_term_normalized, sentiment, confidence from d where confidence "
        f">= 0.5 and aspect_term_normalized not in ({B.in_list(pre.L.EXCLUDED_ASPECTS)})")
 def _(spark, sf):
-    rows = tx.explode_aspects(_scored(spark, sf))
-    return (rows.transform(pre.normalize_aspects).transform(pre.dedup_mentions, order=["pos"])
-            .transform(pre.min_confidence).transform(pre.exclude_generic)
-            .select("review_id", "aspect_term_normalized", "sentiment", "confidence"))
+    return pipelines.scored_to_mentions(_scored(spark, sf)).select(
+        "review_id", "aspect_term_normalized", "sentiment", "confidence")
 
 
 @query("inference_summary", B.MENTIONS + "select count(distinct review_id) as reviews, count(*) as "
@@ -115,10 +113,7 @@ def _(spark, sf):
        "length(text) > 2000 or coalesce(rating = 1 and contains(lower(text), 'great'), false) or "
        "coalesce(rating = 5 and contains(lower(text), 'terrible'), false))")
 def _(spark, sf):
-    r = ana.impute_rating_median(fx.reviews(spark, sf)).transform(flt.require_non_null, ["text", "date"])
-    r = pre.keep_first(r.withColumn("_h", F.sha2("text", 256)), ["review_id", "_h"], ["date"])
-    return r.transform(flt.drop_suspicious).select(
-        "review_id", "rating", C.clean_text_full("text").alias("text"))
+    return pipelines.advanced_preprocess(fx.reviews(spark, sf)).select("review_id", "rating", "text")
 
 
 @query("explore_preprocess", B.REVIEWS_MORE + "c as (select *, " +
@@ -128,11 +123,8 @@ def _(spark, sf):
        "integer) as review_length, cast(len(list_filter(string_split(review_clean, ' '), lambda w: w <> "
        "'')) as integer) as word_count from c")
 def _(spark, sf):
-    r = fx.reviews(spark, sf).withColumn("review_clean", C.clean_text_basic(C.review_full()))
-    return (r.transform(flt.require_non_null, ["asin", "rating"]).transform(flt.fill_unknown)
-            .select("review_id", "parent_asin", "user_id", "review_clean",
-                    F.length("review_clean").alias("review_length"),
-                    F.size(C.words("review_clean")).alias("word_count")))
+    return pipelines.explore_preprocess(fx.reviews(spark, sf)).select(
+        "review_id", "parent_asin", "user_id", "review_clean", "review_length", "word_count")
 
 
 EXTRACT = (B.REVIEWS_MORE + OPS + ", " + WORDS_CTE + ", ht as (select tw.*, op.word is not null as "

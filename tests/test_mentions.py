@@ -252,3 +252,35 @@ def test_star_scale(spark):
     got = [r[0] for r in spark.createDataFrame([(-1.0,), (0.0,), (1.0,)], "s double")
            .select(F.round(C.to_star_scale("s"), 6)).collect()]
     assert got == [1.0, 3.0, 5.0]
+
+
+def test_pipelines_on_repeats_nulls_and_compatibility_forms(spark):
+    import datetime as dt
+
+    from opinara.operators import pipelines
+
+    d = dt.date(2024, 1, 1)
+    rows = [("1", "p", 4.0, "A perfectly ﬁne ﬂask of ①", d), ("1", "p", 4.0, "A perfectly ﬁne ﬂask of ①", d),
+            ("2", "p", None, "Another perfectly usual text", d), ("3", "p", 3.0, "No date on this one", None),
+            ("4", "p", 3.0, None, d), ("5", "p", 1.0, "this is great, really great", d)]
+    df = spark.createDataFrame(rows, "review_id string, parent_asin string, rating double, text string, date date")
+    got = {r["review_id"]: r for r in pipelines.advanced_preprocess(df).collect()}
+    assert set(got) == {"1", "2"} and pipelines.advanced_preprocess(df).count() == 2
+    assert "fine flask 1" in got["1"]["text"] and got["2"]["rating"] == 3.0
+
+
+def test_quantiles_with_a_far_outlier(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from opinara.operators import quantiles
+
+    df = spark.range(200_000).select(F.when(F.col("id") == 0, 1e15).otherwise(F.col("id") * 1.0).alias("v"))
+    got = quantiles.exact_quantiles(df, [], "v", {"q1": 0.25, "med": 0.5, "q3": 0.75}).first()
+    values = np.array([1e15, *range(1, 200_000)], float)
+    assert (got["q1"], got["med"], got["q3"]) == tuple(np.quantile(values, [0.25, 0.5, 0.75]))
+    counts = quantiles.value_counts(df, [], "v")
+    cuts = counts.agg(F.percentile_approx("v", F.array(*[F.lit(i / quantiles.BUCKETS) for i in range(1, quantiles.BUCKETS)]),
+                                          10 * quantiles.BUCKETS).alias("c"))
+    sizes = counts.crossJoin(cuts).groupBy(quantiles._range_of(F.col("v"), F.col("c")).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 1_000
