@@ -145,10 +145,10 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if not len(pdf):
             continue
-        keys = pdf["_c"] + "\x00" + pdf["_chunk"]
-        cuts = np.flatnonzero((keys != keys.shift()).to_numpy())
+        keys = (pdf["_c"] + "\x00" + pdf["_chunk"]).to_numpy(object)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
         for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
-            own = keys.iloc[a]
+            own = keys[a]
             if key is not None and own != key:
                 yield pd.concat(held) if len(held) > 1 else held[0]
                 held = []
@@ -182,18 +182,32 @@ def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
                          "leave": states[1:], "last": [i == n - 1 for i in range(n)]})
 
 
+_COLUMNS = ("_conv", "part", "step", "turn", "action", "role", "cost", "rendered")
+_FLUSH = 4000  # output rows a frame
+
+
 def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows: list[tuple] = []
     for group in _groups(batches):
-        alone = pd.isna(group["entry"].iloc[0])
-        entry = 0 if alone else int(group["entry"].iloc[0])
-        last = alone or bool(group["last"].iloc[0])
-        steps = repair(group["_role"].tolist(), entry, None if last else int(group["leave"].iloc[0]))
-        texts, turns = group["_text"].tolist(), group["_turn"].tolist()
-        yield pd.DataFrame({
-            "_conv": [group["_conv"].iloc[0]] * len(steps), "part": group["_chunk"].iloc[0], "step": range(len(steps)),
-            "turn": pd.array([None if t < 0 or pd.isna(turns[t]) else int(turns[t]) for t, *_ in steps], "Int64"),
-            "action": [a for _, a, _, _ in steps], "role": [ROLES[r] for _, _, r, _ in steps],
-            "cost": [c for *_, c in steps], "rendered": render(steps, texts, entry == 0, last)})
+        convs, chunks, roles, turns, texts, entries, leaves, lasts = (
+            group[c].tolist() for c in ("_conv", "_chunk", "_role", "_turn", "_text", "entry", "leave", "last"))
+        alone = pd.isna(entries[0])
+        entry = 0 if alone else int(entries[0])
+        last = alone or bool(lasts[0])
+        steps = repair(roles, entry, None if last else int(leaves[0]))
+        for n, ((turn, action, role, cost), text) in enumerate(zip(steps, render(steps, texts, entry == 0, last), strict=True)):
+            number = None if turn < 0 or pd.isna(turns[turn]) else int(turns[turn])
+            rows.append((convs[0], chunks[0], n, number, action, ROLES[role], cost, text))
+        if len(rows) >= _FLUSH:
+            yield _frame(rows)
+            rows = []
+    if rows:
+        yield _frame(rows)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = dict(zip(_COLUMNS, map(list, zip(*rows, strict=True)), strict=True))
+    return pd.DataFrame(columns | {"turn": pd.array(columns["turn"], "Int64")})
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
