@@ -281,6 +281,6 @@ def test_quantiles_with_a_far_outlier(spark):
     assert (got["q1"], got["med"], got["q3"]) == tuple(np.quantile(values, [0.25, 0.5, 0.75]))
     counts = quantiles.value_counts(df, [], "v")
     cuts = counts.agg(F.percentile_approx("v", F.array(*[F.lit(i / quantiles.BUCKETS) for i in range(1, quantiles.BUCKETS)]),
-                                          10 * quantiles.BUCKETS).alias("c"))
-    sizes = counts.crossJoin(cuts).groupBy(quantiles._range_of(F.col("v"), F.col("c")).alias("b")).count()
+                                          10 * quantiles.BUCKETS).alias("cuts"))
+    sizes = counts.crossJoin(cuts).groupBy(quantiles._range_of(F.col("v"), F.col("cuts")).alias("b")).count()
     assert sizes.agg(F.max("count")).first()[0] < 1_000
