@@ -12,8 +12,8 @@ are `und` and rejected.
 
 Learning reads a bounded sample of the labelled rows: at most about SAMPLE_ROWS per language (chosen by hash of
 the id, over the whole table) of at most SAMPLE_CHARS characters each. So the n-gram table stays below
-SAMPLE_ROWS x SAMPLE_CHARS entries per language at any input size, and may be broadcast. Scoring reads every
-text in full.
+SAMPLE_ROWS x SAMPLE_CHARS entries per language at any input size, and may be broadcast. Scoring reads every text
+in full.
 
 Defined results: ties go to the first language in alphabetical order; without any labelled row everything is
 `und`; a null id is hashed as empty text; extra columns and their names do not matter.
@@ -37,6 +37,7 @@ SAMPLE_ROWS = 1200
 SAMPLE_CHARS = 20_000
 CALIBRATION = 5          # one sampled row in five calibrates and is not learned
 MARGIN = 1.5
+LEAST_SLACK = 1.0        # nats per character above a language's mean that never reject
 _BLANK = 32
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -330,7 +331,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         model.mean[i] = np.average(e, weights=n)
         over = e - model.mean[i]
         long = over[n >= 200]
-        model.slack[i] = MARGIN * max(0.2, long.max() if len(long) else over.max())
+        model.slack[i] = max(LEAST_SLACK, MARGIN * (long.max() if len(long) else over.max()))
         model.spread[i] = MARGIN * max(1.0, float((over * np.sqrt(n)).max()))
     return model
 
