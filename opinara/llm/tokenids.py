@@ -166,7 +166,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, key: str
 
     frames = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text")).mapInArrow(
         compress, "part bigint, _id bigint, n bigint, frame binary")
-    (frames.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "_id", "n", "frame")
+    # one task per range of ids: a hash of the range number would put several into one
+    (frames.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "_id", "n", "frame")
      .mapInArrow(segments, "part bigint, segment bigint, first_id bigint, last_id bigint, documents bigint, "
                            "tokens bigint, body binary")
      .write.option("compression", "none").parquet(f"{path}/segments"))
