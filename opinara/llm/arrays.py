@@ -8,6 +8,8 @@ text is a block of its own, so memory follows the longest text and not the parti
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
-RUN = 2 << 20
+RUN = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -30,7 +32,7 @@ _LOWERED[0x80:] = np.arange(0x80, 0x100)
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, at least n of each."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         tables = []
         for base in (_MULTIPLIER, _INVERSE):
             table = np.full(size, base, np.uint64)
@@ -40,6 +42,13 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers outlive tasks, and executors share their memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

@@ -236,6 +236,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
                 for first, words in _blocks(batch.column(text)):
                     clean[[first + m[0] for m in shared.value.matches(words)]] = False
                 yield batch.filter(pa.array(clean))
+            arrays.trim()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays
+from . import arrays, tokens
 
 ORDER = 5
 SAMPLE_ROWS = 1200
@@ -217,6 +217,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, rows: int = SAMPLE_R
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-grams of each batch with their counts, by language; columns c0..c4 are characters."""
+    tokens.release()
     for batch in batches:
         langs = np.asarray(batch.column("lang").to_pylist(), object)
         column = batch.column("text")
@@ -358,8 +359,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
+        tokens.release()
         for batch in batches:
             rejected = shared.value.predict(batch.column(text))[3]
             yield batch.filter(pa.array(~rejected))
+        arrays.trim()
 
     return docs.mapInArrow(keep, docs.schema)

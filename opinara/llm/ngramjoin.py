@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
 from ..session import materialize
-from . import arrays
+from . import arrays, tokens
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -88,6 +88,7 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens.release()
     for batch in batches:
         for first, last, hashes, bounds in _sets(batch.column("_text")):
             n = np.diff(bounds)
@@ -104,6 +105,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("_id").slice(first, last - first), pa.array(n, pa.int64()),
                 pa.array(digests[:, 0].view(np.int64)), pa.array(digests[:, 1].view(np.int64)),
                 pa.array(rows, pa.binary())], ["_id", "n", "d0", "d1", "signature"])
+    arrays.trim()
 
 
 def _forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import tokens
+from . import arrays, tokens
 
 WINDOW = 2048
 CELL = 100_000  # pieces of one length that one task ranks, about
@@ -115,6 +115,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int = WIND
             if with_ids:
                 columns["ids"] = pa.array(part, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+        arrays.trim()
 
     schema = f"_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
     return (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(cut, schema)

@@ -16,7 +16,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-KEPT_PIECES = 350_000
+from . import arrays
+
+KEPT_PIECES = 250_000
 SLICE = 500  # documents whose ids are held at once
 KEPT_LENGTH = 32
 
@@ -111,6 +113,13 @@ def encoder(path: str) -> Encoder:
     return _workers[path]
 
 
+def release() -> None:
+    """Drop the worker's encoders: called where a worker turns to work without tokens."""
+    if _workers:
+        _workers.clear()
+        arrays.trim()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most SLICE rows: ids take more room than text."""
     for batch in batches:
