@@ -17,8 +17,9 @@ No list of pairs exists at any point, however large a group of near copies is; a
 over its chunk pairs. The work on one is still the square of its different texts, as exact link counts need it.
 
 Defined results: words and n-grams as in `arrays` (a text of fewer than n words is one n-gram, a text without words links
-to nothing but is returned, and so is a null text); a row of a null id takes part under no name and is dropped; rows that repeat an id
-with the same text count as one; an empty table gives an empty result; extra columns do not matter.
+to nothing but is returned, and so is a null text); a row is known by its id, null included, and its text: rows that repeat both
+count as one, and an id that stands on several texts is several documents; `near_duplicates` leaves out rows of a null id, as its
+SQL does, while `keep_one` compares them like all others; an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
 from ..session import materialize
 from . import arrays, tokens
+from .exactdedup import unused
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -102,9 +104,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, row in zip(full.tolist(), signatures(hashes, starts), strict=True):
                     rows[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([
-                batch.column("_id").slice(first, last - first), pa.array(n, pa.int64()),
+                *(batch.column(c).slice(first, last - first) for c in ("id", "k0", "k1")), pa.array(n, pa.int64()),
                 pa.array(digests[:, 0].view(np.int64)), pa.array(digests[:, 1].view(np.int64)),
-                pa.array(rows, pa.binary())], ["_id", "n", "d0", "d1", "signature"])
+                pa.array(rows, pa.binary())], ["id", "k0", "k1", "n", "d0", "d1", "signature"])
     arrays.trim()
 
 
@@ -229,28 +231,29 @@ def _verify(threshold: float):
     return compare
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-                    target: float = TARGET) -> DataFrame:
-    """One row per document: key, class_id, n_links, n_ngrams, set_size.
+def _row_key(key: str, text: str) -> list[Column]:
+    """Two digests that name a row by its id, null included, and its text."""
+    id_ = F.col(key).cast("bigint")
+    return [F.xxhash64(id_.isNull(), id_, F.col(text)), F.xxhash64(id_.isNull(), id_, F.md5(F.col(text).cast("binary")))]
 
-    `class_id` is the smallest id that is connected to the document by links (its own, if there is none), a link being
-    a pair of similarity >= threshold; `n_links` counts the document's links to other documents, copies included;
-    `set_size` counts the documents with exactly the same n-gram set.
+
+def _classes(docs: DataFrame, key: str, text: str, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, k0, k1, n, d0, d1), one per row key; and their sets (n, d0, d1, root, weight, links).
+
+    `root` names the component of a set, `weight` counts its documents, `links` those of other sets near to it.
     """
-    spark = docs.sparkSession
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    signed = materialize(rows.mapInArrow(_sign, "_id bigint, n bigint, d0 bigint, d1 bigint, signature binary")
-                         .withColumnRenamed("_id", "id"), "signatures")
+    k0, k1 = _row_key(key, text)
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), k0.alias("k0"), k1.alias("k1"), F.col(text).alias("_text"))
+    signed = materialize(rows.mapInArrow(
+        _sign, "id bigint, k0 bigint, k1 bigint, n bigint, d0 bigint, d1 bigint, signature binary"), "signatures")
 
     # classes of equal sets; texts without n-grams are classes of their own
-    named = signed.select("id", "n", "d0", "d1").distinct()
+    named = signed.select("id", "k0", "k1", "n", "d0", "d1").distinct()
     sets = materialize(
-        named.where("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "sets")
+        named.where("n > 0").groupBy("n", "d0", "d1").agg(F.min("k0").alias("k0"), F.count("*").alias("weight")), "sets")
     reps = materialize(
-        signed.where("n > 0").join(sets.select(F.col("rep").alias("id"), "n", "d0", "d1", "weight"), ["id", "n", "d0", "d1"])
-        .dropDuplicates(["id", "n", "d0", "d1"])
-        # an id with several texts may stand for several sets: classes get names of their own
-        .withColumn("name", F.xxhash64("id", "d0", "d1")).select("name", "id", "n", "d0", "d1", "weight", "signature"), "reps")
+        signed.where("n > 0").join(sets, ["k0", "n", "d0", "d1"]).dropDuplicates(["n", "d0", "d1"])
+        .withColumn("name", F.xxhash64("n", "d0", "d1")).select("name", "k0", "n", "d0", "d1", "weight", "signature"), "reps")
 
     # trie nodes at the shortest prefix, as (tree, hash of the prefix)
     length = prefix_length(threshold, target)
@@ -265,21 +268,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     # exact comparison inside clusters
     chosen = materialize(reps.join(clusters.withColumnRenamed("id", "name"), "name")
-                         .select("name", "id", "n", "d0", "d1", "weight", "root"), "chosen")
-    again = (rows.join(chosen.select(F.col("id").alias("_id")).distinct(), "_id", "left_semi")
-             .mapInArrow(_grams, "id bigint, n bigint, d0 bigint, d1 bigint, grams binary"))
-    full = materialize(again.join(chosen, ["id", "n", "d0", "d1"]).dropDuplicates(["name"])
+                         .select("name", "k0", "n", "d0", "d1", "weight", "root"), "chosen")
+    again = (rows.select("k0", "_text").join(chosen.select("k0").distinct(), "k0", "left_semi")
+             .mapInArrow(_grams, "k0 bigint, n bigint, d0 bigint, d1 bigint, grams binary"))
+    full = materialize(again.join(chosen, ["k0", "n", "d0", "d1"]).dropDuplicates(["name"])
                        .select(F.col("name").alias("id"), "root", "weight", "grams"), "grams")
     found = materialize(_per_group(_chunk_pairs(full, ["root"], CHUNK // 2), ["root", "x", "y"], _verify(threshold),
                                    "id bigint, links bigint, b bigint"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    # a component is named by the smallest document id in it
     parts = connected_components(found.where("id <> b").select(F.col("id").alias("a"), "b"))
-    own = reps.select("name", "id", "n", "d0", "d1", "weight")
+    own = reps.select("name", "n", "d0", "d1", "weight")
     joined = own.join(parts.withColumnRenamed("id", "name"), "name", "left").join(
         links.withColumnRenamed("id", "name"), "name", "left")
-    joined = materialize(joined.withColumn("root", F.coalesce("root", "name")), "joined")
-    smallest = joined.groupBy("root").agg(F.min("id").alias("class_id"))
+    return named, joined.select("n", "d0", "d1", F.coalesce("root", "name").alias("root"), "weight", "links")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+                    target: float = TARGET) -> DataFrame:
+    """One row per document: key, class_id, n_links, n_ngrams, set_size.
+
+    `class_id` is the smallest id that is connected to the document by links (its own, if there is none), a link being
+    a pair of similarity >= threshold; `n_links` counts the document's links to other documents, copies included;
+    `set_size` counts the documents with exactly the same n-gram set.
+    """
+    named, sets = _classes(docs.where(F.col(key).isNotNull()), key, text, threshold, target)
+    # a component is named by the smallest document id in it
+    least = named.where("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("least"))
+    joined = materialize(sets.join(least, ["n", "d0", "d1"]), "joined")
+    smallest = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     labelled = joined.join(smallest, "root").select("n", "d0", "d1", "class_id", "weight", "links")
     per_text = named.join(labelled, ["n", "d0", "d1"], "left").select(
         "id", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("weight", F.lit(1)).alias("set_size"),
@@ -297,17 +313,37 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             starts = bounds[:-1][full]
             yield pa.RecordBatch.from_arrays([
-                batch.column("_id").slice(first, last - first).take(pa.array(full)), pa.array(n[full], pa.int64()),
+                batch.column("k0").slice(first, last - first).take(pa.array(full)), pa.array(n[full], pa.int64()),
                 pa.array(np.add.reduceat(hashes, starts).view(np.int64)),
                 pa.array(np.add.reduceat(arrays.mix(hashes), starts).view(np.int64)),
                 pa.array([hashes[bounds[i]: bounds[i + 1]].tobytes() for i in full], pa.binary())],
-                ["id", "n", "d0", "d1", "grams"])
+                ["k0", "n", "d0", "d1", "grams"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` without near duplicates: of each class the row with the smallest id; rows without id stay."""
-    gone = near_duplicates(docs, key, text, threshold).where(F.col(key) != F.col("class_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    """The rows of `docs` without near duplicates: of each class one row, the one with the smallest id (null last).
+
+    Rows are told apart by id and text, so a row whose id also stands on another text is judged by its own text. Texts without
+    words are near to nothing and all stay.
+    """
+    named, sets = _classes(docs, key, text, threshold, TARGET)
+    rank = F.struct(F.col("id").isNull().alias("nameless"), "id", "k0", "k1")
+    best = named.where("n > 0").groupBy("n", "d0", "d1").agg(F.min(rank).alias("best"))
+    joined = materialize(sets.join(best, ["n", "d0", "d1"]).select("n", "d0", "d1", "root", "best"), "joined")
+    first = joined.groupBy("root").agg(F.min("best").alias("first"))
+    stays = joined.join(first, "root").select("n", "d0", "d1", F.col("first.k0").alias("s0"), F.col("first.k1").alias("s1"))
+    k0, k1, nth = (unused(docs, name) for name in ("k0", "k1", "nth"))
+    gone = named.join(stays, ["n", "d0", "d1"]).where("k0 <> s0 or k1 <> s1").select(
+        F.col("k0").alias(k0), F.col("k1").alias(k1))
+
+    worded = F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    a, b = _row_key(key, text)
+    rows = docs.where(worded).withColumns({k0: a, k1: b})
+    # rows that repeat id and text: map tasks already pass on one of each
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and c not in (key, text)]
+    once = Window.partitionBy(k0, k1).orderBy(F.xxhash64(*plain) if plain else F.col(k0))
+    rows = rows.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
+    return rows.join(gone, [k0, k1], "left_anti").select(*docs.columns).union(docs.where(~worded))
 
 
 def sql(table: str = "documents") -> str:

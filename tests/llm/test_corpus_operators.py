@@ -347,6 +347,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert ngramjoin.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = lambda w, i: " ".join([*w[:-1], f"z{i}"])
+    clean = [" ".join(f"{c}{i}" for i in range(40)) for c in "cdef"]
+    rows = [(1, near(one, 0)), (2, near(one, 1)), (2, clean[0]), (3, near(two, 0)), (3, near(two, 1)), (3, near(two, 1)),
+            (None, near(one, 2)), (None, near(two, 2)), (None, clean[1]), (None, clean[2]), (None, clean[2] + " end"),
+            (4, clean[3]), (4, clean[3]), (None, None), (None, "..."), (None, "..."), (5, "")]
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in ngramjoin.keep_one(make(spark, rows)).collect())
+    twos = [r for r in kept if (r[1] or "").startswith("b0 ")]
+    assert len(twos) == 1 and twos[0] in rows[3:6]
+    tails = [r for r in kept if (r[1] or "").startswith(clean[2])]
+    assert len(tails) == 1
+    assert kept == collections.Counter([(1, near(one, 0)), (2, clean[0]), *twos, (None, clean[1]), *tails, (4, clean[3]), *rows[13:]])
+    assert ngramjoin.keep_one(make(spark, rows)).columns == make(spark, rows).columns
+    got = ngramjoin.near_duplicates(make(spark, rows)).where("doc_id = 2").collect()
+    assert sorted((r["class_id"], r["n_links"]) for r in got) == [(1, 1), (2, 0)]
+
+
 def test_hot_group_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "CHUNK", 16)
     text = [f"w{i}" for i in range(100)]
