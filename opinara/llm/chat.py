@@ -12,8 +12,9 @@ of all turns is spread over its chunks; only one 5 x 5 matrix per chunk meets in
 
 The result has one row per repaired turn. Concatenating `rendered` in the order of (part, step) gives the rendered conversation.
 
-Defined results: turns are ordered by number (null last), then by a hash of role and text, role and text; a row that repeats
-number, role and text of another row of its conversation is the same turn; roles are compared in lower case without blanks around, any other or null role
+Defined results: turns are ordered by number (null last), then by a hash of role and text, role and text; a verbatim repeat
+(number, role and text) in a conversation whose id and number are both given is the same turn, since the number names it; where either is
+null every row is a turn of its own, however often it is repeated; roles are compared in lower case without blanks around, any other or null role
 is unknown and must be relabelled, at a lower cost; a null text is empty; a null conversation id is a conversation of its
 own; an empty table gives an empty result; extra columns do not matter.
 """
@@ -158,10 +159,16 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def _repeated(group: pd.DataFrame) -> pd.DataFrame:
+    """Each row as often as it was given."""
+    times = group["_times"].to_numpy()
+    return group if (times == 1).all() else group.iloc[np.repeat(np.arange(len(group)), times)]
+
+
 def _transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for group in _groups(batches):
         yield pd.DataFrame({"_c": [group["_c"].iloc[0]], "_chunk": [group["_chunk"].iloc[0]],
-                            "costs": [transfer(group["_role"].tolist()).ravel().tolist()]})
+                            "costs": [transfer(_repeated(group)["_role"].tolist()).ravel().tolist()]})
 
 
 def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +197,7 @@ def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for group in _groups(batches):
         convs, chunks, roles, turns, texts, entries, leaves, lasts = (
-            group[c].tolist() for c in ("_conv", "_chunk", "_role", "_turn", "_text", "entry", "leave", "last"))
+            _repeated(group)[c].tolist() for c in ("_conv", "_chunk", "_role", "_turn", "_text", "entry", "leave", "last"))
         alone = pd.isna(entries[0])
         entry = 0 if alone else int(entries[0])
         last = alone or bool(lasts[0])
@@ -223,23 +230,40 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = turns.select(
         F.col(conv).alias("_conv"), F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("")).alias("_c"),
         F.col(turn).cast("bigint").alias("_turn"), as_.alias("_as"), known.alias("_role"),
-        F.coalesce(F.col(text), F.lit("")).alias("_text")).dropDuplicates(["_c", "_turn", "_as", "_text"])
-    rows = rows.withColumn("_h", F.xxhash64("_as", "_text"))
+        F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(role).alias("_raw"), F.col(text).isNull().alias("_none"))
+    # equal rows travel as one with their number; they are interchangeable
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times")).drop("_raw", "_none")
+    named = (F.col("_c") != "") & F.col("_turn").isNotNull()
+    rows = rows.withColumns({"_times": F.when(named, F.lit(1)).otherwise(F.col("_times")).cast("bigint"),
+                             "_h": F.xxhash64("_as", "_text")})
     # chunks sort as text: range of turn numbers (null last); in a crowded range also the number and a share of the hashes
     wide = F.when(F.col("_turn").isNull(), "z").otherwise(F.concat(
         F.when(F.col("_turn") < 0, "a").otherwise("b"),
         F.lpad((F.floor(F.col("_turn") / chunk) + F.when(F.col("_turn") < 0, F.lit(1 << 53)).otherwise(0)).cast("string"), 17, "0")))
     rows = materialize(rows.withColumn("_range", wide), "turns")
-    sizes = rows.groupBy("_c", "_range").agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy("_c", "_range").agg(F.sum("_times").alias("_n"))
     crowded = sizes.where(F.col("_n") > 2 * chunk).withColumn("_shares", F.ceil(F.col("_n") / chunk).cast("bigint")).drop("_n")
     share = F.floor((F.col("_h") / F.lit(2.0 ** 64) + 0.5) * F.col("_shares")).cast("bigint")
     number = F.coalesce(F.pmod(F.col("_turn"), F.lit(chunk)), F.lit(0))
     fine = F.concat_ws("/", "_range", F.lpad(number.cast("string"), 9, "0"), F.lpad(share.cast("string"), 12, "0"))
     rows = rows.join(crowded, ["_c", "_range"], "left").withColumn(
-        "_chunk", F.when(F.col("_shares").isNotNull(), fine).otherwise(F.col("_range"))).drop("_shares", "_range")
+        "_chunk", F.when(F.col("_shares").isNotNull(), fine).otherwise(F.col("_range")))
+    # a row given more than a chunk's times stands in chunks of its own, after its share's rows before it and before those after it
+    often = (F.col("_times") > chunk) & F.col("_shares").isNotNull()
+    hashes = rows.where(often).groupBy("_c", "_chunk").agg(F.collect_set("_h").alias("_often"))
+    below = F.size(F.filter("_often", lambda x: x < F.col("_h"))) * 2 + F.array_contains("_often", F.col("_h")).cast("int")
+    pieces = F.ceil(F.col("_times") / chunk).cast("bigint")
+    rows = rows.join(hashes, ["_c", "_chunk"], "left").select(
+        "*", F.explode(F.when(often, F.sequence(F.lit(0).cast("bigint"), pieces - 1)).otherwise(
+            F.array(F.lit(0).cast("bigint")))).alias("_piece"))
+    rows = rows.withColumns({
+        "_chunk": F.when(F.col("_often").isNull(), F.col("_chunk")).otherwise(F.concat_ws(
+            "/", "_chunk", F.lpad(below.cast("string"), 9, "0"), F.lpad(F.col("_piece").cast("string"), 12, "0"))),
+        "_times": F.when(often, F.least(F.lit(chunk), F.col("_times") - F.col("_piece") * chunk)).otherwise(F.col("_times")),
+    }).drop("_shares", "_range", "_often", "_piece")
 
     several = rows.select("_c", "_chunk").distinct().groupBy("_c").count().where("count > 1").select("_c")
-    slim = rows.select("_c", "_chunk", "_turn", "_h", "_as", "_role", F.lit("").alias("_text")).join(several, "_c", "left_semi")
+    slim = rows.select("_c", "_chunk", "_turn", "_h", "_as", "_role", "_times", F.lit("").alias("_text")).join(several, "_c", "left_semi")
     borders = (_in_order(slim).mapInPandas(_transfers, "_c string, _chunk string, costs array<double>")
                .groupBy("_c").applyInPandas(_borders, "_c string, _chunk string, entry int, leave int, last boolean"))
     kind = dict(turns.dtypes)[conv]

@@ -139,6 +139,25 @@ def test_chats_in_chunks_equal_chats_in_one_piece(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_repeated_turns_stay_where_no_number_or_id_names_them(spark):
+    rows = [(None, 0, "system", "s")] * 3 + [(None, None, "user", "yes")] * 40 + [(None, None, "bot", None), (None, None, "bot", "")]
+    rows += [(1, 0, "user", "q"), *[(1, None, "user", "yes")] * 25, *[(1, None, "assistant", "ok")] * 30, (1, None, "user", "no")]
+    rows += [(2, 0, "user", None), (2, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    seen = []
+    for chunk in (4, 7, 10_000):
+        out = chat.format_chats(df, chunk=chunk).toPandas().sort_values(["part", "step"])
+        assert (out["action"] != "insert").sum() == len(rows)
+        assert len(out[["conv_id", "part", "step"]].drop_duplicates()) == len(out)
+        seen.append({-1 if pd.isna(k) else k: "".join(g["rendered"]) for k, g in out.groupby("conv_id", dropna=False)})
+        assert seen[-1][1].count("yes") == 25 and seen[-1][1].count("ok") == 30 and seen[-1][-1].count("yes") == 40
+        costs = out.groupby("conv_id", dropna=False)["cost"].sum().to_dict()
+        seen[-1]["costs"] = sorted(costs.values())
+        if chunk == 4:
+            assert out.groupby(["conv_id", "part"], dropna=False).size().max() <= 4 * chunk
+    assert seen[0]["costs"] == seen[1]["costs"] == seen[2]["costs"]
+
+
 # ---------------------------------------------------------------- licenses
 
 def test_license_scan(spark):
