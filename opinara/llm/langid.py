@@ -7,7 +7,8 @@ probabilities per language, so that a position costs one lookup however many lan
 of lowest cross-entropy per character wins.
 
 Rejection is calibrated on labelled rows the models have not seen: a text is rejected when its
-cross-entropy lies above what any of them shows at that length, with a margin. Texts without a letter, and null texts,
+cross-entropy lies above what any of them shows at that length, with a margin: a slack for all lengths, which long rows
+set, and for short texts a spread that shrinks with the root of the length, which only an excess over the slack can widen. Texts without a letter, and null texts,
 are `und` and rejected.
 
 Learning reads a bounded sample of the labelled rows: at most about SAMPLE_ROWS per language (chosen by hash of
@@ -38,6 +39,7 @@ SAMPLE_CHARS = 20_000
 CALIBRATION = 5          # one sampled row in five calibrates and is not learned
 MARGIN = 1.5
 LEAST_SLACK = 1.0        # nats per character above a language's mean that never reject
+LEAST_SPREAD = 5.0       # the same, times the root of the length: what short texts may add to the slack
 _BLANK = 32
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -333,7 +335,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         over = e - model.mean[i]
         long = over[n >= 200]
         model.slack[i] = max(LEAST_SLACK, MARGIN * (long.max() if len(long) else over.max()))
-        model.spread[i] = MARGIN * max(1.0, float((over * np.sqrt(n)).max()))
+        # the slack already covers long rows: what they exceed the mean by says nothing about short texts
+        model.spread[i] = max(LEAST_SPREAD, MARGIN * float(((over - model.slack[i]) * np.sqrt(n)).max()))
     return model
 
 

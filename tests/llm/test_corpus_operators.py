@@ -421,6 +421,27 @@ def test_language(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_short_texts_of_unlearned_languages_are_rejected(spark):
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rng = np.random.default_rng(6)
+    strange = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 3,
+               "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem " * 3,
+               "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine " * 3,
+               "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 400))]
+    texts = pa.array([t[:n] for t in strange for n in (50, 100, 200, 300)])
+    assert all(model.predict(texts)[3])
+    entropy, sizes = model.entropies(texts)
+    # whichever language were the nearest one
+    limits = model.mean + model.slack + model.spread / np.sqrt(sizes)[:, None]
+    assert len(model.languages) == 4 and (entropy > limits).all()
+    own = docs.where("lang is not null").select("text").toPandas()["text"].dropna()
+    cuts = pa.array([t[:n] for t in own if len(t) > 300 for n in (50, 100, 200, 300)])
+    assert np.mean(model.predict(cuts)[3]) < 0.01
+
+
 def test_kneser_ney_sums_to_one():
     import pyarrow as pa
 
