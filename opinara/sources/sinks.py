@@ -28,24 +28,33 @@ def unseen(df: DataFrame, existing: DataFrame | None, key: str | list[str] = "re
 
 
 def append_incremental(df: DataFrame, path: str, ts: str = "timestamp",
-                       key: str = "review_id") -> None:
-    """Append the rows that are not in the output yet, one folder per month.
+                       key: str = "review_id", fixed_month: bool = False) -> None:
+    """Append the rows that are not in the output yet, one folder per month; rows without a date share one.
 
-    Of rows that share a key in one batch the earliest stays.  Only the months of the batch are read from the
-    output.  Running it again adds nothing, so an interrupted run can simply be repeated.
+    Of rows that share a key in one batch the earliest stays.  Keys are compared with the key column of all months;
+    rows without a key are compared by their whole content.  ``fixed_month`` states that a key never changes its month:
+    then only the months of the batch are read.  Running it again adds nothing, so an interrupted run can simply be repeated.
     """
     spark = df.sparkSession
-    batch = top_per_group(df, [key], [ts], 1).drop("rank")
+    names = [c for c in df.columns if c != "year_month"]
+
+    def content(rows: DataFrame) -> DataFrame:
+        body = F.struct(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names])
+        return rows.withColumn("_content", F.when(F.col(key).isNull(), F.sha2(F.to_json(body), 256)))
+
+    batch = top_per_group(content(df), [key, "_content"], [ts], 1).drop("rank")
     month = batch.withColumn("year_month", F.date_format(ts, "yyyy-MM"))
-    old = None
     if path_exists(spark, path):
-        # as many rows as the batch has months: the calendar bounds it, and partitions are pruned by it
-        months = month.select("year_month").distinct()
         old = spark.read.parquet(path)
-        old = old.withColumn("year_month", F.date_format(ts, "yyyy-MM")).select(key, "year_month") if (
-            "year_month" not in old.columns) else old.select(key, F.col("year_month").cast("string"))
-        old = old.join(F.broadcast(months), "year_month", "left_semi")
-    unseen(month, old, [key, "year_month"]).write.mode("append").partitionBy("year_month").parquet(path)
+        if fixed_month:
+            found = F.col("year_month").cast("string") if "year_month" in old.columns else F.date_format(ts, "yyyy-MM")
+            # as many values as the batch has months: the calendar bounds them, and partitions are pruned by them
+            months = [r[0] for r in month.select("year_month").distinct().collect()]
+            old = old.where(found.isin([m for m in months if m]) | (found.isNull() if None in months else F.lit(False)))
+        nameless = content(old.where(F.col(key).isNull()))
+        month = unseen(month.where(F.col(key).isNotNull()), old, key).unionByName(
+            unseen(month.where(F.col(key).isNull()), nameless, "_content"))
+    month.drop("_content").write.mode("append").partitionBy("year_month").parquet(path)
 
 
 def save_preprocessed(df: DataFrame, path: str) -> None:

@@ -209,6 +209,22 @@ def test_incremental_append_is_idempotent(spark):
     assert spark.read.parquet(path).count() == 9
 
 
+def test_incremental_append_knows_undated_moved_and_nameless_rows(spark):
+    schema = "review_id string, timestamp timestamp, text string"
+    jan, feb = dt.datetime(2020, 1, 1), dt.datetime(2020, 2, 1)
+    df = spark.createDataFrame([("a", jan, "x"), ("b", None, "x"), (None, jan, "x"), (None, None, "y")], schema)
+    moved = spark.createDataFrame([("a", feb, "x"), ("b", jan, "x"), ("c", feb, "x"), (None, jan, "z")], schema)
+    path = scratch_path(spark, "inc")
+    for rows in (df, df, moved, moved, df):
+        sinks.append_incremental(rows, path)
+    got = sorted(str((r["review_id"], r["text"])) for r in spark.read.parquet(path).collect())
+    assert got == sorted(map(str, [("a", "x"), ("b", "x"), ("c", "x"), (None, "x"), (None, "y"), (None, "z")]))
+    path = scratch_path(spark, "inc")
+    for _ in range(2):
+        sinks.append_incremental(df, path, fixed_month=True)
+    assert spark.read.parquet(path).count() == 4
+
+
 def test_embeddings_are_not_overwritten(spark):
     path = scratch_path(spark, "emb")
     assert readers.load_embeddings(spark, path) is None
