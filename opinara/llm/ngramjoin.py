@@ -2,10 +2,10 @@
 
 1. Every text becomes its set of n-gram hashes and a MinHash signature, in one pass. Texts with the same set are one
    *class*; only one representative of a class goes on, with the size of its class.
-2. A forest of TREES sorted prefix tries holds the signatures. Level by level, from the longest prefix to
-   shorter ones, representatives that share a prefix are candidates; the prefix is shortened until the chance that a
-   pair at the threshold shares one in some tree reaches the target recall. Since prefixes nest, the last level holds
-   the candidates of all longer ones.
+2. Of an LSH forest of TREES trees only the last level is evaluated: the prefix length is shortened, from threshold and
+   target alone, until the chance that a pair at the threshold shares one in some tree reaches the target recall, and
+   representatives that share such a prefix are candidates. Since prefixes nest, that level holds the candidates of all
+   longer ones, so no trie is built; the places behind it serve the agreement count.
 3. Candidates whose signatures agree too little are cut, at a level that keeps the target recall, and what remains of a
    trie node is passed on as a spanning forest: at most one row per member and chunk pair, never the pairs. Its
    connected components are *clusters*: every candidate pair lies inside one.
