@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
-from . import chat, decontam, exactdedup, langid, licenses, ngramjoin, packing, sharding, tokenids, toxicity
+from . import (bpestream, chat, decontam, exactdedup, langid, licenses, ngramjoin, packing, periodic, sharding, tokenids,
+               toxicity, turnrepair)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,11 +30,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """The vocabulary file of the queries; operators take its path as a parameter."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the queries; operators take its path as a parameter."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @_query("op1_chat_format")
@@ -94,3 +95,20 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_exact_dedup", exactdedup.sql())
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.group_copies(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_bpe_stream")
+def bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpestream.digests(bpestream.encode_documents(
+        _table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), decoded=True))
+
+
+@_query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
+@_query("op13_turn_repair", turnrepair.sql())
+def turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return turnrepair.digests(turnrepair.repair(turnrepair.damage(turns)), turns)
