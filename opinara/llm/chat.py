@@ -12,9 +12,8 @@ of all turns is spread over its chunks; only one 5 x 5 matrix per chunk meets in
 
 The result has one row per repaired turn. Concatenating `rendered` in the order of (part, step) gives the rendered conversation.
 
-Defined results: turns are ordered by number (null last), then by a hash of role and text, role and text; a verbatim repeat
-(number, role and text) in a conversation whose id and number are both given is the same turn, since the number names it; where either is
-null every row is a turn of its own, however often it is repeated; roles are compared in lower case without blanks around, any other or null role
+Defined results: turns are ordered by number (null last), then by a hash of role and text, role and text; every row is a
+turn of its own, however often it is repeated, and the automaton merges repeats; roles are compared in lower case without blanks around, any other or null role
 is unknown and must be relabelled, at a lower cost; a null text is empty; a null conversation id is a conversation of its
 own; an empty table gives an empty result; extra columns do not matter.
 """
@@ -233,9 +232,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(role).alias("_raw"), F.col(text).isNull().alias("_none"))
     # equal rows travel as one with their number; they are interchangeable
     rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times")).drop("_raw", "_none")
-    named = (F.col("_c") != "") & F.col("_turn").isNotNull()
-    rows = rows.withColumns({"_times": F.when(named, F.lit(1)).otherwise(F.col("_times")).cast("bigint"),
-                             "_h": F.xxhash64("_as", "_text")})
+    rows = rows.withColumn("_h", F.xxhash64("_as", "_text"))
     # chunks sort as text: range of turn numbers (null last); in a crowded range also the number and a share of the hashes
     wide = F.when(F.col("_turn").isNull(), "z").otherwise(F.concat(
         F.when(F.col("_turn") < 0, "a").otherwise("b"),

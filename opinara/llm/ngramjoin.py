@@ -285,13 +285,14 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float, target: flo
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
                     target: float = TARGET) -> DataFrame:
-    """One row per document: key, class_id, n_links, n_ngrams, set_size.
+    """One row per document, told apart by id and text, null ids included: key, class_id, n_links, n_ngrams, set_size.
 
-    `class_id` is the smallest id that is connected to the document by links (its own, if there is none), a link being
+    `class_id` is the smallest id that is connected to the document by links (its own, if there is none; null if only
+    documents without id are), a link being
     a pair of similarity >= threshold; `n_links` counts the document's links to other documents, copies included;
     `set_size` counts the documents with exactly the same n-gram set.
     """
-    named, sets = _classes(docs.where(F.col(key).isNotNull()), key, text, threshold, target)
+    named, sets = _classes(docs, key, text, threshold, target)
     # a component is named by the smallest document id in it
     least = named.where("n > 0").groupBy("n", "d0", "d1").agg(F.min("id").alias("least"))
     joined = materialize(sets.join(least, ["n", "d0", "d1"]), "joined")
@@ -349,27 +350,30 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 def sql(table: str = "documents") -> str:
     """The same rows in DuckDB SQL."""
     return f"""
-        with recursive words as (
-            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        with recursive keyed as materialized (
+            select row_number() over () as k, doc_id, text from (select distinct doc_id, text from {table})
+        ), words as (
+            select k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
-            from {table} where doc_id is not null
+            from keyed
         ), grams as (
-            select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
+            select distinct k, unnest(case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
                 else list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))
                 end) as g from words
-        ), sizes as (select doc_id, count(*) as n from grams group by doc_id),
+        ), sizes as (select k, count(*) as n from grams group by k),
         common as (
-            select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b using (g)
-            where a.doc_id <> b.doc_id group by 1, 2
+            select a.k as a, b.k as b, count(*) as c from grams a join grams b using (g) where a.k <> b.k group by 1, 2
         ), links as (
-            select a, b, c = x.n and c = y.n as same from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+            select a, b, c = x.n and c = y.n as same from common join sizes x on x.k = a join sizes y on y.k = b
             where c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9
         ), reach as (
-            select doc_id as id, doc_id as root from words
+            select k as id, k as root from words
             union
             select links.b, reach.root from reach join links on links.a = reach.id where reach.root < links.b
-        ), roots as (select id, min(root) as root from reach group by id)
-        select id as doc_id, root as class_id, coalesce(k.n, 0) as n_links, coalesce(sizes.n, 0) as n_ngrams,
-               coalesce(k.same, 0) + 1 as set_size
-        from roots left join (select a, count(*) as n, count(*) filter (where same) as same from links group by a) k
-             on k.a = id left join sizes on sizes.doc_id = id"""
+        ), roots as (select id, min(root) as root from reach group by id),
+        classes as (select root, min(doc_id) as class_id from roots join keyed on k = id group by root)
+        select doc_id, class_id, coalesce(l.n, 0) as n_links, coalesce(sizes.n, 0) as n_ngrams,
+               coalesce(l.same, 0) + 1 as set_size
+        from roots join keyed on keyed.k = id join classes using (root)
+        left join (select a, count(*) as n, count(*) filter (where same) as same from links group by a) l on l.a = id
+        left join sizes on sizes.k = id"""
