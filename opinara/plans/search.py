@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as ans
+from ..operators import density
 from ..operators import retrieval as ret
 from ..operators import similarity as sim
 from ..session import materialize, scratch_path
@@ -101,6 +102,38 @@ def _(spark, sf):
     return sim.dbscan(fx.table(spark, sf, "embeddings"), eps=0.7, min_points=5)
 
 
+# Prim's algorithm over the matrix of mutual reachability distances, one vector a step.
+TREE_SQL = (
+    f"with recursive {VECTORS}, p as (select a.vec_id as id, b.vec_id as nbr, round(sqrt(greatest(0, 2 - 2 * "
+    "list_cosine_similarity(a.v, b.v))), 9) as d from e a join e b on a.vec_id <> b.vec_id), k as (select * from p qualify "
+    "row_number() over (partition by id order by d, nbr) <= 10), c as materialized (select id, max(d) as cd from k group by 1), "
+    "ix as materialized (select id, row_number() over (order by id) as i from c), "
+    "w as (select x.i, y.i as j, greatest(d, a.cd, b.cd) as w from p join c a on a.id = p.id join c b on b.id = p.nbr join ix x "
+    "on x.id = p.id join ix y on y.id = p.nbr union all select i, i, 1e9 from ix), "
+    "mat as materialized (select i, list(w order by j) as ws from w group by 1), "
+    "tr as (select 1::bigint as i, 0::bigint as step, ws as best, [1::bigint] as seen, 0.0::double as weight from mat where i = 1 "
+    "union all select n.i, n.step, list_transform(n.best, lambda b, k: least(b, mat.ws[k])), list_append(n.seen, n.i), n.weight "
+    "from (select list_position(masked, list_min(masked)) as i, step + 1 as step, best, seen, list_min(masked) as weight from ("
+    "select *, list_transform(best, lambda b, k: case when list_contains(seen, k) then 1e9 else b end) as masked from tr where "
+    "len(seen) < len(best)) as open) as n join mat on mat.i = n.i) ")
+
+
+def _density_tree(spark, sf):
+    reps, _ = sim.distinct_vectors(fx.table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return density.spanning_tree(reps, 10)
+
+
+@query("density_tree", TREE_SQL + "select round(weight, 6) as weight, count(*) as edges from tr where step > 0 group by 1")
+def _(spark, sf):
+    _, tree = _density_tree(spark, sf)
+    return tree.groupBy(F.round("dist", 6).alias("weight")).agg(F.count("*").alias("edges"))
+
+
+@query("density_clusters")
+def _(spark, sf):
+    return rounded(density.density_clusters(fx.table(spark, sf, "embeddings"), min_size=10), 6)
+
+
 # ---------------------------------------------------------------- text questions
 
 def _questions(spark, sf):

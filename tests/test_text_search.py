@@ -75,10 +75,10 @@ def test_connected_components(spark):
     assert all(got[i] == 1 for i in range(1, 31)) and got[70] == 50
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-def test_retrieval_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(retrieval, "MAX_QUESTIONS", limit)
-    monkeypatch.setattr(retrieval, "CELL_ROWS", 40)
+@pytest.mark.parametrize("slab", [4096, 3])
+def test_retrieval_both_ways(spark, monkeypatch, slab):
+    """Five questions in one slab, or in two."""
+    monkeypatch.setattr(retrieval, "SLAB", slab)
     v, df = vectors(spark, copies=1, seed=2)
     corpus = df.select(F.col("vec_id").cast("string").alias("review_id"), "embedding",
                        (F.col("vec_id") % 4).cast("string").alias("parent_asin"))
