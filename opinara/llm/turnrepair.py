@@ -314,6 +314,8 @@ _COUNTS = ("rows", "first_turn", "last_turn", "turns", "blank", "duplicate", "tr
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    held = 0
     for part in _parts(batches):
         header, found = part.header, _faults(part)
         entry = header.get("_entry") or START
@@ -339,13 +341,24 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     now = _KEEP[now, role[:1]]
             edits.append({"action": _ACTION[letter], "times": times, "fault": fault or None, "turn": row["_turn"],
                           "role": role, "text": text})
-        numbers = zip(_COUNTS, (*_counts(found), cost), strict=True)
-        yield pa.RecordBatch.from_pydict({
-            "_conv": pa.array([part.rows[0]["_conv"]], part.kind), **_key(part),
-            "_parts": pa.array([header.get("_parts") or 1], pa.int64()),
-            **{k: pa.array([v], pa.int64()) for k, v in numbers},
-            "first_initial": pa.array([found[0][0]["_role"][:1]], pa.string()),
-            "last_initial": pa.array([found[-1][0]["_role"][:1]], pa.string()), "edits": pa.array([edits], pa.list_(_EDIT))})
+        out.append((part.rows[0]["_conv"], *part.key, header.get("_parts") or 1, *_counts(found), cost,
+                    found[0][0]["_role"][:1], found[-1][0]["_role"][:1], edits))
+        held += len(edits)
+        if held >= _HELD:
+            yield _batch(out, part.kind)
+            out, held = [], 0
+    if out:
+        yield _batch(out, part.kind)
+
+
+_HELD = 2000    # edits of a batch, about
+
+
+def _batch(parts: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = [kind, pa.string(), *[pa.int64()] * (3 + len(_COUNTS)), pa.string(), pa.string(), pa.list_(_EDIT)]
+    names = ["_conv", "_c", "_a", "_b", "_parts", *_COUNTS, "first_initial", "last_initial", "edits"]
+    columns = map(list, zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def _counts(found: list[tuple[dict, str, int]]) -> tuple:
@@ -448,25 +461,29 @@ def _headers(ready: DataFrame, several: DataFrame) -> DataFrame:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per conversation from its chunks in order."""
     conv, state = None, None
+    out: list[tuple] = []
 
-    def close() -> pa.RecordBatch:
+    def close() -> None:
         low, high = state["low"], state["high"]
-        return pa.RecordBatch.from_pydict({
-            "_c": pa.array([conv], pa.string()),
-            "gaps": pa.array([0 if low is None else high - low + 1 - state["turns"]], pa.int64()),
-            **{c: pa.array([state[c]], pa.int64()) for c in ("blank", "duplicate", "truncated", "illegal", "cost")},
-            "audit": pa.array(["".join(state["audit"])], pa.string()),
-            "repaired_sha256": pa.array([state["sha"] or state["hash"].hexdigest()], pa.string())})
+        out.append((conv, 0 if low is None else high - low + 1 - state["turns"], *(state[c] for c in _SUMMED[1:]),
+                    "".join(state["audit"]), state["sha"] or state["hash"].hexdigest()))
+
+    def flushed() -> pa.RecordBatch:
+        types = [pa.string(), *[pa.int64()] * len(_SUMMED), pa.string(), pa.string()]
+        names = ["_c", "gaps", *_SUMMED[1:], "audit", "repaired_sha256"]
+        columns = [pa.array(c, t) for c, t in zip(map(list, zip(*out, strict=True)), types, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     for batch in batches:
         for row in batch.to_pylist():
             if state is None or row["_c"] != conv:
                 if state is not None:
-                    yield close()
+                    close()
                 conv = row["_c"]
-                state = dict.fromkeys(("turns", "blank", "duplicate", "truncated", "illegal", "cost"), 0) | {
-                    "low": None, "high": None, "last": None, "audit": [], "sha": None, "hash": hashlib.sha256(), "any": False}
-            for c in ("turns", "blank", "duplicate", "truncated", "illegal", "cost"):
+                state = dict.fromkeys(_SUMMED, 0) | {"low": None, "high": None, "last": None, "audit": [], "sha": None,
+                                                     "hash": hashlib.sha256(), "any": False}
+            for c in _SUMMED:
                 state[c] += row[c]
             if row["first_turn"] is not None:
                 state["turns"] -= state["high"] == row["first_turn"]
@@ -481,8 +498,14 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif row["_piece"]:
                 state["hash"].update((("\n" if state["any"] else "") + row["_piece"]).encode())
                 state["any"] = True
+        if out:
+            yield flushed()
     if state is not None:
-        yield close()
+        close()
+        yield flushed()
+
+
+_SUMMED = ("turns", "blank", "duplicate", "truncated", "illegal", "cost")
 
 
 def digests(repaired: DataFrame, original: DataFrame, conv: str = "conv_id") -> DataFrame:
