@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from ..operators import arima, series as ts
+from ..operators import additive, arima, series as ts
 from ..session import materialize
 from . import base_sql as B
 from .registry import clean, query, rounded, table
@@ -244,6 +244,55 @@ def _(spark, sf):
     return rounded(ts.forecast_report(table(clean(spark, sf), A, "date", "sentiment_score"), 12, "M", 5), 6)
 
 
+def piecewise_cte(freq: str, periods: int) -> str:
+    """Piecewise additive forecast: columns, normal equations, elimination column by column, predictions."""
+    t = "((day - d0) / (d1 - d0))"
+    pairs = [("n > 14", 7.0, 3), ("n > 365", 365.25, 10)]
+    waves = [f"case when {used} then list_transform(range(1, {k + 1}), lambda k: {fn}(2 * pi() * day * k / {period})) else [] end"
+             for used, period, k in pairs for fn in ("sin", "cos")]
+    columns = (f"list_concat([1.0::double, {t}], list_transform(range(1, hinges + 1), lambda j: greatest(0.0, {t} - 0.8 * j / "
+               f"(hinges + 1))), {', '.join(waves)})")
+    ahead = {"D": "last + cast(step as integer)", "W": "last + cast(7 * step as integer)",
+             "M": "last_day(cast(date_trunc('month', last) as date) + to_months(cast(step as integer)))"}[freq]
+    return (
+        ", mt as (select series_id, ds, y, cast(ds - date '1970-01-01' as double) as day from ser), "
+        "mm as (select series_id, min(day) as d0, max(day) as d1, max(ds) as last, count(*) as n, case when max(abs(y)) > 0 then "
+        "max(abs(y)) else 1.0 end as scale, greatest(0, regr_syy(y, day) - regr_sxy(y, day) * regr_sxy(y, day) / "
+        "regr_sxx(y, day)) / count(*) as sq, least(25, cast(floor(count(*) * 0.8) - 1 as integer)) as hinges from mt group by 1 "
+        "having count(*) >= 10), "
+        f"xs as materialized (select series_id, ds, y, {columns} as x from mt join mm using (series_id)), "
+        "cl as materialized (select series_id, i, list(x[i] order by ds) as c from xs, lateral (select unnest(range(1, len(x) + "
+        "1)) as i) group by 1, 2), "
+        "ys as (select series_id, list(y / scale order by ds) as c from xs join mm using (series_id) group by 1), "
+        "gm as (select a.series_id, a.i, list(list_dot_product(a.c, b.c) + case when a.i = b.i and a.i > 2 then "
+        "greatest(sq / (scale * scale), 1e-9) / case when a.i <= 2 + hinges then 0.05 * 0.05 else 1.0 end else 0 end order by "
+        "b.i) as g, any_value(list_dot_product(a.c, ys.c)) as b from cl a join cl b on a.series_id = b.series_id join ys on "
+        "ys.series_id = a.series_id join mm on mm.series_id = a.series_id group by 1, 2), "
+        "gj as (select series_id, 0::bigint as k, list(list_append(g, b) order by i) as m from gm group by 1 union all "
+        "select series_id, k + 1, list_transform(m, lambda r, i: case when i = k + 1 then p else list_transform(r, lambda v, c: "
+        "v - r[k + 1] * p[c]) end) from (select *, list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) as p from gj where "
+        "k < len(m)) as reduced), "
+        "be as materialized (select series_id, list_transform(m, lambda r: r[len(r)]) as beta from gj where k = len(m)), "
+        "de as (select series_id, sqrt(avg(pow(y - scale * list_dot_product(x, beta), 2))) as dev, any_value(case when hinges > 0 "
+        "then scale * list_avg(list_transform(beta[3:2 + hinges], lambda b: abs(b))) else 0 end) as chg from xs join be using "
+        "(series_id) join mm using (series_id) group by 1), "
+        f"fd as (select series_id, {ahead} as ds, null::double as y, true as is_future from mm, range(1, {periods + 1}) as s(step)), "
+        "al as (select *, cast(ds - date '1970-01-01' as double) as day from (select series_id, ds, y, false as is_future from xs "
+        "union all select * from fd) join mm using (series_id)), "
+        f"pr as (select series_id, ds, y, is_future, scale * list_dot_product({columns}, beta) as yhat, scale * list_dot_product("
+        f"{columns}[1:2 + hinges], beta[1:2 + hinges]) as trend, {Z95!r} * sqrt(dev * dev + 2 * chg * chg * hinges / 0.8 * "
+        "pow(greatest(0, (day - d1) / (d1 - d0)), 3) / 3) as margin from al join be using (series_id) join de using (series_id)) "
+        "select series_id, ds, round(y, 6) as y, round(yhat, 6) as yhat, round(yhat - margin, 6) as yhat_lower, "
+        "round(yhat + margin, 6) as yhat_upper, round(trend, 6) as trend, is_future from pr")
+
+
+for _name, _freq, _least, _periods in (("daily", "D", 1, 90), ("weekly", "W", 3, 26), ("monthly", "M", 5, 12)):
+    @query(f"forecast_piecewise_{_name}", CLEAN_RECURSIVE + prep_cte(_freq, _least) + piecewise_cte(_freq, _periods))
+    def _(spark, sf, freq=_freq, least=_least, periods=_periods):
+        s = materialize(ts.prepare_series(clean(spark, sf), freq, least), "series")
+        return rounded(additive.piecewise_forecast(s, periods, freq), 6)
+
+
 @query("forecast_backtest", B.CLEAN_MORE + prep_cte("M", 5) + ", bk as (select *, row_number() over "
        "(partition by series_id order by ds desc) as back from ser), trn as (select series_id, ds, y from "
        "bk where back > 6)" + forecast_cte(48, "trn") + "select bk.series_id, count(*) as held_out, "
