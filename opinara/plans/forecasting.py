@@ -304,16 +304,62 @@ def _(spark, sf):
     return rounded(ts.forecast_backtest(_monthly(spark, sf), 6, "M"), 6)
 
 
-@query("forecast_arima")
+def _filtered(x: str) -> str:
+    """`x` divided by the shocks' polynomial 1 + th B."""
+    return (f"list_transform(range(1, len({x}) + 1), lambda t: list_sum(list_transform(range(0, t), lambda k: "
+            f"pow(-th, k) * {x}[t - k])))")
+
+
+def _at_shock(source: str) -> str:
+    """For each row's `th`: the other coefficients by least squares, the shocks, their squares and the slope of that in th."""
+    return (
+        f"(select *, list_dot_product(e, e) as s, -list_dot_product(e, {_filtered('le')}) as g from (select *, list_prepend("
+        "0.0::double, e[1:len(e) - 1]) as le from (select *, list_transform(fy, lambda v, i: v - c * fa[i] - phi * fb[i]) as e "
+        "from (select *, (ay * bb - bt * ab) / (aa * bb - ab * ab) as c, (bt * aa - ay * ab) / (aa * bb - ab * ab) as phi from ("
+        "select *, list_dot_product(fa, fa) as aa, list_dot_product(fa, fb) as ab, list_dot_product(fb, fb) as bb, "
+        "list_dot_product(fa, fy) as ay, list_dot_product(fb, fy) as bt from (select *, "
+        f"{_filtered('x')} as fy, {_filtered('o')} as fa, {_filtered('l')} as fb from {source}) as q1) as q2) as q3) as q4) as q5)")
+
+
+# ARIMA(1,1,1): the shocks' weight by a grid, then by halving where the slope of the squares changes its sign.
+ARIMA_111 = (
+    CLEAN_RECURSIVE + prep_cte("M", 5, "arima") + ", d as (select series_id, ds, y, y - lag(y) over (partition by series_id order "
+    "by ds) as d from ser), wl as (select series_id, max(ds) as last, arg_max(y, ds) as y0, count(*) as n, list(d order by ds) "
+    "filter (where d is not null) as w from d group by 1), "
+    "se as materialized (select series_id, last, y0, w[len(w)] as d0, w[2:len(w)] as x, w[1:len(w) - 1] as l, "
+    "list_transform(w[2:len(w)], lambda v: 1.0::double) as o from wl where n >= 10), "
+    f"gr as (select * from {_at_shock('(select se.*, (i - 9) / 10.0::double as th from se, range(0, 19) as r(i)) as starts')} as q "
+    "qualify row_number() over (partition by series_id order by s) = 1), "
+    "bi as (select series_id, last, y0, d0, x, l, o, greatest(-0.99, th - 0.1) as lo, least(0.99, th + 0.1) as hi, 0 as step from gr "
+    "union all select series_id, last, y0, d0, x, l, o, case when g > 0 then lo else th end, case when g > 0 then th else hi end, "
+    f"step + 1 from {_at_shock('(select *, (lo + hi) / 2 as th from bi where step < 60) as halves')} as q), "
+    f"ft as materialized (select * from {_at_shock('(select *, (lo + hi) / 2 as th from bi where step = 60) as ends')} as q), "
+    "ah as (select series_id, 0 as step, y0 as y, d0 as d, e[len(e)] as shock, 0.0::double as cum, 1.0::double as psi, 0.0::double as "
+    "v, sqrt(s / len(e)) as sd, c, phi, th, last from ft union all select series_id, step + 1, y + c + phi * d + th * shock, c + phi "
+    "* d + th * shock, 0.0::double, cum + psi, case when step = 0 then phi + th else psi * phi end, v + (cum + psi) * (cum + psi), sd, "
+    "c, phi, th, last from ah where step < 12), "
+    "fa as materialized (select series_id, last_day(cast(date_trunc('month', last) as date) + to_months(cast(step as integer))) as "
+    f"ds, cast(step as integer) as step, y as yhat, y - {Z95!r} * sd * sqrt(v) as yhat_lower, y + {Z95!r} * sd * sqrt(v) as "
+    "yhat_upper, null::varchar as error from ah where step > 0 union all select series_id, null, null, null, null, null, n || "
+    "' points, at least 10 are needed' from wl where n < 10) ")
+
+
+@query("forecast_arima", ARIMA_111 + "select series_id, ds, step, round(yhat, 4) as yhat, round(yhat_lower, 4) as yhat_lower, "
+       "round(yhat_upper, 4) as yhat_upper, error from fa")
 def _(spark, sf):
     s = ts.prepare_series(clean(spark, sf), "M", 5, method="arima")
-    return arima.fit_arima(s, (1, 1, 1), periods=12, freq="M")
+    return rounded(arima.fit_arima(s, (1, 1, 1), periods=12, freq="M"), 4)
 
 
-@query("arima_trend")
+@query("arima_trend", ARIMA_111 + ", tg as (select series_id, (arg_max(yhat, step) - arg_min(yhat, step)) / 12 as slope, "
+       "stddev_samp(yhat) as vol, arg_max(yhat, step) as ye, max(error) as error from fa group by 1) select series_id, case when "
+       "slope > 0.01 then 'Improving' when slope < -0.01 then 'Declining' when slope is not null then 'Stable' end as "
+       "trend_direction, round(slope, 4) as slope, round(y0, 4) as current_sentiment, round(vol, 4) as volatility, round(ye, 4) as "
+       "predicted_30, round(ye, 4) as predicted_90, ye < 0 as turns_negative, slope < -0.02 as rapid_decline, error from tg join wl "
+       "using (series_id)")
 def _(spark, sf):
     s = materialize(ts.prepare_series(clean(spark, sf), "M", 5, method="arima"), "series")
-    return arima.arima_trend(arima.fit_arima(s, (1, 1, 1), periods=12, freq="M"), s)
+    return rounded(arima.arima_trend(arima.fit_arima(s, (1, 1, 1), periods=12, freq="M"), s), 4)
 
 
 ARIMA_110 = (

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from opinara.operators import additive, series
+from opinara.operators import additive, arima, series
 
 DAY = dt.date(1970, 1, 1)
 
@@ -99,3 +99,91 @@ def test_trend_and_anomalies_take_the_forecast(spark):
     assert trend["trend_direction"] == "Declining" and trend["negative_from"] is not None
     odd = series.forecast_anomalies(s, forecast).where("is_anomaly").collect()
     assert [r["ds"] for r in odd] == [dt.date(2020, 1, 31)]
+
+
+# ---------------------------------------------------------------- ARIMA
+
+def explicit_shocks(w, c, short, seasonal, theta, season_theta, s):
+    """Shocks of a product model, lag by lag."""
+    start, e = len(short) + len(seasonal) * s, {}
+    own = [1.0, *(-x for x in short)], [1.0, *(-x for x in seasonal)]
+    past = [1.0, *theta], [1.0, *season_theta]
+    for t in range(start, len(w)):
+        x = sum(a * b * w[t - i - j * s] for i, a in enumerate(own[0]) for j, b in enumerate(own[1])) - c
+        x -= sum(a * b * e.get(t - i - j * s, 0.0) for i, a in enumerate(past[0]) for j, b in enumerate(past[1]) if i or j)
+        e[t] = x
+    return e
+
+
+def simulated(n, c, short, seasonal, theta, season_theta, s, seed):
+    rng = np.random.default_rng(seed)
+    e, w = rng.normal(size=n + 100), []
+    for t in range(n + 100):
+        at = lambda i: w[i] if i >= 0 else 0.0
+        x = c + e[t] + theta * (e[t - 1] if t else 0) + season_theta * (e[t - s] if t >= s else 0)
+        x += theta * season_theta * (e[t - s - 1] if t > s else 0)
+        w.append(x + short * at(t - 1) + seasonal * at(t - s) - short * seasonal * at(t - s - 1))
+    return np.array(w[100:])
+
+
+def test_product_models_multiply_their_polynomials():
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=60)
+    model = arima._Model(w, (2, 1, 1, 1), 4)
+    many = rng.uniform(-0.8, 0.8, (5, model.size))
+    got = model.shocks(many)
+    for i, v in enumerate(many):
+        want = explicit_shocks(w, v[0], v[1:3], v[3:4], v[4:5], v[5:6], 4)
+        assert got[:, i] == pytest.approx(list(want.values()), abs=1e-10)
+    short = arima._invertible(np.array([0.99, -0.99, 0.5]))
+    assert (np.abs(np.roots([1.0, *short])) < 1).all()
+
+
+def test_seasonal_fit_is_a_minimum():
+    """No vector of a wide random search, each polished coordinate by coordinate, has fewer squares."""
+    truth = (0.2, 0.6, 0.5, 0.4, 0.3)
+    w = simulated(400, *truth, 4, 5)
+    model = arima._Model(w, (1, 1, 1, 1), 4)
+    fitted = model.fit()
+
+    def cost(v):
+        return sum(x * x for x in explicit_shocks(w, v[0], v[1:2], v[2:3], v[3:4], v[4:5], 4).values())
+
+    best = cost(fitted)
+    rng = np.random.default_rng(2)
+    starts = [np.array(truth), *rng.uniform(-0.9, 0.9, (4, 5))]
+    for v in starts:
+        step = 0.2
+        now = (model.shocks(v[None]) ** 2).sum()
+        while step > 1e-5:
+            moves = np.vstack([v + step * x for x in (*np.eye(5), *-np.eye(5))])
+            moves[:, 3:] = moves[:, 3:].clip(-arima.EDGE, arima.EDGE)
+            costs = (model.shocks(moves) ** 2).sum(axis=0)
+            if costs.min() < now:
+                now, v = costs.min(), moves[costs.argmin()]
+            else:
+                step /= 2
+        assert best <= now + 1e-6
+    assert fitted == pytest.approx(truth, abs=0.25)
+
+
+def test_seasonal_forecast_follows_the_recursion():
+    w = simulated(120, 0.1, 0.5, 0.3, 0.4, 0.2, 6, 9)
+    model = arima._Model(w, (1, 1, 1, 1), 6)
+    c, short, seasonal, theta, season_theta = model.fit()
+    e = explicit_shocks(w, c, [short], [seasonal], [theta], [season_theta], 6)
+    path = list(w)
+    for t in range(120, 130):
+        path.append(c + short * path[t - 1] + seasonal * path[t - 6] - short * seasonal * path[t - 7] + theta * e.get(t - 1, 0)
+                    + season_theta * e.get(t - 6, 0) + theta * season_theta * e.get(t - 7, 0))
+    mean, low, high = arima.forecast_values(w, (1, 0, 1), (1, 0, 1, 6), 10)
+    assert mean == pytest.approx(path[120:], abs=1e-9)
+    sigma = np.sqrt(np.mean(np.square(list(e.values()))))
+    assert (high - mean)[0] == pytest.approx(1.959963985 * sigma) and ((high - low)[1:] >= (high - low)[:-1] - 1e-12).all()
+
+
+def test_noise_around_a_mean_keeps_shocks_invertible():
+    y = np.random.default_rng(4).normal(size=200)
+    w = np.diff(y)
+    v = arima._Model(w, (1, 0, 1, 0), 0).fit()
+    assert v[2] == pytest.approx(-arima.EDGE, abs=0.1) and abs(v[2]) <= arima.EDGE
