@@ -6,10 +6,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import answers as ans
-from ..operators import density
+from ..operators import density, embedder
 from ..operators import retrieval as ret
 from ..operators import similarity as sim
+from ..operators import vectorstore as store
 from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 from ..sources import readers, sinks
@@ -134,6 +136,16 @@ def _(spark, sf):
     return rounded(density.density_clusters(fx.table(spark, sf, "embeddings"), min_size=10), 6)
 
 
+@query("indexed_topk", f"with {SCORES} select question_id, review_id, score, {RANK} as rank from sc qualify rank <= 8")
+def _(spark, sf):
+    path = scratch_path(spark, "vector-table")
+    corpus = _corpus(spark, sf)
+    later = F.col("review_id").cast("bigint") % 366 >= 183     # the second half of the days is added afterwards
+    store.build_index(corpus.where(~later), path)
+    store.add_rows(corpus.where(later), path)
+    return store.search(spark, path, _label_questions(spark, sf), 8)
+
+
 # ---------------------------------------------------------------- text questions
 
 def _questions(spark, sf):
@@ -188,6 +200,18 @@ RERANK = (
 )
 
 
+@query("question_topk_text")
+def _(spark, sf):
+    """Text questions against an index of text vectors, with one fitted encoder for both."""
+    path = scratch_path(spark, "text-index")
+    texts = _texts(spark, sf).withColumn("text", F.coalesce("text", F.lit("")))
+    model = embedder.fit(texts.withColumn("text", C.scrub_pii("text")), dims=64)
+    model.save(spark, f"{path}/model")
+    store.build_index(texts, path, encode=model.transform)
+    asked = embedder.Embedder.load(spark, f"{path}/model").transform(_questions(spark, sf), "question_id", "question")
+    return rounded(store.search(spark, path, asked, 8), 6)
+
+
 def _snips(spark, sf):
     t = _texts(spark, sf)
     return materialize(ret.snippets(ret.tfidf_search(_questions(spark, sf), t, 20), t), "found")
