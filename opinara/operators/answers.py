@@ -187,19 +187,22 @@ def cache_metrics(events: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def qa_batch(questions: DataFrame, texts: DataFrame, cache: DataFrame, now: int, search_k: int = 20,
-             k: int = 8, allowed_tokens: int = 512) -> DataFrame:
+             k: int = 8, allowed_tokens: int = 512, index: str | None = None) -> DataFrame:
     """Answer a table of questions: cache, search, rerank, pack, answer.
 
     ``questions`` has ``question_id, asin, question``; ``texts`` has ``review_id, parent_asin, text, date``.  A cached
     answer wins; the other questions get an extractive answer from the reranked, scrubbed snippets of their own
-    product.  ``sources`` lists the snippets behind an answer as JSON, ``review_ids`` their keys by rank.
+    product.  ``sources`` lists the snippets behind an answer as JSON, ``review_ids`` their keys by rank.  With the path of an
+    `index` (`textindex.build_text_index`) the search reads its postings instead of counting the corpus again.
     """
     from .retrieval import snippets, tfidf_rerank, tfidf_search
+    from .textindex import search_text_index
 
     looked = materialize(answer_cache_lookup(questions, cache, now), "looked")
     asked = questions.join(looked.where("event_type = 'miss'"), "question_id", "left_semi").withColumn(
         "parent_asin", F.col("asin"))
-    found = snippets(tfidf_search(asked, texts, search_k), texts)
+    hits = search_text_index(texts.sparkSession, index, asked, search_k) if index else tfidf_search(asked, texts, search_k)
+    found = snippets(hits, texts)
     best = materialize(tfidf_rerank(materialize(found, "found"), asked, k), "best")
     keys = best.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("rank", "review_id"))), lambda x: x["review_id"]), ",").alias("review_ids"))

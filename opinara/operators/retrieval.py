@@ -148,12 +148,15 @@ def tfidf_search(questions: DataFrame, texts: DataFrame, k: int = 20, product: s
     tf = materialize(tf, "postings")
     n = texts.agg(F.count("*")).scalar()
     idf = tf.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
-    weighted = materialize(tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).drop("tf"), "weights")
+    # only reviews of an asked product can win
+    products = questions.select(F.col(product).alias("_p")).distinct()
+    weighted = materialize(tf.join(products, "_p", "left_semi").join(idf, "term").withColumn(
+        "w", F.col("tf") * F.col("idf")).drop("tf"), "weights")
 
     asked = (questions.select("question_id", F.col(product).alias("_p"), F.explode(C.topic_tokens("question")).alias("term"))
              .groupBy("question_id", "_p", "term").agg(F.count("*").alias("tf")))
     qt = asked.join(idf, "term").withColumn("qw", F.col("tf") * F.col("idf")).select("question_id", "_p", "term", "qw")
-    dots = (weighted.where(F.col("_p").isNotNull()).join(qt, ["_p", "term"]).groupBy("question_id", "review_id")
+    dots = (weighted.join(qt, ["_p", "term"]).groupBy("question_id", "review_id")
             .agg(F.sum(F.col("qw") * F.col("w")).alias("dot")))
     norms = weighted.groupBy("review_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     qnorms = qt.groupBy("question_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))

@@ -11,6 +11,7 @@ from ..operators import answers as ans
 from ..operators import density, embedder
 from ..operators import retrieval as ret
 from ..operators import similarity as sim
+from ..operators import textindex
 from ..operators import vectorstore as store
 from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
@@ -226,6 +227,13 @@ def _(spark, sf):
     return ret.tfidf_search(_questions(spark, sf), _texts(spark, sf), 20)
 
 
+@query("text_index_search", SEARCH + "select question_id, review_id, score, rank from found")
+def _(spark, sf):
+    path = scratch_path(spark, "text-postings")
+    textindex.build_text_index(_texts(spark, sf), path)
+    return textindex.search_text_index(spark, path, _questions(spark, sf), 20)
+
+
 @query("tfidf_rerank", RERANK + "select question_id, review_id, rank, round(rerank_score, 6) as "
                                 "rerank_score from best")
 def _(spark, sf):
@@ -441,23 +449,38 @@ def _(spark, sf):
     return ans.cache_metrics(ev, _cache(spark, sf))
 
 
-@query("qa_batch", RERANK + pack_sql(230) + EXTRACTIVE + ", hit as (select item_id as question_id from "
-       "benchmark where item_id % 7 = 3), ids as (select question_id, string_agg(review_id, ',' order by rank) as "
-       "review_ids, count(*) as n from best group by 1) select item_id as question_id, case when "
-       "hit.question_id is not null then 'cached' else ext.answer end as answer, case when "
-       "hit.question_id is not null then 'cached' else ext.method end as method, case when "
-       "hit.question_id is null then max_snippets end as max_snippets, case when hit.question_id is null "
-       "then snippet_chars end as snippet_chars, case when hit.question_id is null then review_ids end as review_ids, "
-       "case when hit.question_id is null then n end as n_sources "
-       "from benchmark left join hit on hit.question_id = item_id "
-       "left join ext on ext.question_id = item_id left join pack on pack.question_id = item_id "
-       "left join ids on ids.question_id = item_id")
-def _(spark, sf):
+QA_SQL = (
+    RERANK + pack_sql(230) + EXTRACTIVE + ", hit as (select item_id as question_id from "
+    "benchmark where item_id % 7 = 3), ids as (select question_id, string_agg(review_id, ',' order by rank) as "
+    "review_ids, count(*) as n from best group by 1) select item_id as question_id, case when "
+    "hit.question_id is not null then 'cached' else ext.answer end as answer, case when "
+    "hit.question_id is not null then 'cached' else ext.method end as method, case when "
+    "hit.question_id is null then max_snippets end as max_snippets, case when hit.question_id is null "
+    "then snippet_chars end as snippet_chars, case when hit.question_id is null then review_ids end as review_ids, "
+    "case when hit.question_id is null then n end as n_sources "
+    "from benchmark left join hit on hit.question_id = item_id "
+    "left join ext on ext.question_id = item_id left join pack on pack.question_id = item_id "
+    "left join ids on ids.question_id = item_id")
+
+
+def _answered(spark, sf, index=None):
     q = _questions(spark, sf).drop("parent_asin")
     # a seventh of the questions has been answered before, for the same product
     cache = q.where("question_id % 7 = 3").select(
         "asin", "question", F.lit("cached").alias("answer"), F.lit(EPOCH).cast("bigint").alias("created_at"))
-    out = ans.qa_batch(q, _texts(spark, sf), cache, EPOCH + DAY, allowed_tokens=230)
+    out = ans.qa_batch(q, _texts(spark, sf), cache, EPOCH + DAY, allowed_tokens=230, index=index)
     items = F.from_json("sources", "array<struct<review_id:string>>")
     return out.withColumn("n_sources", F.size(items).cast("bigint")).withColumn(
         "n_sources", F.when(F.col("sources").isNotNull(), F.col("n_sources"))).drop("sources")
+
+
+@query("qa_batch", QA_SQL)
+def _(spark, sf):
+    return _answered(spark, sf)
+
+
+@query("qa_batch_indexed", QA_SQL)
+def _(spark, sf):
+    path = scratch_path(spark, "text-postings")
+    textindex.build_text_index(_texts(spark, sf), path)
+    return _answered(spark, sf, path)
