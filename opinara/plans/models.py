@@ -10,9 +10,9 @@ from ..operators import text as tx
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks
-from ..streaming import jobs
+from ..streaming import alerts, ingest, jobs
 from . import base_sql as B
-from .language import ASPECT_WORDS, OPINIONS
+from .language import ASPECT_WORDS, EXTRACT, OPINIONS
 from .registry import query, rounded
 
 
@@ -184,3 +184,42 @@ def _(spark, sf):
     return (ev.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id")
             .agg(F.count("*").alias("n"))
             .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"))
+
+
+@query("stream_scored_ingest", EXTRACT + "select * from asp")
+def _(spark, sf):
+    raw = jobs.read_stream(spark, sf, "documents.parquet", fx.table(spark, sf, "documents").schema)
+    reviews = raw.select(F.col("doc_id").cast("string").alias("review_id"), "text")
+    return ingest.run_scored_ingest(reviews, scratch_path(spark, "scored"),
+                                    score=lambda batch: tx.extract_aspects(batch, ASPECT_WORDS, OPINIONS))
+
+
+# Daily means per user; islands without a gap of more than three days, walked row by row.
+ALERT_WALK = (
+    SCORED_EV.replace("with ", "with recursive ", 1) + ", mn as (select user_id as series_id, time_bucket(interval 1 day, "
+    "ts::timestamp, timestamp '1970-01-01') + interval 1 day as ds, avg(sentiment_score) as y from sv, wm group by 1, 2, wm having "
+    "ds <= wm), gp as (select *, coalesce(ds - lag(ds) over w > interval 3 day, true) as fresh, lead(ds) over w as nx from mn window w "
+    "as (partition by series_id order by ds)), nu as materialized (select *, row_number() over (partition by series_id order by ds) "
+    "as i from gp), wk as (select series_id, ds, 0::bigint as i, 0::bigint as n, 0.0::double as mean, 0.0::double as m2, 0.0::double "
+    "as up, 0.0::double as down, null::varchar as turn, null::double as fell, null::double as y from nu where i = 1 union all select "
+    "series_id, ds, i, n + 1, mean + (y - mean) / (n + 1), m2 + (y - mean) * (y - (mean + (y - mean) / (n + 1))), case when "
+    "greatest(u, d) > 2.0 and live then 0 else u end, case when greatest(u, d) > 2.0 and live then 0 else d end, case when greatest(u, "
+    "d) > 2.0 and live then case when u >= d then 'up' else 'down' end end, case when n >= 3 and mean - y >= 0.5 then y - mean end, y "
+    "from (select *, case when live then greatest(0, up + z - 0.5) else up end as u, case when live then greatest(0, down - z - 0.5) "
+    "else down end as d from (select *, n >= 3 and m2 > 0 as live, case when m2 > 0 then (y - mean) / sqrt(m2 / n) end as z from ("
+    "select wk.series_id, nu.ds, nu.i, nu.y, case when fresh then 0 else n end as n, case when fresh then 0.0 else mean end as mean, "
+    "case when fresh then 0.0 else m2 end as m2, case when fresh then 0.0 else up end as up, case when fresh then 0.0 else down end as "
+    "down from wk join nu on nu.series_id = wk.series_id and nu.i = wk.i + 1)))) ")
+
+
+@query("stream_alerts", ALERT_WALK + "select series_id, ds, turn as kind, round(y, 9) as value from wk where turn is not null union "
+       "all select series_id, ds, 'drop', round(fell, 9) from wk where fell is not null union all select series_id, ds + interval 3 "
+       "day, 'silent', null from nu where nx - ds > interval 3 day or (nx is null and ds + interval 3 day <= (select max(ds) from mn))")
+def _(spark, sf):
+    path = scratch_path(spark, "closed-days")
+    means = jobs.window_means(_stream(spark, sf), "user_id", "1 day")
+    jobs.run_to_table(means, "means", path=path)
+    closed = spark.readStream.schema(means.schema).parquet(path)
+    with alerts.timed_state(spark):
+        found = jobs.run_to_table(alerts.alert_stream(closed, 3.0, threshold=2.0, warmup=3), "alerts")
+    return rounded(found.withColumn("ds", F.col("ds").cast("timestamp_ntz")))
