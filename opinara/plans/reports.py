@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import analytics as ana
 from ..operators import preprocess as pre
+from ..operators import profiles
+from ..operators.quantiles import exact_quantiles
+from ..session import materialize
 from ..sources import fixtures as fx
 from . import base_sql as B
 from .registry import ANALYSED, clean, full, query, rounded, table
@@ -370,3 +373,51 @@ def _(spark, sf):
 
     pred = fx.reviews(spark, sf).select("review_id", "rating", "parent_asin")
     return join_ground_truth(pred, truth)
+
+
+# ---------------------------------------------------------------- full column profiles
+
+_LINES = {"l_orderkey": "number", "l_partkey": "number", "l_linenumber": "number", "l_quantity": "number",
+          "l_extendedprice": "number", "l_discount": "number", "l_returnflag": "other", "l_linestatus": "other", "l_shipdate": "time"}
+
+
+def _full_profile_sql(name: str, kind: str, distinct: str) -> str:
+    number = f"cast({name} as double)" if kind == "number" else "null::double"
+    moment = f"cast({name} as timestamp)" if kind == "time" else "null::timestamp"
+    parts = ", ".join(f"round(quantile_cont({number}, {p}), 7) as {q}" for q, p in profiles.QUARTILES.items())
+    return (f"select '{name}' as \"column\", '{kind}' as kind, count(*) as rows, count(*) - count({name}) as nulls, {distinct}, "
+            f"round(avg({number}), 7) as mean, round(stddev_samp({number}), 7) as std, round(min({number}), 7) as min, "
+            f"round(max({number}), 7) as max, {parts}, min({moment}) as first_time, max({moment}) as last_time from lineitem")
+
+
+def _plain(df):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_time", "last_time")})
+
+
+@query("profile_full", " union all ".join(
+    _full_profile_sql(c, k, f"count(distinct {c}) as distinct_values") for c, k in _LINES.items()))
+def _(spark, sf):
+    return _plain(rounded(profiles.profile_exact(fx.table(spark, sf, "lineitem").select(*_LINES)), 7))
+
+
+# Quartiles and distinct counts come from sketches: SQL has the exact ones, the query says whether its own are near enough.
+@query("profile_merged", "select * exclude (distinct_values, q25, q50, q75), true as distinct_near, case when kind = 'number' then "
+       "true end as quartiles_near from (" + " union all ".join(
+           _full_profile_sql(c, k, f"count(distinct {c}) as distinct_values") for c, k in _LINES.items()) + ")")
+def _(spark, sf):
+    lines = fx.table(spark, sf, "lineitem").select(*_LINES).withColumn("month", F.trunc("l_shipdate", "month"))
+    stored = materialize(profiles.profile_periods(lines, "month"), "profiles")
+    merged = materialize(profiles.merge_profiles(stored).drop("frequent"), "merged")
+    around = {f"{q}_{side}": min(1.0, max(0.0, p + d)) for q, p in profiles.QUARTILES.items()
+              for side, d in (("low", -profiles.RANK_ERROR), ("high", profiles.RANK_ERROR))}
+    each = lines.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                           for c, k in _LINES.items() if k == "number"])))
+    bounds = exact_quantiles(each, ["column"], "v", around).drop("n")
+    exact = profiles.profile_exact(lines.drop("month")).select("column", F.col("distinct_values").alias("_d"))
+    near = F.abs(F.col("distinct_values") - F.col("_d")) <= profiles.DISTINCT_ERROR * F.col("_d") + 1
+    quartiles = F.lit(True)
+    for q in profiles.QUARTILES:
+        quartiles = quartiles & F.col(q).between(F.col(f"{q}_low") - 1e-9, F.col(f"{q}_high") + 1e-9)
+    out = merged.join(bounds, "column", "left").join(exact, "column").withColumns({
+        "distinct_near": near, "quartiles_near": F.when(F.col("kind") == "number", quartiles)})
+    return _plain(rounded(out.drop("_d", "distinct_values", *profiles.QUARTILES, *around), 7))
