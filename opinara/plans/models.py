@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import mining
+from ..operators import mining, topics
 from ..operators import text as tx
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks
 from ..streaming import alerts, ingest, jobs
 from . import base_sql as B
+from .core import TOKENS
 from .language import ASPECT_WORDS, EXTRACT, OPINIONS
 from .registry import query, rounded
 
@@ -70,6 +71,43 @@ def _(spark, sf):
     return mining.category_topics(_mentions(spark, sf), _texts(spark, sf), 5)
 
 
+# Hashed start, words from it, then one round of sharing out and summing, topic by topic.
+EM_STEP = (
+    EXTRACT + ", ng as (select distinct review_id, lang as cat from asp join reviews using (review_id) where sentiment = 'Negative' "
+    "and lang is not null), nt as (select review_id, cat, unnest(" + TOKENS.format("text") + ") as word from reviews join ng using "
+    "(review_id)), c0 as materialized (select cat, review_id, word, count(*) as n from nt group by all), nd as (select cat, "
+    "count(distinct review_id) as d from c0 group by 1 having count(distinct review_id) >= 20), cn as materialized (select c0.* from c0 "
+    "join (select cat, word, count(*) as f from c0 group by all) using (cat, word) join nd using (cat) where f >= 2 and f <= 0.5 * d), "
+    "zs as (select unnest(range(0, 3)) as z), st as materialized (select cat, review_id, z, u / sum(u) over (partition by cat, "
+    "review_id) as p from (select cat, review_id, z, 1 + list_sum(list_transform(range(1, 5), lambda i: (instr('123456789abcdef', "
+    "md5(review_id || ':' || z)[i:i])) * pow(16, 4 - i))) / 65536 as u from (select distinct cat, review_id from cn), zs)), "
+    "w0 as (select cat, word, z, sum(n * p) + 0.01 as s from cn join st using (cat, review_id) group by all), q0 as materialized "
+    "(select cat, word, z, s / sum(s) over (partition by cat, z) as q from w0), sh as (select cat, review_id, word, z, n * p * q / "
+    "sum(p * q) over (partition by cat, review_id, word) as c from cn join st using (cat, review_id) join q0 using (cat, word, z)), "
+    "w1 as (select cat, word, z, sum(c) + 0.01 as s from sh group by all) ")
+
+
+@query("topic_words_step", EM_STEP + "select cat as main_category, word, cast(z as integer) as topic, round(s / sum(s) over (partition "
+       "by cat, z), 8) as p from w1")
+def _(spark, sf):
+    words, _ = topics.em_topics(topics.topic_counts(_mentions(spark, sf), _texts(spark, sf)), 3, 1)
+    return rounded(topics.by_topic(words, "q", 3), 8)
+
+
+def _category_topics(spark, sf):
+    return topics.category_topics(_mentions(spark, sf), _texts(spark, sf), 5, rounds=10)
+
+
+@query("topics_by_category")
+def _(spark, sf):
+    return rounded(_category_topics(spark, sf).withColumn("probabilities", F.transform("probabilities", lambda p: F.round(p, 6))), 6)
+
+
+@query("topic_concerns")
+def _(spark, sf):
+    return topics.topic_concerns(materialize(_category_topics(spark, sf), "topics"))
+
+
 @query("classify_reviews")
 def _(spark, sf):
     labels = fx.table(spark, sf, "labels").select(
