@@ -9,6 +9,7 @@ from ..operators import analytics as ana
 from ..operators import filters as flt
 from ..operators import fraud, pipelines
 from ..operators import preprocess as pre
+from ..operators import spans
 from ..operators import text as tx
 from ..session import scratch_path
 from ..sources import fixtures as fx
@@ -332,3 +333,17 @@ def _(spark, sf):
             F.lit(name).alias("report"), "rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Words and what stands between them in turn: running lengths give the places.
+SPANS = (B.REVIEWS_MORE + "lw as (select review_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w, regexp_extract_all("
+         "lower(text), '[^a-z0-9]+') as g, regexp_matches(lower(text), '^[a-z0-9]') as at_once from reviews), "
+         "pt as (select review_id, unnest(w) as word, generate_subscripts(w, 1) as i, unnest(case when at_once then list_prepend('', g) "
+         "else g end) as gap from lw), ln as (select review_id, word, i, sum(length(word) + length(coalesce(gap, ''))) over (partition "
+         "by review_id order by i rows unbounded preceding) as upto from pt where word is not null) ")
+
+
+@query("aspect_spans", SPANS + "select review_id, cast(i - 1 as integer) as token_pos, word as term, cast(upto - length(word) as "
+       f"integer) as start, cast(upto as integer) as \"end\" from ln where word in ({B.in_list(ASPECT_WORDS)})")
+def _(spark, sf):
+    return spans.with_spans(fx.reviews(spark, sf).select("review_id", "text"), terms=ASPECT_WORDS).drop("text")
