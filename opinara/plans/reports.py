@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import analytics as ana
+from ..operators import mining
 from ..operators import preprocess as pre
 from ..operators import profiles
 from ..operators.quantiles import exact_quantiles
@@ -421,3 +422,14 @@ def _(spark, sf):
     out = merged.join(bounds, "column", "left").join(exact, "column").withColumns({
         "distinct_near": near, "quartiles_near": F.when(F.col("kind") == "number", quartiles)})
     return _plain(rounded(out.drop("_d", "distinct_values", *profiles.QUARTILES, *around), 7))
+
+
+@query("top_aspect_maps", B.CLEAN + f", k as (select main_category, {A}, count(*) as k from clean where main_category is not null "
+       f"group by 1, 2), r as (select *, row_number() over (partition by main_category order by k desc, {A}) as rank from k) select "
+       f"main_category, string_agg({A} || '=' || k, ',' order by rank) as aspects, max(k) filter (where rank = 1) as most from r where "
+       "rank <= 5 group by 1")
+def _(spark, sf):
+    counts = full(spark, sf).where("main_category is not null").groupBy("main_category", A).agg(F.count("*").alias("k"))
+    maps = mining._top_map(counts, "main_category", A, 5, "aspects")
+    entries = F.transform(F.map_entries("aspects"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return maps.select("main_category", F.array_join(entries, ",").alias("aspects"), F.map_values("aspects")[0].alias("most"))

@@ -201,6 +201,12 @@ RERANK = (
 )
 
 
+@query("product_corpus", B.REVIEWS_MORE + f"safe as (select review_id, parent_asin, date, {SCRUBBED} as text from reviews) select "
+       "review_id, text, date from safe where parent_asin = 'B000000003'")
+def _(spark, sf):
+    return ret.product_corpus(_texts(spark, sf), "B000000003").select("review_id", "text", "date")
+
+
 @query("question_topk_text")
 def _(spark, sf):
     """Text questions against an index of text vectors, with one fitted encoder for both."""
