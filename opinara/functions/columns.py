@@ -121,8 +121,8 @@ def review_full(title="title", text="text") -> Column:
 
 # Patterns of the text rules.
 URL_PATTERN = r"http\S+|www\S+"
-EMAIL_PATTERN = r"[\w.-]+@[\w.-]+"
-PHONE_PATTERN = r"\+?[0-9][0-9\s-]{6,}[0-9]"
+EMAIL_PATTERN = r"[\w\.-]+@[\w\.-]+"
+PHONE_PATTERN = r"\+?\d[\d\-\s]{6,}\d"
 
 
 def scrub_pii(c: Column | str) -> Column:

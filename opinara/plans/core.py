@@ -290,8 +290,8 @@ def _(spark, sf):
 
 
 @query("scrub_pii",
-       "select doc_id, regexp_replace(regexp_replace(text, '[\\w.-]+@[\\w.-]+', "
-       "'[REDACTED_EMAIL]', 'g'), '\\+?[0-9][0-9\\s-]{6,}[0-9]', '[REDACTED_PHONE]', 'g') as text "
+       "select doc_id, regexp_replace(regexp_replace(text, '[\\w\\.-]+@[\\w\\.-]+', "
+       "'[REDACTED_EMAIL]', 'g'), '\\+?\\d[\\d\\-\\s]{6,}\\d', '[REDACTED_PHONE]', 'g') as text "
        "from documents")
 def _(spark, sf):
     return fx.documents(spark, sf).select("doc_id", C.scrub_pii("text").alias("text"))

@@ -44,8 +44,8 @@ def _label_questions(spark, sf):
 
 @query("embedding_table", "select cast(vec_id as varchar) as review_id, cast(label as varchar) as "
        "parent_asin, date '2020-01-01' + cast(vec_id % 366 as integer) as date, substring("
-       "regexp_replace(regexp_replace(text, '[\\w.-]+@[\\w.-]+', '[REDACTED_EMAIL]', 'g'), "
-       "'\\+?[0-9][0-9\\s-]{6,}[0-9]', '[REDACTED_PHONE]', 'g'), 1, 300) as text_preview, "
+       "regexp_replace(regexp_replace(text, '[\\w\\.-]+@[\\w\\.-]+', '[REDACTED_EMAIL]', 'g'), "
+       "'\\+?\\d[\\d\\-\\s]{6,}\\d', '[REDACTED_PHONE]', 'g'), 1, 300) as text_preview, "
        "cast(len(embedding) as integer) as dims, 1.0::double as norm from embeddings left join documents on "
        "doc_id = vec_id")
 def _(spark, sf):
@@ -162,8 +162,8 @@ def _texts(spark, sf):
 
 
 ASIN = "'B' || lpad(cast(item_id % 20 as varchar), 9, '0')"
-SCRUBBED = ("regexp_replace(regexp_replace(text, '[\\w.-]+@[\\w.-]+', '[REDACTED_EMAIL]', 'g'), "
-            "'\\+?[0-9][0-9\\s-]{6,}[0-9]', '[REDACTED_PHONE]', 'g')")
+SCRUBBED = ("regexp_replace(regexp_replace(text, '[\\w\\.-]+@[\\w\\.-]+', '[REDACTED_EMAIL]', 'g'), "
+            "'\\+?\\d[\\d\\-\\s]{6,}\\d', '[REDACTED_PHONE]', 'g')")
 SEARCH = (
     B.REVIEWS_MORE + f"safe as (select review_id, parent_asin, date, {SCRUBBED} as text from reviews), "
     "tk as (select review_id, parent_asin as p, " + TOKENS.format("text") + " as w from safe), "
