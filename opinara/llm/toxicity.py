@@ -11,16 +11,18 @@ densest window, the density and the share of quoted hits turns this into a proba
 
 Learning reads a bounded sample: at most about SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS characters, by hash of
 the id over all labels. A term must occur in many *different* surroundings in toxic texts, so that copies of one text
-do not make its words toxic. Scoring reads every text in full.
+do not make its words toxic; purity alone decides how many terms there are. Stems have STEM letters, and open ones tolerate no edits.
+Each form of a stem is evidence of its own; the n-th time of the same word counts 1 / n. Scoring reads every text in full.
 
 Defined results: an empty or null text has no hits and scores as such; without labelled rows of both kinds only given
 terms count, and a fixed model is used; a null label is no label, repeated labels of an id count as toxic if one is; rows
-that repeat an id are scored each; extra columns do not matter.
+that repeat an id, or have none, are scored each; a very long text is a block of its own; extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -37,9 +39,9 @@ SAMPLE_CHARS = 20_000
 SURROUNDINGS = 10        # different ones a learned term needs
 PURITY = 0.15            # share of clean texts with the term, against that of toxic texts, at most
 SURE = 0.01              # at and below this a term counts in full
-TERMS = 200              # lexicon size
 STEM = (4, 10)           # lengths of stems
 WINDOW = 10              # words on either side
+_RUNS = re.compile(r"[^\W_]+")
 _MARKS = "\"“”„«»"
 _REPORT = frozenset("said says say called calls call wrote writes quote quoted quotes word words term phrase dit sagte nannte dijo".split())
 _ADDRESS = frozenset("you your youre ur u tu toi vous du dich dir ihr euch ti te usted".split())
@@ -198,6 +200,9 @@ class Model:
         opens = is_word.copy()
         opens[1:] &= ~is_word[:-1]
         starts = np.flatnonzero(opens)
+        closes = is_word.copy()
+        closes[:-1] &= ~is_word[1:]
+        ends = np.flatnonzero(closes) + 1
         first_word = np.searchsorted(starts, bounds[:-1] + gaps)
         n_words = np.diff(np.append(first_word, len(starts)))
         words, states = self.automaton.read(cls, starts)
@@ -217,13 +222,14 @@ class Model:
                 before = bytes(codes[max(text_start, at - 60): at].tobytes()).decode("utf-32-le").lower().split()[-6:]
                 after = bytes(codes[at: min(text_end, at + 60)].tobytes()).decode("utf-32-le").lower().split()[1:4]
                 n_marks = np.searchsorted(marks, at) - np.searchsorted(marks, text_start)
-                closes = np.searchsorted(marks, min(text_end, at + 400)) - np.searchsorted(marks, at)
-                told = (n_marks % 2 == 1 and closes > 0) or not _REPORT.isdisjoint(w.strip(".,:;!?\"'") for w in before)
+                follow = np.searchsorted(marks, text_end) - np.searchsorted(marks, at)
+                told = (n_marks % 2 == 1 and follow > 0) or not _REPORT.isdisjoint(w.strip(".,:;!?\"'") for w in before)
                 addressed = not _ADDRESS.isdisjoint(w.strip(".,:;!?\"'") for w in before[-3:] + after)
                 edits = int(self.automaton.edits[states[k]])
                 term = int(self.automaton.term[states[k]])
-                again[term, edits] += 1  # a repeated line is no new evidence: the n-th time counts 1 / n
-                weight = self.automaton.terms[term].weight / again[term, edits]
+                word = codes[at: int(ends[words[k]]) - d].tobytes()
+                again[word] += 1  # a repeated line is no new evidence: the n-th time of a word counts 1 / n
+                weight = self.automaton.terms[term].weight / again[word]
                 value = weight * (1.0, 0.5, 0.3)[min(edits, 2)] * (0.25 if told else 1.0) * (1.5 if addressed else 1.0)
                 values[j] = value
                 held += told
@@ -241,7 +247,8 @@ class Model:
 # ---------------------------------------------------------------- learning
 
 def _words(text: str) -> list[str]:
-    return ["".join(c for c in w if c.isalnum()) for w in text.lower().split()]
+    """Runs of letters and digits, as scoring reads them."""
+    return _RUNS.findall(text.lower())
 
 
 def _pieces(word: str) -> list[str]:
@@ -303,10 +310,10 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
         open_ = pure.get(stem, 0) < 0.95 * pure[stem + "*"]
         weight = min(1.0, math.log(max(impure[stem + "*"], 1e-9)) / math.log(SURE))
         out.append((pure[piece], Term(stem, open_, allowance(stem, open_), weight)))
-    return [t for _, t in sorted(out, key=lambda x: (-x[0], x[1].text))[:TERMS]]
+    return [t for _, t in sorted(out, key=lambda x: (-x[0], x[1].text))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     """Weights with the constant first, by Newton's method with a small ridge."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from opinara.llm import (arrays, chat, decontam, exactdedup, langid, licenses, ngramjoin, packing, queries, sharding,
@@ -364,7 +365,6 @@ def test_near_duplicates_equal_brute_force(spark):
     got = ngramjoin.near_duplicates(make(spark, rows)).collect()
     want = [(keys[i][0], least[i], links[i], len(sets[i])) for i in n]
     assert sorted(map(str, want)) == sorted(str(tuple(r)[:4]) for r in got)
-    import duckdb
     con = duckdb.connect()
     con.sql("create table documents(doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", rows)
@@ -531,6 +531,55 @@ def test_toxicity(spark):
     assert toxicity.score(docs, bare).count() == 400
 
 
+def plain_score(model, text):
+    """Evidence of a text by hand: exact or misspelled words of the lexicon, without any context."""
+    seen, total = collections.Counter(), 0.0
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        found = min(((distance(w, t.text), -1 * i, t) for i, t in enumerate(model.automaton.terms)
+                     if (w.startswith(t.text) if t.open else distance(w, t.text) <= t.edits)), default=None, key=lambda x: x[:2])
+        if found:
+            seen[w] += 1
+            total += found[2].weight / seen[w] * (1.0, 0.5, 0.3)[0 if found[2].open else found[0]]
+    return total
+
+
+def test_evidence_equals_brute_force():
+    terms = [toxicity.Term("blockhead", False, 2, 0.8), toxicity.Term("nitw", True, 0, 0.5), toxicity.Term("oaf", False, 0)]
+    model = toxicity.Model(toxicity.Automaton(terms), np.zeros(toxicity.FEATURES + 1))
+    rng = np.random.default_rng(6)
+    words_ = ["blockhead", "blokhead", "blockheda", "nitwit", "nitwits", "nitwitted", "oaf", "oafs", "plain", "word-blockhead", "x", "42"]
+    texts = [" ".join(rng.choice(words_, rng.integers(0, 25))) for _ in range(200)]
+    features, _, _ = model.features(pa.array(texts))
+    assert np.expm1(features[:, 0]) == pytest.approx([plain_score(model, t) for t in texts])
+
+
+def test_forms_of_a_stem_count_each_and_quotes_end_where_they_end(spark):
+    model = toxicity.Model(toxicity.Automaton([toxicity.Term("nitw", True, 0)]), np.zeros(toxicity.FEATURES + 1))
+    long = " ".join(["calm"] * 120)
+    texts = ["nitwit nitwit nitwit", "nitwit nitwits nitwitted", f'so "{long} nitwit {long}" end', f'so "{long} nitwit {long} end']
+    features, hits, quoted = model.features(pa.array(texts))
+    assert features[1, 0] == pytest.approx(np.log1p(3)) and features[0, 0] == pytest.approx(np.log1p(1 + 1 / 2 + 1 / 3))
+    assert hits.tolist() == [3, 3, 1, 1] and quoted.tolist() == [0, 0, 1, 0]
+
+
+def test_lexicon_has_no_size_and_reads_words_as_scores_do():
+    names = ["".join(p) for p in itertools.product("bdfg", "aeiou", "klm", "aeiou")][:260]
+    counts = {p: (50, 0) for n in names for p in toxicity._pieces(n)}
+    assert len(toxicity.choose_terms(counts, 100, 1000)) > 200
+    assert toxicity._words("a block-head, l'eau!") == ["a", "block", "head", "l", "eau"]
+
+
+def test_toxicity_rule_and_recall(spark):
+    """Held-out rows follow from the id, predictions from the score; recall and precision on the given table."""
+    out = queries.QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.01")
+    rows = out.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "left").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+    held = [r for r in rows if r["held_out"] and r["toxic"] is not None]
+    assert sum(r["predicted"] for r in held if r["toxic"]) >= 0.85 * sum(r["toxic"] for r in held)
+    assert sum(r["predicted"] for r in held if not r["toxic"]) <= 0.01 * len(held)
+
+
 # ---------------------------------------------------------------- exact copies
 
 def test_exact_copies(spark):
