@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
+from .series import period_means, prepare_series
 
 SCHEMA = ("series_id string, last_ds date, step int, yhat double, yhat_lower double, yhat_upper double, "
           "error string")
@@ -226,3 +228,22 @@ def arima_trend(forecast: DataFrame, series: DataFrame) -> DataFrame:
         "slope", "current_sentiment", "volatility", at(30).alias("predicted_30"),
         at(90).alias("predicted_90"), (F.col("_end") < 0).alias("turns_negative"),
         (F.col("slope") < -0.02).alias("rapid_decline"), "error")
+
+
+def arima_report(df: DataFrame, order=(1, 1, 1), seasonal=(0, 0, 0, 0), periods: int = 90, freq: str = "D",
+                 min_samples: int = 5) -> DataFrame:
+    """End-to-end result per aspect; a series that cannot be forecast says why.
+
+    This model knows neither change points nor anomalies, so both counts are 0.
+    """
+    series = materialize(prepare_series(df, freq, min_samples, method="arima"), "series")
+    named = period_means(df, freq).select("series_id").distinct()
+    points = series.groupBy("series_id").agg(F.count("*").alias("data_points"))
+    trend = arima_trend(fit_arima(series, order, seasonal, periods, freq), series)
+    out = named.join(points, "series_id", "left").join(trend, "series_id", "left").na.fill(0, ["data_points"])
+    ok = F.col("slope").isNotNull()
+    few = F.format_string("Insufficient data: only %d data points (need at least 10)", F.col("data_points"))
+    return out.withColumns({
+        "changepoint_count": F.lit(0).cast("bigint"), "anomaly_count": F.lit(0).cast("bigint"), "success": ok,
+        "alert_count": F.when(ok, F.col("turns_negative").cast("int") + F.col("rapid_decline").cast("int")),
+        "error": F.when(ok, None).when(F.col("data_points") < 10, few).otherwise(F.col("error"))})

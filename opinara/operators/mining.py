@@ -118,9 +118,13 @@ def kmeans_profile(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, k:
 
 def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: str | None = "Negative",
                category: str | None = None, min_reviews: int = 20, max_iter: int = 20,
-               vocab_size: int | None = None, weight: float = 0.3, seed: int = 42) -> DataFrame | None:
+               vocab_size: int | None = 50_000, weight: float = 0.3, seed: int = 42) -> DataFrame | None:
     """Topics of the matching reviews: words with weights, documents above ``weight`` and
-    their most frequent aspects, joined by review id.  None with too few reviews."""
+    their most frequent aspects, joined by review id.  None with too few reviews.
+
+    The vocabulary, at most the ``vocab_size`` most frequent words, is collected; None takes all words, however many.
+    ``topics.category_topics`` is the way without a vocabulary on the driver.
+    """
     m = _filtered(mentions, sentiment, category)
     ids = m.select("review_id").distinct()
     docs = materialize(_tokens(texts.join(ids, "review_id", "left_semi"), "review_id", "text"), "docs")

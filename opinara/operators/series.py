@@ -314,13 +314,23 @@ def batch_forecast(df: DataFrame, top: int = 5, periods: int = 90, freq: str = "
 
 
 def forecast_report(df: DataFrame, periods: int = 90, freq: str = "D", min_samples: int = 5,
-                    params: dict | None = None) -> DataFrame:
-    """End-to-end result per aspect; a series that cannot be forecast says why."""
+                    params: dict | None = None, model: str = "additive") -> DataFrame:
+    """End-to-end result per aspect; a series that cannot be forecast says why.
+
+    `model` is "additive" (line and seasonal means), "piecewise" (hinges and Fourier seasons) or "arima", whose result has the
+    columns of `arima.arima_report`; `params` are those of the model.
+    """
+    from .additive import piecewise_forecast
+    from .arima import arima_report
+
+    if model == "arima":
+        return arima_report(df, periods=periods, freq=freq, min_samples=min_samples, **(params or {}))
+    fit = {"additive": fit_forecast, "piecewise": piecewise_forecast}[model]
     wide = period_means(df, freq)
     volume = wide.groupBy("series_id").agg(
         C.count_if(F.col("n") >= min_samples).alias("usable_periods"))
     series = materialize(prepare_series(df, freq, min_samples), "series")
-    forecast = materialize(fit_forecast(series, periods, freq, **(params or {})), "forecast")
+    forecast = materialize(fit(series, periods, freq, **(params or {})), "forecast")
     points = series.groupBy("series_id").agg(F.count("*").alias("data_points"))
     breaks = changepoints(series).groupBy("series_id").agg(F.count("*").alias("changepoint_count"))
     odd = forecast_anomalies(series, forecast).groupBy("series_id").agg(

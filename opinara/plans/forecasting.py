@@ -351,17 +351,30 @@ def _(spark, sf):
     return rounded(arima.fit_arima(s, (1, 1, 1), periods=12, freq="M"), 4)
 
 
-@query("arima_trend", ARIMA_111 + ", tg as (select series_id, (arg_max(yhat, step) - arg_min(yhat, step)) / 12 as slope, "
-       "stddev_samp(yhat) as vol, arg_max(yhat, step) as ye, max(error) as error from fa group by 1) select series_id, case when "
-       "slope > 0.01 then 'Improving' when slope < -0.01 then 'Declining' when slope is not null then 'Stable' end as "
-       "trend_direction, round(slope, 4) as slope, round(y0, 4) as current_sentiment, round(vol, 4) as volatility, round(ye, 4) as "
-       "predicted_30, round(ye, 4) as predicted_90, ye < 0 as turns_negative, slope < -0.02 as rapid_decline, error from tg join wl "
-       "using (series_id)")
+TREND_111 = (
+    ARIMA_111 + ", tg as (select series_id, (arg_max(yhat, step) - arg_min(yhat, step)) / 12 as slope, stddev_samp(yhat) as vol, "
+    "arg_max(yhat, step) as ye, max(error) as error from fa group by 1), tt as (select series_id, case when slope > 0.01 then "
+    "'Improving' when slope < -0.01 then 'Declining' when slope is not null then 'Stable' end as trend_direction, round(slope, 4) as "
+    "slope, round(y0, 4) as current_sentiment, round(vol, 4) as volatility, round(ye, 4) as predicted_30, round(ye, 4) as "
+    "predicted_90, ye < 0 as turns_negative, tg.slope < -0.02 as rapid_decline, error from tg join wl using (series_id)) ")
+
+
+@query("arima_trend", TREND_111 + "select * from tt")
 def _(spark, sf):
     s = materialize(ts.prepare_series(clean(spark, sf), "M", 5, method="arima"), "series")
     return rounded(arima.arima_trend(arima.fit_arima(s, (1, 1, 1), periods=12, freq="M"), s), 4)
 
 
+@query("forecast_report_arima", TREND_111 + "select series_id, coalesce(n, 0) as data_points, 0::bigint as changepoint_count, "
+       "0::bigint as anomaly_count, tt.* exclude (series_id, error), slope is not null as success, cast(turns_negative as integer) + "
+       "cast(rapid_decline as integer) as alert_count, case when slope is not null then null when coalesce(n, 0) < 10 then "
+       "'Insufficient data: only ' || coalesce(n, 0) || ' data points (need at least 10)' else error end as error from (select distinct "
+       "series_id from pm) left join wl using (series_id) left join tt using (series_id)")
+def _(spark, sf):
+    mentions = table(clean(spark, sf), A, "date", "sentiment_score")
+    return rounded(ts.forecast_report(mentions, 12, "M", 5, {"order": (1, 1, 1)}, model="arima"), 4)
+
+
 ARIMA_110 = (
     CLEAN_RECURSIVE + prep_cte("M", 5, "arima") + ", d as (select series_id, ds, y, y - lag(y) over w as d from ser "
     "window w as (partition by series_id order by ds)), l as (select *, lag(d) over (partition by series_id order by ds) "

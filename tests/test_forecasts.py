@@ -187,3 +187,21 @@ def test_noise_around_a_mean_keeps_shocks_invertible():
     w = np.diff(y)
     v = arima._Model(w, (1, 0, 1, 0), 0).fit()
     assert v[2] == pytest.approx(-arima.EDGE, abs=0.1) and abs(v[2]) <= arima.EDGE
+
+
+def test_report_by_model(spark):
+    """Three models over the same mentions; too short a series says why under each."""
+    rng = np.random.default_rng(8)
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(rng.normal() * 0.1 - 0.01 * i)) for i in range(60) for _ in range(5)]
+    rows += [("b", dt.date(2020, 1, 1), 0.5)] * 9
+    df = spark.createDataFrame(rows, "aspect_term_normalized string, date date, sentiment_score double")
+    got = {m: {r["series_id"]: r for r in series.forecast_report(df, 20, "D", 5, model=m).collect()}
+           for m in ("additive", "piecewise", "arima")}
+    for m, by in got.items():
+        assert by["a"]["success"] and by["a"]["error"] is None and by["a"]["data_points"] == 60
+        assert not by["b"]["success"] and by["b"]["error"].startswith("Insufficient data")
+    assert got["additive"]["a"]["slope"] != got["piecewise"]["a"]["slope"]
+    assert got["arima"]["b"]["error"] == "Insufficient data: only 0 data points (need at least 10)"
+    assert got["arima"]["a"]["turns_negative"] and got["arima"]["a"]["anomaly_count"] == 0
+    with pytest.raises(KeyError):
+        series.forecast_report(df, model="other")
