@@ -134,8 +134,8 @@ def test_every_kind_of_row(spark, library):
     for own, text in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
         want.append((own, len(ids), ids, library.decode(ids, skip_special_tokens=False)))
-    assert got == sorted(map(str, (out.rdd.context and spark.createDataFrame(
-        want, "doc_id long, n_tokens long, ids array<int>, decoded string")).collect()))
+    assert got == sorted(map(str, spark.createDataFrame(
+        want, "doc_id long, n_tokens long, ids array<int>, decoded string").collect()))
     text = bpestream.decode_documents(out, WORDS).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in text) == sorted((w[0] or 0, w[3]) for w in want)
     assert bpestream.encode_documents(docs.limit(0), WORDS).collect() == []
