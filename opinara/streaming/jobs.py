@@ -11,10 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import columns as C
 from ..session import scratch_path
+from ..sources.readers import is_folder
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """Files called ``name`` below ``folder`` as a stream."""
+    """The table ``name`` of ``folder`` as a stream: all files of a folder of that name, or else the file."""
+    if is_folder(spark, f"{folder}/{name}"):
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 

@@ -110,3 +110,19 @@ def test_stream_equals_the_batch_scorer(spark, tmp_path):
     texts(spark, range(10, 40)).coalesce(1).write.mode("append").parquet(folder)
     assert run() == bag(extract_aspects(texts(spark, range(40)))) == run()
     assert spark.read.parquet(f"{path}/ledger").agg(F.sum("reviews")).first()[0] == 40
+
+
+def test_streams_read_a_table_of_many_files(spark, tmp_path):
+    rows = [(str(i), "battery great" if i % 2 else "screen bad") for i in range(10)]
+    table = spark.createDataFrame(rows, "review_id string, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "many/documents.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one/documents.parquet")
+    for folder in ("many", "one"):
+        stream = jobs.read_stream(spark, str(tmp_path / folder), "documents.parquet", table.schema)
+        read = jobs.run_to_table(stream, "read", path=str(tmp_path / f"read-{folder}"))
+        assert sorted(map(tuple, read.collect())) == sorted(rows)
+        out = ingest.run_scored_ingest(stream, str(tmp_path / f"out-{folder}"),
+                                       score=lambda b: extract_aspects(b, ["battery", "screen"], {"great": 1.0, "bad": -1.0}))
+        assert out.count() == len(rows)
