@@ -43,3 +43,31 @@ def test_counts_by_document_are_taken_of_the_vocabulary_alone(spark, written):
     norm = {k: math.sqrt(sum(x * x for (j, _), x in w.items() if j == k)) for k, _ in w}
     assert found == {(k, g): (counts[k, g], round(x / norm[k], 9)) for (k, g), x in w.items()}
     assert {r["term"] for r in written["counts"].collect()} == set(top)
+
+
+def test_only_texts_of_candidates_are_scrubbed(spark, written):
+    texts = spark.createDataFrame([(str(i), f"mail a{i}@b.com now" if i != 3 else " ", None) for i in range(20)] + [("2", "again", None)],
+                                  "review_id string, text string, date date")
+    found = spark.createDataFrame([(1, "2", 0.5, 1), (1, "3", 0.4, 2), (2, "2", 0.3, 1)],
+                                  "question_id bigint, review_id string, score double, rank int")
+    out = sorted((r["question_id"], r["review_id"], r["text"]) for r in retrieval.snippets(found, texts).collect())
+    assert out == [(q, "2", t) for q in (1, 2) for t in ("again", "mail [REDACTED_EMAIL] now")]
+    assert sorted(r["review_id"] for r in written["texts"].collect()) == ["2", "2", "3"]
+
+
+def test_texts_without_an_at_sign_skip_the_pattern_of_addresses(spark):
+    rows = [("a.b-c@d.e, +49 170 1234567",), ("no address, 0170 1234567",), ("@ alone",), (None,), ("x" * 50,)]
+    df = spark.createDataFrame(rows, "text string")
+    plain = F.regexp_replace(F.regexp_replace("text", C.EMAIL_PATTERN, "[REDACTED_EMAIL]"), C.PHONE_PATTERN, "[REDACTED_PHONE]")
+    assert all(r["a"] == r["b"] for r in df.select(C.scrub_pii("text").alias("a"), plain.alias("b")).collect())
+    assert "contains(" in str(C.scrub_pii("text")).lower()
+
+
+def test_a_search_counts_words_of_one_id_in_all_its_rows(spark, written):
+    rows = [("1", "p", "red apple"), ("1", "p", "red plum"), ("2", "p", "green apple"), ("3", "q", "red"), (None, "p", "red")]
+    texts = spark.createDataFrame(rows, "review_id string, parent_asin string, text string")
+    asked = spark.createDataFrame([(7, "p", "red apple")], "question_id bigint, parent_asin string, question string")
+    out = [(r["review_id"], r["rank"]) for r in retrieval.tfidf_search(asked, texts, 5).orderBy("rank").collect()]
+    assert out == [("1", 1), ("2", 2)]
+    tf = {(r["review_id"], r["term"]): r["tf"] for r in written["postings"].collect()}
+    assert tf["1", "red"] == 2 and tf["2", "apple"] == 1
