@@ -87,8 +87,12 @@ def _top_map(df: DataFrame, group: str, item: str, n: int, name: str) -> DataFra
 
 def kmeans(vectors: DataFrame, k: int = 8, key: str = "review_id", col: str = "embedding",
            seed: int = 42) -> DataFrame:
-    """``(key, cluster)`` of all vectors; no sample is taken."""
-    v = vectors.select(key, array_to_vector(F.col(col).cast("array<double>")).alias("v"))
+    """``(key, cluster)`` of all vectors; no sample is taken.
+
+    The vectors are written first: the fit reads them again and again, twice at once for their norms, and a join or an encoder
+    behind them would run each time.
+    """
+    v = materialize(vectors.select(key, col), "vectors").select(key, array_to_vector(F.col(col).cast("array<double>")).alias("v"))
     model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(v)
     return model.transform(v).select(key, "cluster")
 
@@ -99,17 +103,20 @@ def kmeans_profile(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, k:
     """Clusters of the matching reviews: size in mentions, mean score, most frequent
     aspects and words, three sample texts."""
     m = _filtered(mentions, sentiment, category)
-    per_review = m.groupBy("review_id").agg(F.count("*").alias("k"),
-                                            F.sum("sentiment_score").alias("s"))
+    counts = materialize(m.groupBy("review_id", ASPECT).agg(F.count("*").alias("k"), F.sum("sentiment_score").alias("s")), "mentions")
+    per_review = counts.groupBy("review_id").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
     chosen = kmeans(vectors.join(per_review, "review_id", "left_semi"), k, seed=seed)
     chosen = materialize(chosen.join(per_review, "review_id"), "clusters")
     base = chosen.groupBy("cluster").agg(F.sum("k").alias("size"),
                                          (F.sum("s") / F.sum("k")).alias("avg_sentiment"))
-    aspects = m.groupBy("review_id", ASPECT).agg(F.count("*").alias("k")).join(
-        chosen.select("review_id", "cluster"), "review_id")
+    aspects = counts.select("review_id", ASPECT, "k").join(chosen.select("review_id", "cluster"), "review_id")
     t = texts.select("review_id", "text").join(chosen.select("review_id", "cluster", "k"), "review_id")
     words = t.select("cluster", "k", F.explode(C.topic_tokens("text")).alias("word"))
-    samples = top_per_group(t, ["cluster"], ["review_id"], 3).groupBy("cluster").agg(
+    # the first ids of each cluster, then only their texts: a window over whole texts would sort all of them
+    first = materialize(top_per_group(chosen.join(texts.select("review_id"), "review_id", "left_semi").select("cluster", "review_id"),
+                                      ["cluster"], ["review_id"], 3).select("cluster", "review_id"), "first")
+    shown = first.join(texts.select("review_id", "text"), "review_id")
+    samples = top_per_group(shown, ["cluster"], ["review_id"], 3).groupBy("cluster").agg(
         F.array_sort(F.collect_list(F.substring("text", 1, 300))).alias("samples"))
     return (base.join(_top_map(aspects, "cluster", ASPECT, 5, "top_aspects"), "cluster", "left")
             .join(_top_map(words, "cluster", "word", 10, "top_words"), "cluster", "left")

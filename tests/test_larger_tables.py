@@ -71,3 +71,16 @@ def test_a_search_counts_words_of_one_id_in_all_its_rows(spark, written):
     assert out == [("1", 1), ("2", 2)]
     tf = {(r["review_id"], r["term"]): r["tf"] for r in written["postings"].collect()}
     assert tf["1", "red"] == 2 and tf["2", "apple"] == 1
+
+
+def test_clusters_are_fitted_on_written_vectors_and_show_their_first_texts(spark, written):
+    ids = [f"{i:02d}" for i in range(12)]
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if int(i) % 2 else [0.0, 1.0]) for i in ids], "review_id string, embedding array<float>")
+    texts = spark.createDataFrame([(i, f"text number{i}") for i in ids if i != "02"], "review_id string, text string")
+    mentions = spark.createDataFrame([(i, "screen", "Negative", -1.0) for i in ids if i != "00"] + [("01", "cap", "Negative", -0.5)],
+                                     "review_id string, aspect_term_normalized string, sentiment string, sentiment_score double")
+    out = {tuple(r["samples"]): r for r in mining.kmeans_profile(mentions, texts, vectors, 2).collect()}
+    assert set(out) == {tuple(f"text number{i}" for i in group) for group in (("01", "03", "05"), ("04", "06", "08"))}
+    odd = out["text number01", "text number03", "text number05"]
+    assert (odd["size"], odd["top_aspects"]) == (7, {"screen": 6, "cap": 1}) and abs(odd["avg_sentiment"] + 6.5 / 7) < 1e-9
+    assert written["vectors"].count() == 11
