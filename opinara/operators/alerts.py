@@ -33,6 +33,14 @@ def _cells(df: DataFrame) -> DataFrame:
     return df if {"n", "s", "sn", "neg"} <= set(df.columns) else alert_cells(df)
 
 
+def _days(df: DataFrame) -> DataFrame:
+    """Cells, or mentions as cells of one mention each: what sums by aspect need no shuffle by product for."""
+    if {"n", "s", "sn", "neg"} <= set(df.columns):
+        return df
+    return materialize(df.select(ASPECT, PRODUCT, "date", F.lit(1).cast("bigint").alias("n"), F.col("sentiment_score").alias("s"),
+                                 F.when(F.col("sentiment") == C.NEGATIVE, 1).otherwise(0).cast("bigint").alias("neg")), "mentions")
+
+
 def product_info(df: DataFrame) -> DataFrame:
     """One row of metadata per product, from a product table or from mentions that carry it."""
     key = F.trim(F.col(PRODUCT).cast("string")).alias(PRODUCT)
@@ -150,10 +158,10 @@ def emerging_aspects(df: DataFrame, lookback_days: int = 30, min_mentions: int =
     """Aspects of the last ``lookback_days`` days that the reference period lacks.
 
     The reference period is the ``lookback_days`` days before (``against="previous"``)
-    or all earlier data (``"all"``).  Both periods are counted in the same pass, so no
-    second scan or anti-join is needed.
+    or all earlier data (``"all"``).  Both periods are counted by aspect alone, in the same pass; products
+    are counted for the aspects that are left and their last days only.
     """
-    days = _cells(df)
+    days = _days(df)
     cutoff = F.date_sub(_latest_day(days), lookback_days)
     recent = F.col("date") > cutoff
     older = F.col("date") <= cutoff
@@ -163,27 +171,19 @@ def emerging_aspects(df: DataFrame, lookback_days: int = 30, min_mentions: int =
     def new(c):
         return F.coalesce(F.sum(F.when(F.col("_recent"), F.col(c))), F.lit(0))
 
-    cells = (
-        days.withColumns({"_recent": recent, "_older": older})
-        .where("_recent or _older")
-        .groupBy(ASPECT, PRODUCT)
-        .agg(new("n").alias("n"), F.coalesce(F.sum(F.when(F.col("_older"), F.col("n"))), F.lit(0)).alias("old"),
-             new("s").alias("s"), new("neg").alias("neg"),
-             F.min(F.when(F.col("_recent"), F.col("date"))).alias("first"))
-    )
-    cells = materialize(cells, "aspects")
-    fresh = (
-        cells.groupBy(ASPECT)
+    marked = days.withColumns({"_recent": recent, "_older": older}).where("_recent or _older")
+    fresh = materialize(
+        marked.groupBy(ASPECT)
         .agg(
-            F.sum("n").alias("mention_count"), F.sum("old").alias("old"), F.sum("s").alias("s"),
-            C.percent(F.sum("neg"), F.sum("n")).alias("pct_negative"),
-            C.count_if(F.col("n") > 0).alias("unique_products"), F.min("first").alias("first_seen"),
+            new("n").alias("mention_count"), F.coalesce(F.sum(F.when(F.col("_older"), F.col("n"))), F.lit(0)).alias("old"),
+            new("s").alias("s"), C.percent(new("neg"), new("n")).alias("pct_negative"),
+            F.min(F.when(F.col("_recent"), F.col("date"))).alias("first_seen"),
         )
-        .where((F.col("old") == 0) & (F.col("mention_count") >= min_mentions))
-    )
-    ranked = top_per_group(
-        cells.join(fresh.select(ASPECT), ASPECT, "left_semi").where("n > 0"),
-        [ASPECT], [F.desc("n"), PRODUCT], 3)
+        .where((F.col("old") == 0) & (F.col("mention_count") >= min_mentions)), "aspects")
+    cells = materialize(marked.where("_recent").join(fresh.select(ASPECT), ASPECT, "left_semi").groupBy(
+        ASPECT, PRODUCT).agg(F.sum("n").alias("n")), "products")
+    counted = cells.groupBy(ASPECT).agg(C.count_if(F.col("n") > 0).alias("unique_products"))
+    ranked = top_per_group(cells.where("n > 0"), [ASPECT], [F.desc("n"), PRODUCT], 3)
     titles = product_info((df if products is None else products).join(
         ranked.select(PRODUCT).distinct(), PRODUCT, "left_semi")).select(PRODUCT, "title")
     names = ranked.join(titles, PRODUCT, "left").groupBy(ASPECT).agg(
@@ -191,7 +191,7 @@ def emerging_aspects(df: DataFrame, lookback_days: int = 30, min_mentions: int =
             F.array_sort(F.collect_list(F.struct("rank", F.coalesce("title", PRODUCT).alias("t")))),
             lambda s: s["t"]), ", ").alias("top_products"))
     return (
-        fresh.join(names, ASPECT)
+        fresh.join(counted, ASPECT).join(names, ASPECT)
         .select(F.col(ASPECT).alias("aspect"), "mention_count",
                 (F.col("s") / F.col("mention_count")).alias("avg_sentiment"), "pct_negative",
                 "unique_products", "top_products", "first_seen")
