@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .quantiles import exact_quantiles
 
 SKETCH = 800            # size of the quantile sketch
@@ -89,12 +90,15 @@ def _readable(out: DataFrame) -> DataFrame:
 
 
 def profile_exact(df: DataFrame) -> DataFrame:
-    """The same profile of a table, exact throughout; distinct values and quartiles are counted by (column, value)."""
+    """The same profile of a table, exact throughout; distinct values and quartiles are counted by (column, value).
+
+    The counts are written once: rows are expanded per column and shuffled a single time.
+    """
     columns = [(n, kind_of(t)) for n, t in df.dtypes]
     each = df.select(F.inline(F.array(*[F.struct(
         F.lit(n).alias("column"), F.lit(k).alias("kind"), F.col(_quoted(n)).cast("string").alias("value"),
         (_number(n, k) if k != "other" else F.lit(None).cast("double")).alias("number")) for n, k in columns])))
-    counts = each.groupBy("column", "kind", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(each.groupBy("column", "kind", "value", "number").agg(F.count(F.lit(1)).alias("n")), "counts")
     filled = F.col("value").isNotNull()
     basic = counts.groupBy("column", "kind").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~filled, F.col("n"))), F.lit(0)).alias("nulls"),
@@ -104,6 +108,6 @@ def profile_exact(df: DataFrame) -> DataFrame:
     squares = counts.join(basic.select("column", F.col("mean").alias("_m")), "column").groupBy("column").agg(
         (F.sum(F.col("n") * (F.col("number") - F.col("_m")) * (F.col("number") - F.col("_m")))).alias("_s"),
         F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("_n"))
-    quartiles = exact_quantiles(each.where(F.col("number").isNotNull()), ["column"], "number", QUARTILES).drop("n")
+    quartiles = exact_quantiles(counts, ["column"], "number", QUARTILES, weight="n").drop("n")
     out = basic.join(squares, "column").join(quartiles, "column", "left")
     return _readable(out.withColumn("std", F.when(F.col("_n") > 1, F.sqrt(F.col("_s") / (F.col("_n") - 1)))).drop("_s", "_n"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """``(groups, v, c)``: each distinct value with its count, combined map-side."""
+def value_counts(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """``(groups, v, c)``: each distinct value with its count, combined map-side; a row counts ``weight`` times."""
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
     )
 
 
@@ -30,7 +30,7 @@ def _range_of(v: Column, cuts: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
+                    probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``probs``, plus ``n``.
 
     Equal values collapse first.  The distinct values of a group are split into ranges that hold
@@ -39,7 +39,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     A group with a third of all rows, or one far outlier, is therefore spread over many tasks.
     """
     groups = list(groups)
-    counts = value_counts(df, groups, value)
+    counts = value_counts(df, groups, value, weight)
     if not groups:
         counts = counts.withColumn("_g", F.lit(0))
     g = groups or ["_g"]

@@ -3,7 +3,7 @@
 import datetime
 
 import pytest
-from opinara.operators import alerts
+from opinara.operators import alerts, profiles, quantiles
 
 
 @pytest.fixture
@@ -38,3 +38,14 @@ def test_emerging_counts_products_of_new_aspects_only(spark, written):
     again = alerts.emerging_aspects(alerts.alert_cells(df), 3, 1, against="all", products=titles).collect()
     assert again == got
     assert max(t.count() for name, _, t in tables if name not in ("mentions", "cells")) <= 3
+
+
+def test_exact_profile_expands_rows_once(spark, written):
+    df = spark.createDataFrame([(i % 7 if i else None, str(i % 3)) for i in range(50)], "a bigint, b string")
+    tables = written(profiles)
+    got = {r["column"]: r for r in profiles.profile_exact(df).collect()}
+    assert [name for name, _, _ in tables] == ["counts"]
+    assert (got["a"]["q50"], got["a"]["nulls"], got["a"]["distinct_values"], got["b"]["distinct_values"]) == (3.0, 1, 7, 3)
+    weighted = spark.createDataFrame([(1.0, 3), (5.0, 1), (None, 9)], "v double, n bigint")
+    assert quantiles.exact_quantiles(weighted, [], "v", {"m": 0.5, "top": 1.0}, weight="n").first().asDict() == {
+        "n": 4, "m": 1.0, "top": 5.0}
