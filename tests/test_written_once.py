@@ -3,7 +3,7 @@
 import datetime
 
 import pytest
-from opinara.operators import alerts, profiles, quantiles
+from opinara.operators import alerts, profiles, quantiles, retrieval
 
 
 @pytest.fixture
@@ -49,3 +49,12 @@ def test_exact_profile_expands_rows_once(spark, written):
     weighted = spark.createDataFrame([(1.0, 3), (5.0, 1), (None, 9)], "v double, n bigint")
     assert quantiles.exact_quantiles(weighted, [], "v", {"m": 0.5, "top": 1.0}, weight="n").first().asDict() == {
         "n": 4, "m": 1.0, "top": 5.0}
+
+
+def test_postings_meet_words_unsorted(spark, written):
+    texts = spark.createDataFrame([("1", "p", "red apple"), ("2", "p", "red pear")], "review_id string, parent_asin string, text string")
+    asked = spark.createDataFrame([(1, "p", "apple")], "question_id bigint, parent_asin string, question string")
+    tables = written(retrieval)
+    assert [r["review_id"] for r in retrieval.tfidf_search(asked, texts, 5).collect()] == ["1"]
+    plan = next(df for name, df, _ in tables if name == "weights")._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan
