@@ -67,10 +67,36 @@ def _edges(own: pd.DataFrame, ids, comps, cores, vectors) -> pd.DataFrame:
     return _least(out[np.isfinite(best)])
 
 
-def _kernel(points: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-    points = points.sort_values("id")
-    return _edges(visitors, points["id"].to_numpy(), points["comp"].to_numpy(), points["core"].to_numpy(),
-                  S.matrix(points["v"]))
+def _kernel(points: pd.DataFrame, visitors: pd.DataFrame, tiles: Iterator[S.Tile]) -> pd.DataFrame:
+    """The smallest edge of each component of the visitors that is no longer than its reach."""
+    ids, comps, cores = (points[c].to_numpy() for c in ("id", "comp", "core"))
+    own, own_comp, own_core = (visitors[c].to_numpy() for c in ("id", "comp", "core"))
+    kinds, kind = np.unique(own_comp, return_inverse=True)
+    reach = np.full(len(kinds), -np.inf)
+    np.maximum.at(reach, kind, visitors["reach"].astype("float64").fillna(np.inf).to_numpy() + S.SLACK)
+    found = []
+    for tile in tiles:
+        rows = tile.rows[own_core[tile.rows] <= reach[kind[tile.rows]]]
+        if not len(rows):
+            continue
+        cos = (tile.visitors if len(rows) == len(tile.rows) else tile.visitors[np.isin(tile.rows, rows)]) @ tile.points.T
+        bound = reach[kind[rows]]
+        near = cos >= (1.0 - bound * bound / 2.0)[:, None]
+        near &= own_comp[rows][:, None] != comps[tile.at][None, :]
+        near &= cores[tile.at][None, :] <= bound[:, None]
+        r, c = np.nonzero(near)
+        if not len(r):
+            continue
+        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos[r, c])).round(9)
+        a, at = rows[r], c + tile.at.start
+        d = np.maximum(np.maximum(d, own_core[a]), cores[at])
+        np.minimum.at(reach, kind[a], d + S.SLACK)
+        some = d <= reach[kind[a]]
+        a, at, d = a[some], at[some], d[some]
+        found.append(_least(pd.DataFrame({
+            "comp": own_comp[a], "dist": d, "lo": np.minimum(own[a], ids[at]), "hi": np.maximum(own[a], ids[at]), "other": comps[at]})))
+    columns = ["comp", "dist", "lo", "hi", "other"]
+    return _least(pd.concat(found)) if found else pd.DataFrame(columns=columns)
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -121,7 +147,7 @@ def spanning_tree(reps: DataFrame, k: int = 10, cells: int | None = None) -> tup
         bound = known.select("comp", F.col("dist").alias("reach"))
         queries = moving.drop("cell").join(bound, "comp", "left").where("reach is null or core <= reach").select(
             "id", "v", "reach", "comp", "core")
-        found = S.block_join(rest.select("id", "v", "cell", "comp", "core"), S.visits(queries, index), _kernel, _EDGE)
+        found = S.region_join(rest.select("id", "v", "cell", "comp", "core"), S.visits(queries, index), index, _kernel, _EDGE)
         chosen = materialize(_smallest(found.unionByName(known)), "chosen")
         edges = chosen.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "dist").distinct()
         tree = edges if tree is None else tree.unionByName(edges)

@@ -317,3 +317,20 @@ def test_every_text_has_a_vector(spark):
     t = spark.createDataFrame([("a", "great battery life"), ("b", ""), ("c", None), ("d", "poor battery")], "review_id string, text string")
     got = {r["review_id"]: r["embedding"] for r in mining.embed_texts(t, dims=2).collect()}
     assert set(got) == set("abcd") and set(got["b"]) == set(got["c"]) == {0.0}
+
+
+def test_vectors_are_sent_by_region_not_by_cell(spark, monkeypatch):
+    """Without a bound a query reaches all 60 cells, but is sent once to each of a few regions; points stay in chunks."""
+    monkeypatch.setattr(similarity, "CHUNK", 16)
+    v, df = vectors(spark, n=600, copies=1, seed=5)
+    reps, _ = similarity.distinct_vectors(df, "vec_id", "embedding")
+    index = similarity.build_index(reps, cells=60)
+    queries = index.points.select("id", "v", F.lit(None).cast("double").alias("reach"))
+    sent = similarity.visits(queries, index).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert sent == index.regions.max() + 1 <= similarity.GRID + 1
+    assert index.chunk == 50
+    near = similarity.neighbours(reps, 3, cells=60).groupBy("id").agg(F.max("dist").alias("d")).collect()
+    d = similarity.distances(v, v)
+    np.fill_diagonal(d, np.inf)
+    for r in near:
+        assert r["d"] == pytest.approx(sorted(d[r["id"]])[2], abs=1e-6)
