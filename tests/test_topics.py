@@ -75,3 +75,30 @@ def test_categories_find_their_themes(spark):
     concerns = {r["aspect_term_normalized"]: (r["categories"], r["universal"], r["specific"]) for r in topics.topic_concerns(found).collect()}
     assert concerns == {"taste": (2, True, False), "only x": (1, False, True), "only y": (1, False, True)}
     assert topics.category_topics(m.limit(0), t, 2, rounds=1).collect() == []
+
+
+def test_a_count_is_no_row_of_a_round(spark, monkeypatch):
+    """Rounds write one row per text and per word of a block, several blocks give the same weights, numbers have no gaps."""
+    rows, df = counts_frame(spark, 2)
+    numbers = topics._numbered(df.select("main_category", "review_id", "word").repartition(5), "i", "numbers")
+    assert sorted(r["i"] for r in numbers.collect()) == list(range(len(rows)))
+    written = {}
+
+    def note(df, name="stage"):
+        out = plain(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    plain = topics.materialize
+    monkeypatch.setattr(topics, "materialize", note)
+    for block in (10 ** 6, 20):
+        monkeypatch.setattr(topics, "BLOCK", block)
+        monkeypatch.setattr(topics, "SLICE", 7)
+        words, docs = topics.em_topics(df, 2, 3)
+        got = {r["review_id"]: [r["p0"], r["p1"]] for r in docs.collect()}
+        for cat in "xy":
+            d, w, p, q = brute(rows, cat, 2, 3)
+            for i, doc in enumerate(d):
+                assert got[doc] == pytest.approx(list(p[i]), rel=1e-9)
+        if block > 20:
+            assert written["shares"] == len({r[:2] for r in rows}) + len({(r[0], r[2]) for r in rows}) < len(rows)
