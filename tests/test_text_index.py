@@ -51,3 +51,20 @@ def test_blocks_out_of_reach_are_not_read(spark, tmp_path, monkeypatch):
     assert [r["review_id"] for r in best] == ["7"] and read == [textindex.FIRST, 1]
     assert spark.read.parquet(f"{path}/postings").select("block").distinct().count() > 30
     assert spark.read.parquet(f"{path}/postings").where(F.col("most") > 1.0 + 1e-9).count() == 0
+
+
+def test_a_products_words_go_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "TEXTS", 50)
+    monkeypatch.setattr(textindex, "BLOCK", 16)
+    texts, asked = corpus(spark, 300, 3)
+    path = str(tmp_path / "ix")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        textindex.build_text_index(texts, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = spark.read.parquet(f"{path}/postings").select("p", F.input_file_name().alias("f")).distinct().groupBy("p").agg(
+        F.count("*").alias("n"))
+    assert {r["p"] for r in files.where("n > 1").collect()} == {"p", "q"}
+    want = sorted(map(tuple, retrieval.tfidf_search(asked, texts, 4).collect()))
+    assert sorted(map(tuple, textindex.search_text_index(spark, path, asked, 4).collect())) == want
