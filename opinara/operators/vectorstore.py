@@ -27,7 +27,7 @@ def _encoded(df: DataFrame, text: str, vector: str, encode: Callable[[DataFrame,
     """Scrubbed preview and unit vector of every row."""
     if encode is None:
         return df.withColumn("v", C.l2_normalize(vector))
-    safe = df.withColumn(text, C.scrub_pii(text))
+    safe = materialize(df.withColumn(text, C.scrub_pii(text)), "scrubbed")   # read twice
     return safe.join(encode(safe, "review_id", text).select("review_id", C.l2_normalize("embedding").alias("v")), "review_id")
 
 
@@ -42,9 +42,10 @@ def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.withColumn("_n", nearest("v")).select("*", "_n.cell", "_n.far").drop("_n")
 
 
-def _stored(df: DataFrame, path: str, pivots: np.ndarray, text: str, vector: str, encode, preview: int) -> None:
+def _stored(df: DataFrame, path: str, pivots: np.ndarray, text: str, vector: str, encode, preview: int,
+            scrubbed: bool) -> None:
     own = [c for c in ("parent_asin", "date") if c in df.columns]
-    shown = F.substring(C.scrub_pii(text), 1, preview) if text in df.columns else F.lit(None).cast("string")
+    shown = F.substring(text if scrubbed else C.scrub_pii(text), 1, preview) if text in df.columns else F.lit(None).cast("string")
     rows = _placed(_encoded(df, text, vector, encode), pivots).select(
         F.col("review_id").cast("string").alias("review_id"), *own, shown.alias("text_preview"), "v", "cell", "far")
     rows = materialize(rows, "placed")
@@ -68,7 +69,7 @@ def build_index(df: DataFrame, path: str, text: str = "text", vector: str = "emb
         raise ValueError("an index needs at least one row")
     spark.createDataFrame([(i, r["v"]) for i, r in enumerate(chosen)], "cell int, pivot array<double>").write.parquet(
         f"{path}/pivots")
-    _stored(rows, path, np.array([r["v"] for r in chosen], float), text, "_unit", None, preview)
+    _stored(rows, path, np.array([r["v"] for r in chosen], float), text, "_unit", None, preview, encode is not None)
 
 
 def _pivots(spark: SparkSession, path: str) -> np.ndarray:
@@ -79,7 +80,7 @@ def _pivots(spark: SparkSession, path: str) -> np.ndarray:
 def add_rows(df: DataFrame, path: str, text: str = "text", vector: str = "embedding",
              encode: Callable[[DataFrame, str, str], DataFrame] | None = None, preview: int = 300) -> None:
     """Add rows, a month say, to the cells that are there; radii and counts follow."""
-    _stored(df, path, _pivots(df.sparkSession, path), text, vector, encode, preview)
+    _stored(df, path, _pivots(df.sparkSession, path), text, vector, encode, preview, encode is not None)
 
 
 def _cells(spark: SparkSession, path: str, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -110,3 +110,20 @@ def test_text_questions_find_their_texts(spark):
     out = catalog.QUERIES["question_topk_text"](spark, SF)
     n = spark.read.parquet(f"{SF}/benchmark.parquet").count()
     assert out.count() == 8 * n and out.where("score > 1.000001").count() == 0
+
+
+def test_texts_are_scrubbed_once(spark, tmp_path, monkeypatch):
+    """Vectors and preview come from one scrubbed copy of the text."""
+    calls = []
+    plain = vectorstore.C.scrub_pii
+    monkeypatch.setattr(vectorstore.C, "scrub_pii", lambda c: calls.append(c) or plain(c))
+    df = spark.createDataFrame([("a", "ask joe.doe@mail.example.com"), ("b", "call 0123 456 789 now"), ("c", "plain")],
+                               "review_id string, text string")
+
+    def encode(df, key, col):
+        return df.select(key, F.array(F.length(col).cast("double"), F.lit(1.0)).alias("embedding"))
+
+    vectorstore.build_index(df, str(tmp_path / "ix"), encode=encode)
+    assert len(calls) == 1
+    found = {r["review_id"]: r["text_preview"] for r in spark.read.parquet(str(tmp_path / "ix" / "vectors")).collect()}
+    assert found == {"a": "ask [REDACTED_EMAIL]", "b": "call [REDACTED_PHONE] now", "c": "plain"}
