@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .preprocess import top_per_group
 
 ALPHA, BETA = 0.1, 0.01     # what each topic of a text, and each word of a topic, has before any count
 CATEGORY = "main_category"
-BLOCK = 4_000_000           # counts of a block, about
+BLOCK = 12_000_000          # counts of a block, about
 SLICE = 500_000             # counts shared out at once
 WORD, TEXT = range(2)       # kinds of rows
 
@@ -124,6 +125,11 @@ def em_topics(counts: DataFrame, k: int = 5, rounds: int = 20) -> tuple[DataFram
     held = materialize(held.select("block", "text", F.col("_c.word").alias("word"), F.col("_c.n").alias("n")), "held")
     used = materialize(held.select("block", F.explode("word").alias("id")).distinct(), "used")
 
+    # every round reads the blocks where they lie; a lost one is dealt again from the written table. With fewer partitions than
+    # a shuffle has, the rounds would move them
+    partitions = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = held.repartition(max(blocks, partitions), "block").persist(StorageLevel.DISK_ONLY)
+
     names = [f"w{z}" for z in range(k)]
     schema = ", ".join(f"{c} double" for c in names) + ", id int, kind int, block int"
     start = _shares([hashed(z) for z in range(k)])
@@ -140,6 +146,7 @@ def em_topics(counts: DataFrame, k: int = 5, rounds: int = 20) -> tuple[DataFram
     out_words = vocabulary.join(words, "id").select(CATEGORY, "word", *[F.col(c).alias(f"q{z}") for z, c in enumerate(names)])
     out_docs = texts.join(docs.select(F.col("id").alias("text"), *names), "text").select(
         CATEGORY, "review_id", *[F.col(c).alias(f"p{z}") for z, c in enumerate(names)])
+    held.unpersist()
     return materialize(out_words, "words"), materialize(out_docs, "docs")
 
 
