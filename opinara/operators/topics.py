@@ -26,7 +26,7 @@ from .preprocess import top_per_group
 
 ALPHA, BETA = 0.1, 0.01     # what each topic of a text, and each word of a topic, has before any count
 CATEGORY = "main_category"
-BLOCK = 12_000_000          # counts of a block, about
+BLOCK = 6_000_000           # counts of a block, about
 SLICE = 500_000             # counts shared out at once
 WORD, TEXT = range(2)       # kinds of rows
 
