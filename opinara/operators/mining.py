@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
@@ -123,14 +124,25 @@ def kmeans_profile(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, k:
             .join(samples, "cluster", "left"))
 
 
+def mention_cells(mentions: DataFrame) -> DataFrame:
+    """Mentions ``k`` per category, sentiment, review and aspect, as far as the table has these columns."""
+    keys = [c for c in ("main_category", "sentiment", "review_id", ASPECT) if c in mentions.columns]
+    return mentions.groupBy(*keys).agg(F.count("*").alias("k"))
+
+
 def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: str | None = "Negative",
                category: str | None = None, min_reviews: int = 20, max_iter: int = 20,
-               vocab_size: int | None = 50_000, weight: float = 0.3, seed: int = 42) -> DataFrame | None:
+               vocab_size: int | None = 50_000, weight: float = 0.3, seed: int = 42,
+               cells: DataFrame | None = None) -> DataFrame | None:
     """Topics of the matching reviews: words with weights, documents above ``weight`` and
     their most frequent aspects, joined by review id.  None with too few reviews.
 
     The vocabulary, at most the ``vocab_size`` most frequent words, is collected; None takes all words, however many.
-    ``topics.category_topics`` is the way without a vocabulary on the driver.
+    ``topics.category_topics`` is the way without a vocabulary on the driver.  ``cells`` are the counts of `mention_cells`, when they
+    have been written before.
+
+    The fit samples the texts anew in each iteration, and every iteration reads all of them: they are turned into counts by word
+    once and lie on the disks of their tasks, in the partitions and order in which they were read, since the sampler goes by these.
     """
     m = _filtered(mentions, sentiment, category)
     ids = m.select("review_id").distinct()
@@ -141,8 +153,8 @@ def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: st
         vocab_size = max(1, docs.select(F.explode("tokens").alias("w")).select("w").distinct().count())
     counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=2.0, maxDF=0.5,
                              vocabSize=vocab_size).fit(docs)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online",
-                optimizeDocConcentration=True).fit(counts.transform(docs))
+    vectors = counts.transform(docs).select("review_id", "features").persist(StorageLevel.DISK_ONLY)
+    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True).fit(vectors)
     spark = mentions.sparkSession
     vocab = spark.createDataFrame(list(enumerate(counts.vocabulary)), "idx int, word string")
     terms = model.describeTopics(10).select(
@@ -150,10 +162,11 @@ def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: st
         F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t"))
     named = terms.join(vocab, F.col("t.termIndices") == F.col("idx")).groupBy("topic_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "word", F.col("t.termWeights").alias("p")))).alias("w"))
-    shares = model.transform(counts.transform(docs)).select(
+    shares = model.transform(vectors).select(
         "review_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "p"))
     strong = materialize(shares.where(F.col("p") > weight).select("review_id", "topic_id"), "topics")
-    aspects = (m.groupBy("review_id", ASPECT).agg(F.count("*").alias("k"))
+    vectors.unpersist()
+    aspects = (_filtered(mention_cells(mentions) if cells is None else cells, sentiment, category).select("review_id", ASPECT, "k")
                .join(strong, "review_id"))
     n = strong.groupBy("topic_id").agg(F.count("*").alias("document_count"))
     return (
@@ -167,12 +180,13 @@ def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: st
 
 def category_topics(mentions: DataFrame, texts: DataFrame, k: int = 5, **params) -> DataFrame:
     """Topics of every category.  One model per category, so the loop is over the few
-    category names; each model is trained on the cluster."""
-    names = [r[0] for r in mentions.where("main_category is not null").select("main_category")
+    category names; each model is trained on the cluster.  Mentions are counted once for all of them."""
+    cells = materialize(mention_cells(mentions), "cells")
+    names = [r[0] for r in cells.where("main_category is not null").select("main_category")
              .distinct().orderBy("main_category").collect()]
     out = None
     for name in names:
-        topics = lda_topics(mentions, texts, k, category=name, **params)
+        topics = lda_topics(mentions, texts, k, category=name, cells=cells, **params)
         if topics is not None:
             topics = topics.withColumn("main_category", F.lit(name))
             out = topics if out is None else out.unionByName(topics)
