@@ -8,18 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import (IDF, PCA, CountVectorizer, Normalizer, StringIndexer)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .analytics import classification_report
 from .preprocess import top_per_group
 
@@ -38,26 +43,91 @@ def split_train_test(df: DataFrame, key: str, train: float = 0.8, seed: int = 42
     return df.where(bucket < int(train * 10_000)), df.where(bucket >= int(train * 10_000))
 
 
-def _tokens(df: DataFrame, key: str, col: str) -> DataFrame:
-    return df.select(key, C.topic_tokens(col).alias("tokens")).where(F.size("tokens") > 0)
+def counted_words(df: DataFrame, key: str = "review_id", col: str = "text") -> DataFrame:
+    """``(key, words, n)``: the different words of ``columns.topic_tokens`` and how often they occur, one row per row of ``df``.
+
+    Words are split and counted by Arrow where the text lies.
+    """
+    stop = list(C.STOP_WORDS)
+
+    def count(batches):
+        for batch in batches:
+            split = pc.split_pattern_regex(batch.column("text"), "[^a-z0-9]+")
+            at, word = pc.list_parent_indices(split), pc.list_flatten(split)
+            kept = pc.and_not(pc.greater(pc.binary_length(word), 2), pc.is_in(word, value_set=pa.array(stop)))
+            part = pa.table({"at": at.filter(kept), "word": word.filter(kept)}).group_by(["at", "word"], use_threads=False).aggregate(
+                [([], "count_all")]).combine_chunks()
+            at = part.column("at").to_numpy()
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(len(batch) + 1)).astype("int32")
+            part = part.take(pa.array(order)).combine_chunks()
+            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(part.column(c).chunks or [pa.array([], t)]).cast(t))
+                     for c, t in (("word", pa.string()), ("count_all", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *lists], [key, "words", "n"])
+
+    kind = T.StructType([df.schema[key]]).add("words", T.ArrayType(T.StringType())).add("n", T.ArrayType(T.IntegerType()))
+    return df.select(key, F.lower(F.coalesce(col, F.lit(""))).alias("text")).mapInArrow(count, kind)
+
+
+def _vocabulary(counted: DataFrame, size: int | None, min_df: int = 1, max_df: float | None = None) -> list[str]:
+    """The ``size`` most frequent words, or all, of those that stand in ``min_df`` to ``max_df`` texts."""
+    words = counted.select(F.inline(F.arrays_zip("words", "n"))).groupBy("words").agg(
+        F.sum("n").alias("_n"), F.count("*").alias("_d")).where(F.col("_d") >= min_df)
+    if max_df is not None:
+        words = words.where(F.col("_d") <= max_df)
+    words = words.orderBy(F.desc("_n"), "words").select("words")
+    found = [r[0] for r in (words if size is None else words.limit(size)).collect()]
+    if not found:
+        raise ValueError("no word is frequent enough for a vocabulary")
+    return found
+
+
+def _features(counted: DataFrame, key: str, vocabulary: list[str]) -> DataFrame:
+    """``(key, features)``: counts by place in the vocabulary as sparse vectors, written once."""
+    size, known = len(vocabulary), pa.array(vocabulary)
+
+    def place(batches):
+        for batch in batches:
+            at, n = pc.list_parent_indices(batch.column("words")), pc.list_flatten(batch.column("n"))
+            ix = pc.index_in(pc.list_flatten(batch.column("words")), value_set=known)
+            own = pc.is_valid(ix)
+            at, ix, n = (x.filter(own).to_numpy(zero_copy_only=False) for x in (at, ix, n))
+            order = np.lexsort((ix, at))
+            ends = np.searchsorted(at[order], np.arange(len(batch) + 1)).astype("int32")
+            rows = len(batch)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(key), pa.array(np.zeros(rows, "int8")), pa.array(np.full(rows, size, "int32")),
+                pa.ListArray.from_arrays(ends, pa.array(ix[order].astype("int32"))),
+                pa.ListArray.from_arrays(ends, pa.array(n[order].astype("float64")))], [key, "type", "size", "indices", "values"])
+
+    own = T.StructType([counted.schema[key]])
+    kind = T.StructType([*own.fields]).add("type", "byte").add("size", "integer").add("indices", T.ArrayType(T.IntegerType())).add(
+        "values", T.ArrayType(T.DoubleType()))
+    rows = counted.select(key, "words", "n").mapInArrow(place, kind)
+    path = scratch_path(counted.sparkSession, "features")
+    # a struct of these four fields is how a vector is stored: it is read back as one
+    rows.select(key, F.struct("type", "size", "indices", "values").alias("features")).write.parquet(path)
+    return counted.sparkSession.read.schema(own.add("features", VectorUDT())).parquet(path)
 
 
 def embed_texts(df: DataFrame, key: str = "review_id", col: str = "text",
                 encoder: Callable[[pd.Series], pd.Series] | None = None, max_features: int = 1024,
-                dims: int = 384) -> DataFrame:
+                dims: int = 384, counted: DataFrame | None = None) -> DataFrame:
     """Unit vectors ``(key, embedding)``, one per row: a given encoder in Arrow batches, else TF-IDF
-    reduced to at most ``dims`` principal components.  A text without topic words is the zero vector."""
+    reduced to at most ``dims`` principal components.  A text without topic words is the zero vector.
+
+    Words are counted once; the fits read the counts.  ``counted`` are those of `counted_words`, when they have been written before.
+    """
     if encoder is not None:
         run = F.pandas_udf(encoder, "array<float>")
         return df.select(key, C.l2_normalize(run(F.col(col))).cast("array<float>").alias("embedding"))
-    toks = materialize(df.select(key, F.coalesce(C.topic_tokens(col), F.array().cast("array<string>")).alias("tokens")),
-                       "tokens")
-    counts = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max_features).fit(toks)
-    k = min(dims, len(counts.vocabulary))
-    stages = Pipeline(stages=[counts, IDF(inputCol="tf", outputCol="tfidf"),
-                              PCA(k=k, inputCol="tfidf", outputCol="pc"),
+    counted = materialize(counted_words(df, key, col), "counted") if counted is None else counted
+    vocabulary = _vocabulary(counted, max_features)
+    counts = _features(counted, key, vocabulary)
+    stages = Pipeline(stages=[IDF(inputCol="features", outputCol="tfidf"),
+                              PCA(k=min(dims, len(vocabulary)), inputCol="tfidf", outputCol="pc"),
                               Normalizer(inputCol="pc", outputCol="unit")])
-    out = stages.fit(toks).transform(toks)
+    out = stages.fit(counts).transform(counts)
     return out.select(key, vector_to_array("unit", "float32").alias("embedding"))
 
 
@@ -100,9 +170,9 @@ def kmeans(vectors: DataFrame, k: int = 8, key: str = "review_id", col: str = "e
 
 def kmeans_profile(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, k: int = 8,
                    category: str | None = None, sentiment: str | None = "Negative",
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, counted: DataFrame | None = None) -> DataFrame:
     """Clusters of the matching reviews: size in mentions, mean score, most frequent
-    aspects and words, three sample texts."""
+    aspects and words, three sample texts.  ``counted`` are the texts' `counted_words`, when they have been written before."""
     m = _filtered(mentions, sentiment, category)
     counts = materialize(m.groupBy("review_id", ASPECT).agg(F.count("*").alias("k"), F.sum("sentiment_score").alias("s")), "mentions")
     per_review = counts.groupBy("review_id").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
@@ -111,8 +181,9 @@ def kmeans_profile(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, k:
     base = chosen.groupBy("cluster").agg(F.sum("k").alias("size"),
                                          (F.sum("s") / F.sum("k")).alias("avg_sentiment"))
     aspects = counts.select("review_id", ASPECT, "k").join(chosen.select("review_id", "cluster"), "review_id")
-    t = texts.select("review_id", "text").join(chosen.select("review_id", "cluster", "k"), "review_id")
-    words = t.select("cluster", "k", F.explode(C.topic_tokens("text")).alias("word"))
+    t = (counted_words(texts) if counted is None else counted).join(chosen.select("review_id", "cluster", "k"), "review_id")
+    words = t.select("cluster", "k", F.inline(F.arrays_zip("words", "n"))).select(
+        "cluster", (F.col("k") * F.col("n")).alias("k"), F.col("words").alias("word"))
     # the first ids of each cluster, then only their texts: a window over whole texts would sort all of them
     first = materialize(top_per_group(chosen.join(texts.select("review_id"), "review_id", "left_semi").select("cluster", "review_id"),
                                       ["cluster"], ["review_id"], 3).select("cluster", "review_id"), "first")
@@ -133,30 +204,31 @@ def mention_cells(mentions: DataFrame) -> DataFrame:
 def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: str | None = "Negative",
                category: str | None = None, min_reviews: int = 20, max_iter: int = 20,
                vocab_size: int | None = 50_000, weight: float = 0.3, seed: int = 42,
-               cells: DataFrame | None = None) -> DataFrame | None:
+               cells: DataFrame | None = None, counted: DataFrame | None = None,
+               docs: DataFrame | None = None) -> DataFrame | None:
     """Topics of the matching reviews: words with weights, documents above ``weight`` and
     their most frequent aspects, joined by review id.  None with too few reviews.
 
     The vocabulary, at most the ``vocab_size`` most frequent words, is collected; None takes all words, however many.
-    ``topics.category_topics`` is the way without a vocabulary on the driver.  ``cells`` are the counts of `mention_cells`, when they
-    have been written before.
+    ``topics.category_topics`` is the way without a vocabulary on the driver.  ``cells`` are the counts of `mention_cells`, ``counted``
+    the texts' `counted_words` and ``docs`` those of the matching reviews, when they have been written before.
 
     The fit samples the texts anew in each iteration, and every iteration reads all of them: they are turned into counts by word
     once and lie on the disks of their tasks, in the partitions and order in which they were read, since the sampler goes by these.
     """
-    m = _filtered(mentions, sentiment, category)
-    ids = m.select("review_id").distinct()
-    docs = materialize(_tokens(texts.join(ids, "review_id", "left_semi"), "review_id", "text"), "docs")
-    if docs.count() < min_reviews:
+    if docs is None:
+        ids = _filtered(mentions, sentiment, category).select("review_id").distinct()
+        # a text moves as its counted words
+        docs = materialize((counted_words(texts) if counted is None else counted).join(ids, "review_id", "left_semi"), "docs")
+    docs = docs.where(F.size("words") > 0).select("review_id", "words", "n")
+    size = docs.count()
+    if size < min_reviews:
         return None
-    if vocab_size is None:  # all words that the document-frequency bounds leave
-        vocab_size = max(1, docs.select(F.explode("tokens").alias("w")).select("w").distinct().count())
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=2.0, maxDF=0.5,
-                             vocabSize=vocab_size).fit(docs)
-    vectors = counts.transform(docs).select("review_id", "features").persist(StorageLevel.DISK_ONLY)
+    vocabulary = _vocabulary(docs, vocab_size, 2, 0.5 * size)
+    vectors = _features(docs, "review_id", vocabulary).persist(StorageLevel.DISK_ONLY)
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True).fit(vectors)
     spark = mentions.sparkSession
-    vocab = spark.createDataFrame(list(enumerate(counts.vocabulary)), "idx int, word string")
+    vocab = spark.createDataFrame(list(enumerate(vocabulary)), "idx int, word string")
     terms = model.describeTopics(10).select(
         F.col("topic").alias("topic_id"),
         F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t"))
@@ -178,15 +250,19 @@ def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: st
     )
 
 
-def category_topics(mentions: DataFrame, texts: DataFrame, k: int = 5, **params) -> DataFrame:
+def category_topics(mentions: DataFrame, texts: DataFrame, k: int = 5, counted: DataFrame | None = None, **params) -> DataFrame:
     """Topics of every category.  One model per category, so the loop is over the few
-    category names; each model is trained on the cluster.  Mentions are counted once for all of them."""
+    category names; each model is trained on the cluster.  Mentions are counted once for all of them, and the texts' words too:
+    they meet their categories in one join."""
     cells = materialize(mention_cells(mentions), "cells")
     names = [r[0] for r in cells.where("main_category is not null").select("main_category")
              .distinct().orderBy("main_category").collect()]
+    own = _filtered(cells, params.get("sentiment", "Negative"), None).where("main_category is not null").select(
+        "review_id", "main_category").distinct()
+    docs = materialize((counted_words(texts) if counted is None else counted).join(own, "review_id"), "docs")
     out = None
     for name in names:
-        topics = lda_topics(mentions, texts, k, category=name, cells=cells, **params)
+        topics = lda_topics(mentions, texts, k, category=name, cells=cells, docs=docs.where(F.col("main_category") == name), **params)
         if topics is not None:
             topics = topics.withColumn("main_category", F.lit(name))
             out = topics if out is None else out.unionByName(topics)
@@ -220,9 +296,15 @@ def classification_scores(df: DataFrame, **params) -> DataFrame:
 
 
 def topic_report(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, topics: int = 10,
-                 clusters: int = 8, per_category: int = 5, **params) -> dict[str, DataFrame]:
-    """Topics, clusters and categories of the negative reviews, by table name."""
-    tables = {"topics": lda_topics(mentions, texts, topics, **params),
-              "clusters": kmeans_profile(mentions, texts, vectors, clusters),
-              "categories": category_topics(mentions, texts, per_category, **params)}
+                 clusters: int = 8, per_category: int = 5, counted: DataFrame | None = None, **params) -> dict[str, DataFrame]:
+    """Topics, clusters and categories of the negative reviews, by table name.
+
+    Mentions, which may come from an extraction, and the words of the texts are written once for all three; ``counted`` are the latter,
+    when they have been written before.
+    """
+    mentions = materialize(mentions.select("review_id", ASPECT, "sentiment", "sentiment_score", "main_category"), "mentions")
+    counted = materialize(counted_words(texts), "counted") if counted is None else counted
+    tables = {"topics": lda_topics(mentions, texts, topics, counted=counted, **params),
+              "clusters": kmeans_profile(mentions, texts, vectors, clusters, counted=counted),
+              "categories": category_topics(mentions, texts, per_category, counted=counted, **params)}
     return {name: table for name, table in tables.items() if table is not None}

@@ -120,7 +120,9 @@ def _(spark, sf):
 @query("topic_report")
 def _(spark, sf):
     path = scratch_path(spark, "topic-report")
-    tables = mining.topic_report(_mentions(spark, sf), _texts(spark, sf), _vectors(spark, sf))
+    t = _texts(spark, sf)
+    counted = materialize(mining.counted_words(t), "counted")
+    tables = mining.topic_report(_mentions(spark, sf), t, mining.embed_texts(t, counted=counted), counted=counted)
     out = None
     for name in sinks.write_report(tables, path):
         part = spark.read.json(f"{path}/{name}").agg(F.count("*").alias("rows")).select(
