@@ -29,6 +29,7 @@ from .analytics import classification_report
 from .preprocess import top_per_group
 
 ASPECT = "aspect_term_normalized"
+SUMS = 1_000_000    # rows of sums by word that a task holds before it merges them
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -44,9 +45,10 @@ def split_train_test(df: DataFrame, key: str, train: float = 0.8, seed: int = 42
 
 
 def counted_words(df: DataFrame, key: str = "review_id", col: str = "text") -> DataFrame:
-    """``(key, words, n)``: the different words of ``columns.topic_tokens`` and how often they occur, one row per row of ``df``.
+    """``(key, words, n)``: the different words of ``columns.topic_tokens``, joined by spaces, and how often each occurs, as 32-bit
+    numbers in a row; one row per row of ``df``.
 
-    Words are split and counted by Arrow where the text lies.
+    Words are split and counted by Arrow where the text lies, and a text moves as two values, not as lists of words.
     """
     stop = list(C.STOP_WORDS)
 
@@ -56,26 +58,65 @@ def counted_words(df: DataFrame, key: str = "review_id", col: str = "text") -> D
             at, word = pc.list_parent_indices(split), pc.list_flatten(split)
             kept = pc.and_not(pc.greater(pc.binary_length(word), 2), pc.is_in(word, value_set=pa.array(stop)))
             part = pa.table({"at": at.filter(kept), "word": word.filter(kept)}).group_by(["at", "word"], use_threads=False).aggregate(
-                [([], "count_all")]).combine_chunks()
+                [([], "count_all")])
             at = part.column("at").to_numpy()
             order = np.argsort(at, kind="stable")
             ends = np.searchsorted(at[order], np.arange(len(batch) + 1)).astype("int32")
-            part = part.take(pa.array(order)).combine_chunks()
-            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(part.column(c).chunks or [pa.array([], t)]).cast(t))
-                     for c, t in (("word", pa.string()), ("count_all", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *lists], [key, "words", "n"])
+            words = pa.ListArray.from_arrays(ends, part.column("word").take(pa.array(order)).combine_chunks())
+            n = part.column("count_all").to_numpy()[order].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(key), pc.binary_join(words, " "),
+                                              pa.array([n[4 * x: 4 * y] for x, y in zip(ends, ends[1:])], pa.binary())], [key, "words", "n"])
 
-    kind = T.StructType([df.schema[key]]).add("words", T.ArrayType(T.StringType())).add("n", T.ArrayType(T.IntegerType()))
+    kind = T.StructType([df.schema[key]]).add("words", "string").add("n", "binary")
     return df.select(key, F.lower(F.coalesce(col, F.lit(""))).alias("text")).mapInArrow(count, kind)
 
 
+def _unpacked(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Row, word and number of every count of `counted_words`."""
+    split = pc.split_pattern(batch.column("words"), " ")
+    at, word = pc.list_parent_indices(split), pc.list_flatten(split)
+    real = pc.not_equal(word, "")
+    return at.filter(real), word.filter(real), np.frombuffer(b"".join(batch.column("n").to_pylist()), "<i4")
+
+
+def word_sums(counted: DataFrame, group: str | None = None, weight: str | None = None) -> DataFrame:
+    """``(group, word, n, texts)``: occurrences of each word, times a text's weight, and in how many texts; summed inside the tasks first."""
+    keys = [group, "word"] if group else ["word"]
+
+    def merged(held):
+        return pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum"), ("texts", "sum")]).rename_columns(
+            [*keys, "n", "texts"])
+
+    def add(batches):
+        held, rows = [], 0
+        for batch in batches:
+            at, word, n = _unpacked(batch)
+            n = n.astype("int64")
+            if weight:
+                n = n * batch.column(weight).take(at).to_numpy(zero_copy_only=False)
+            own = {group: batch.column(group).take(at)} if group else {}
+            held.append(merged([pa.table({**own, "word": word, "n": n, "texts": np.ones(len(n), "int64")})]))
+            rows += len(held[-1])
+            if rows > SUMS:
+                held = [merged(held)]
+                rows = len(held[0])
+                if 2 * rows > SUMS:
+                    yield from held[0].to_batches(max_chunksize=100_000)
+                    held, rows = [], 0
+        if held:
+            yield from merged(held).to_batches(max_chunksize=100_000)
+
+    kind = T.StructType([counted.schema[c] for c in [group] if c]).add("word", "string").add("n", "long").add("texts", "long")
+    rows = counted.select(*[c for c in (group, weight) if c], "words", "n").mapInArrow(add, kind)
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+
+
 def _vocabulary(counted: DataFrame, size: int | None, min_df: int = 1, max_df: float | None = None) -> list[str]:
     """The ``size`` most frequent words, or all, of those that stand in ``min_df`` to ``max_df`` texts."""
-    words = counted.select(F.inline(F.arrays_zip("words", "n"))).groupBy("words").agg(
-        F.sum("n").alias("_n"), F.count("*").alias("_d")).where(F.col("_d") >= min_df)
+    words = word_sums(counted).where(F.col("texts") >= min_df)
     if max_df is not None:
-        words = words.where(F.col("_d") <= max_df)
-    words = words.orderBy(F.desc("_n"), "words").select("words")
+        words = words.where(F.col("texts") <= max_df)
+    words = words.orderBy(F.desc("n"), "word").select("word")
     found = [r[0] for r in (words if size is None else words.limit(size)).collect()]
     if not found:
         raise ValueError("no word is frequent enough for a vocabulary")
@@ -88,10 +129,10 @@ def _features(counted: DataFrame, key: str, vocabulary: list[str]) -> DataFrame:
 
     def place(batches):
         for batch in batches:
-            at, n = pc.list_parent_indices(batch.column("words")), pc.list_flatten(batch.column("n"))
-            ix = pc.index_in(pc.list_flatten(batch.column("words")), value_set=known)
-            own = pc.is_valid(ix)
-            at, ix, n = (x.filter(own).to_numpy(zero_copy_only=False) for x in (at, ix, n))
+            at, word, n = _unpacked(batch)
+            ix = pc.index_in(word, value_set=known)
+            own = pc.is_valid(ix).to_numpy(zero_copy_only=False)
+            at, ix, n = at.to_numpy()[own], ix.to_numpy(zero_copy_only=False)[own], n[own]
             order = np.lexsort((ix, at))
             ends = np.searchsorted(at[order], np.arange(len(batch) + 1)).astype("int32")
             rows = len(batch)
@@ -182,8 +223,7 @@ def kmeans_profile(mentions: DataFrame, texts: DataFrame, vectors: DataFrame, k:
                                          (F.sum("s") / F.sum("k")).alias("avg_sentiment"))
     aspects = counts.select("review_id", ASPECT, "k").join(chosen.select("review_id", "cluster"), "review_id")
     t = (counted_words(texts) if counted is None else counted).join(chosen.select("review_id", "cluster", "k"), "review_id")
-    words = t.select("cluster", "k", F.inline(F.arrays_zip("words", "n"))).select(
-        "cluster", (F.col("k") * F.col("n")).alias("k"), F.col("words").alias("word"))
+    words = word_sums(t, "cluster", "k").select("cluster", F.col("n").alias("k"), "word")
     # the first ids of each cluster, then only their texts: a window over whole texts would sort all of them
     first = materialize(top_per_group(chosen.join(texts.select("review_id"), "review_id", "left_semi").select("cluster", "review_id"),
                                       ["cluster"], ["review_id"], 3).select("cluster", "review_id"), "first")
@@ -220,7 +260,7 @@ def lda_topics(mentions: DataFrame, texts: DataFrame, k: int = 10, sentiment: st
         ids = _filtered(mentions, sentiment, category).select("review_id").distinct()
         # a text moves as its counted words
         docs = materialize((counted_words(texts) if counted is None else counted).join(ids, "review_id", "left_semi"), "docs")
-    docs = docs.where(F.size("words") > 0).select("review_id", "words", "n")
+    docs = docs.where(F.col("words") != "").select("review_id", "words", "n")
     size = docs.count()
     if size < min_reviews:
         return None

@@ -1,7 +1,9 @@
 """The report extracts mentions once, splits texts once, and its counts are those of the column expressions."""
 
+import struct
 from collections import Counter
 
+import pytest
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def odd(spark):
 def test_counted_words_are_the_topic_tokens(spark):
     df = odd(spark)
     want = Counter((r["review_id"], frozenset(Counter(r["t"]).items())) for r in df.select("review_id", C.topic_tokens("text").alias("t")).collect())
-    got = Counter((r["review_id"], frozenset(zip(r["words"], r["n"], strict=True))) for r in mining.counted_words(df).collect())
+    got = Counter((r["review_id"], frozenset(zip(r["words"].split(), struct.unpack(f"<{len(r['n']) // 4}i", r["n"]), strict=True))) for r in mining.counted_words(df).collect())
     assert got == want and sum(got.values()) == len(ODD)
     assert mining.counted_words(df.limit(0)).collect() == []
 
@@ -31,6 +33,17 @@ def test_word_places_are_those_of_the_tokens(spark):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, every.collect())) and got.count() > 8
 
 
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_sums_by_word(spark, monkeypatch, most):
+    monkeypatch.setattr(mining, "SUMS", most)
+    df = odd(spark).withColumns({"c": F.length("text") % 2, "k": F.lit(3).cast("bigint")})
+    got = Counter({(r["c"], r["word"]): r["n"] for r in mining.word_sums(mining.counted_words(df).join(
+        df.select("review_id", "c", "k").where("review_id <> 'a'"), "review_id"), "c", "k").collect()})
+    want = Counter((r["c"], r["w"]) for r in df.where("review_id <> 'a'").select("c", F.explode(C.topic_tokens("text")).alias("w")).collect())
+    assert got == Counter({k: 3 * n for k, n in want.items()}) and got
+    assert {r["word"]: r["texts"] for r in mining.word_sums(mining.counted_words(df)).collect()}["plum"] == 2
+
+
 def test_features_are_those_of_the_count_vectorizer(spark):
     counted = mining.counted_words(odd(spark))
     words = mining._vocabulary(counted, None)
