@@ -117,15 +117,12 @@ def _vocabulary(counted: DataFrame, size: int | None, min_df: int = 1, max_df: f
     if max_df is not None:
         words = words.where(F.col("texts") <= max_df)
     words = words.orderBy(F.desc("n"), "word").select("word")
-    found = [r[0] for r in (words if size is None else words.limit(size)).collect()]
-    if not found:
-        raise ValueError("no word is frequent enough for a vocabulary")
-    return found
+    return [r[0] for r in (words if size is None else words.limit(size)).collect()]
 
 
 def _features(counted: DataFrame, key: str, vocabulary: list[str]) -> DataFrame:
     """``(key, features)``: counts by place in the vocabulary as sparse vectors, written once."""
-    size, known = len(vocabulary), pa.array(vocabulary)
+    size, known = len(vocabulary), pa.array(vocabulary, pa.string())
 
     def place(batches):
         for batch in batches:

@@ -4,7 +4,7 @@ import struct
 from collections import Counter
 
 import pytest
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import functions as F
 
 from opinara.functions import columns as C
@@ -48,6 +48,9 @@ def test_features_are_those_of_the_count_vectorizer(spark):
     counted = mining.counted_words(odd(spark))
     words = mining._vocabulary(counted, None)
     assert words[0] == "red" and mining._vocabulary(counted, 2) == words[:2] and mining._vocabulary(counted, None, 2, 3.0) == ["plum"]
+    fitted = CountVectorizer(inputCol="tokens", outputCol="features", minDF=2.0, maxDF=0.5).fit(
+        odd(spark).select(C.topic_tokens("text").alias("tokens")))
+    assert set(fitted.vocabulary) == set(mining._vocabulary(counted, None, 2, 0.5 * len(ODD)))
     model = CountVectorizerModel.from_vocabulary(words[:3], "tokens", "features")
     want = model.transform(odd(spark).select("review_id", C.topic_tokens("text").alias("tokens"))).select("review_id", "features")
     got = mining._features(counted, "review_id", words[:3])
@@ -78,3 +81,11 @@ def test_mentions_and_texts_are_read_once(spark):
         words.update(r["top_words"])
     assert sum(n for w, n in words.items() if w.startswith("word")) == 96 and words["xone"] == words["ytwo"] == 24
     assert (seen.value, split.value) == (len(found), len(rows))
+
+
+def test_a_category_without_a_vocabulary_leaves_the_others(spark):
+    rows = [(f"x{i}", "same words here", "x") for i in range(24)] + [(f"y{i}", f"yone word{i % 5} word{(i + 1) % 5}", "y") for i in range(24)]
+    mentions = spark.createDataFrame([(r[0], "taste", "Negative", r[2]) for r in rows],
+                                     f"review_id string, {mining.ASPECT} string, sentiment string, main_category string")
+    texts = spark.createDataFrame([r[:2] for r in rows], "review_id string, text string")
+    assert {r["main_category"] for r in mining.category_topics(mentions, texts, 2, max_iter=1).collect()} == {"y"}
